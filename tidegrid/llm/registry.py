@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import perspectives, simhash, url_filter
+from . import mixing, packing, perspectives, simhash, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_packing": packing.op2_packing,
     "op4_perspectives": perspectives.op4_perspectives,
+    "op6_mixing": mixing.op6_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
 }
-ORACLES = {"op4_perspectives": perspectives.OP4_SQL, "op9_url_filter": url_filter.OP9_SQL}
+ORACLES = {"op4_perspectives": perspectives.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL}
