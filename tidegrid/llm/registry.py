@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, perspectives, simhash, url_filter
+from . import embedding_dedup, mixing, neighbours, packing, perspectives, quality, simhash, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
     "op4_perspectives": perspectives.op4_perspectives,
     "op6_mixing": mixing.op6_mixing,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
-ORACLES = {"op4_perspectives": perspectives.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL}
+ORACLES = {"op4_perspectives": perspectives.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op7_embedding_dedup": embedding_dedup.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
