@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, neighbours, packing, perspectives, quality, simhash, suffix_dedup, url_filter
+from . import debruijn, embedding_dedup, mixing, neighbours, packing, perspectives, quality, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
+    "op3_debruijn": debruijn.op3_debruijn,
     "op4_perspectives": perspectives.op4_perspectives,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_mixing": mixing.op6_mixing,

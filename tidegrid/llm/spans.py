@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, sliding
@@ -83,7 +83,10 @@ def lists(column: pa.Array, kind=np.int64) -> list[np.ndarray]:
 
 
 def doc_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text); columns that have their type already stay as they are, so that equal exchanges look equal."""
+    kinds = {"doc_id": "bigint", "text": "string"}
+    found = dict(docs.select(*kinds).dtypes)
+    return docs.select(*(F.col(c) if found[c] == k else F.col(c).cast(k).alias(c) for c, k in kinds.items()))
 
 
 def group_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,6 +95,3 @@ def group_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     firsts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
     return order, firsts, np.diff(firsts, append=len(h))
 
-
-def total_of(column: Column) -> Column:
-    return F.coalesce(F.sum(column), F.lit(0))
