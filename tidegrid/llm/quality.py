@@ -187,16 +187,18 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Network:
     if len(share) < 2:
         network.fixed = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
         return network
-    texts, marks, weights = [], [], []
-    for mark, most in SAMPLE_ROWS.items():
-        fitting = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-        ids = known.where(F.col("quality") == mark).join(fitting, "doc_id")
-        rows = ids.select("text", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "text").limit(most).collect()
-        texts += [r["text"].encode() for r in rows]
-        marks += [mark] * len(rows)
-        weights += [share[mark] / max(1, len(rows))] * len(rows)
-    weights = np.array(weights)
-    network.train(texts, np.array(marks, float), weights / weights.mean())
+    # which rows: from the labels alone, a bounded list of ids; then only those rows' texts are fetched
+    hashed = known.dropDuplicates().withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    some = [r for mark, most in SAMPLE_ROWS.items() for r in hashed.where(F.col("quality") == mark).orderBy("h", "doc_id").limit(most).collect()]
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in some], "id long, quality int")  # at most sum(SAMPLE_ROWS) rows
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = sorted((r["quality"], r["doc_id"], r["text"]) for r in found.select("quality", "doc_id", "text").collect())
+    texts, marks = [r[2].encode() for r in rows], np.array([r[0] for r in rows], float)
+    weights = np.where(marks == 1, share[1] / max(1, marks.sum()), share[0] / max(1, (1 - marks).sum()))
+    if not len(texts):
+        network.fixed = share[1] / sum(share.values())
+        return network
+    network.train(texts, marks, weights / weights.mean())
     return network
 
 
