@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, saved, table
-from .tokens import WordEncoder
+from .tokens import encoder
 
 LENGTH = 2048
 #: Id after each document.
@@ -36,7 +36,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFra
     """(doc_id, start, length, ids_crc32, doc_tokens): full pieces of each document, then its remainder."""
 
     def run(batches):
-        encoder, end = WordEncoder(tokenizer), np.array([END_ID], "<u4")
+        words, end = encoder(tokenizer), np.array([END_ID], "<u4")
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))
             at = 0
@@ -45,7 +45,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFra
                 while to < len(texts) and (to == at or size + len(texts[to]) <= 2 << 20):
                     size += len(texts[to])
                     to += 1
-                ids, counts = encoder.encode(texts[at:to])
+                ids, counts = words.encode(texts[at:to])
                 ids, first, rows = ids.astype("<u4"), 0, []
                 for doc_id, n in zip(doc_ids[at:to], counts.tolist()):
                     own = np.concatenate([ids[first : first + n], end])
