@@ -88,7 +88,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     linked = roots.join(classes, roots.node == classes.fp).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = linked.join(least, "root").select("fp", "least")
-    groups = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # written down, so that the last join stands on its own and a fingerprint that many rows share can be split there
+    groups = saved(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "groups")
     return found.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -101,6 +102,8 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
 
     Rows without a doc_id can't be told apart and stay as they are.
     """
-    stay = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(stay.withColumnRenamed("doc_id", "_stay"), F.col("doc_id") == F.col("_stay")).drop("_stay")
-    return once.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    found = near_duplicates(docs, **settings).where("doc_id is not null")
+    stay = saved(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows")), "kept")
+    here = docs.join(stay, F.col("doc_id") == F.col("_stay")).drop("_stay")
+    once, again = here.where("_rows = 1").drop("_rows"), here.where("_rows > 1").drop("_rows")
+    return once.union(again.dropDuplicates(["doc_id"])).union(docs.where("doc_id is null"))
