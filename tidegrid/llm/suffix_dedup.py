@@ -1,5 +1,6 @@
 """Repeated byte strings found with induced suffix arrays, shard by shard.
 
+0. Documents whose whole text an earlier one has too go whole; one of each such group goes on.
 1. Every 100-byte window of every text has an anchor; anchors that occur once are dropped by a count over all texts.
 2. The bytes around the others are cut out: one segment for each run of windows with the same anchor. Equal segments
    are folded to their earliest place before they move, so that thousands of copies are one row a task.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix, table
+from .common import bytes_of, mix, saved, table
 from .spans import PIECE, Runs, anchors, by_document, doc_rows, group_rows, lists, merged
 from .suffix_sort import permuted_common_prefixes, suffix_array
 
@@ -232,15 +233,26 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int
     """
     rows = doc_rows(docs)
     known = rows.where("doc_id is not null")
+    texts = known.repartition("doc_id")  # one exchange of the texts, which all three readings below share
+    copies = saved(_copies(known), "copies")
+    # a flag, as an anti-join would move below the exchange and make it another one
+    originals = texts.join(copies.select("doc_id", F.lit(True).alias("copied")), "doc_id", "left").where("copied is null").select("doc_id", "text")
     here = Window.partitionBy("h")
     number = F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0)) / _PLACES.itemsize
-    counted = _anchored(known, width, run).withColumn("n", F.sum(number.cast("long")).over(here)).where("n > 1")
+    counted = _anchored(originals, width, run).withColumn("n", F.sum(number.cast("long")).over(here)).where("n > 1")
     lists_of = by_document(_unfolded(counted), "h", "place", "n")
-    texts = known.repartition("doc_id")
     parts = _segments(texts.join(lists_of, "doc_id").select("doc_id", "text", "h", "place", "n"), width, hot)
     dealt = parts.repartition(F.col("h"), F.when(F.col("h").isNull(), F.col("doc_id"))).sortWithinPartitions("h")
-    shards = _resolved(dealt, width, shard_bytes)
-    return texts.join(by_document(shards, "at", "to"), "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    whole = copies.where(F.col("size") >= width).select("doc_id", F.lit(0).cast("long").alias("at"), F.col("size").cast("long").alias("to"))
+    spans = _resolved(dealt, width, shard_bytes).union(whole)
+    return texts.join(by_document(spans, "at", "to"), "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+
+
+def _copies(known: DataFrame) -> DataFrame:
+    """(doc_id, size) of documents whose whole text, of `size` bytes, an earlier document has too."""
+    keyed = known.select("doc_id", F.sha2("text", 256).alias("key"), F.octet_length("text").alias("size")).where("size > 0")
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return keyed.join(first, "key").where("doc_id > first").select("doc_id", "size").distinct()
 
 
 def _resolved(dealt: DataFrame, width: int, shard_bytes: int) -> DataFrame:
