@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import evaluation, preparation
+
+QUERIES = preparation.QUERIES | evaluation.QUERIES
+ORACLES = preparation.ORACLES | evaluation.ORACLES
 FLAGSHIP = "daily_baseline"
