@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, preparation
+from .plans import evaluation, forecasting, preparation
 
-QUERIES = preparation.QUERIES | evaluation.QUERIES
+QUERIES = preparation.QUERIES | evaluation.QUERIES | forecasting.QUERIES
 ORACLES = preparation.ORACLES | evaluation.ORACLES
 FLAGSHIP = "daily_baseline"

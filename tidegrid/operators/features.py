@@ -15,7 +15,11 @@ from .grid import densify
 
 LOAD_LAGS = (1, 2, 3, 23, 24, 25, 48, 167, 168, 169)
 OUTPUT_LAGS = (1, 2, 3, 24, 25)
-_W = Window.partitionBy("series_id").orderBy("ts")
+
+
+def by_time():
+    return Window.partitionBy("series_id").orderBy("ts")
+
 
 BASE = (
     [f"load_lag_{k}" for k in LOAD_LAGS]
@@ -31,11 +35,11 @@ GROUPS = {"base": BASE, "quarter": BASE + QUARTER, "regime": BASE + REGIME, "com
 
 
 def _lag(column: str | Column, k: int) -> Column:
-    return F.lag(column, k).over(_W)
+    return F.lag(column, k).over(by_time())
 
 
 def _before(n: int):
-    return _W.rowsBetween(-n, -1)
+    return by_time().rowsBetween(-n, -1)
 
 
 def _full(agg: Column, column: Column, n: int, least: int | None = None) -> Column:
@@ -104,7 +108,7 @@ def _regime_columns() -> list[Column]:
 
 def idle_runs(dense: DataFrame) -> DataFrame:
     """Adds idle_run: hours without production in a row up to t - 1; an hour with production or without data ends a run."""
-    island = F.sum(1 - F.col("_zero")).over(_W.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum(1 - F.col("_zero")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     marked = dense.withColumn("_zero", flag(F.col("production") == 0)).withColumn("_island", island)
     run = F.sum("_zero").over(Window.partitionBy("series_id", "_island").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("_run", run).withColumn("idle_run", _lag("_run", 1)).drop("_zero", "_island", "_run")

@@ -42,7 +42,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, ts, actual, peak, idle, state, candidates, event, high): hours with a week of history on the gapped panel."""
     panel = gapped_panel(spark, sf_dir)
     base = feats.densify(panel)
-    w = feats._W
+    w = feats.by_time()
     lag = lambda c, k: F.lag(c, k).over(w)
     out = F.col("production")
     six = F.when(F.count(out).over(w.rowsBetween(-6, -1)) == 6, F.sum(out).over(w.rowsBetween(-6, -1)))
