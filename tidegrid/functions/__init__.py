@@ -73,3 +73,8 @@ def day_type(ts: Column) -> Column:
 
 def lead_bucket(lead: Column) -> Column:
     return F.when(lead <= 6, "01-06").when(lead <= 12, "07-12").otherwise("13-24")
+
+
+def six(column: Column | str) -> Column:
+    """To six digits. The little that is added moves exact halves off the edge, on which engines round differently."""
+    return F.round((F.col(column) if isinstance(column, str) else column) + F.lit(1e-9), 6)

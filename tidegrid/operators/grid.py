@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import six
 from ..sources import QUARTERS
 
 VALUES = [*QUARTERS, "avg_power", "production"]
@@ -78,7 +79,7 @@ def diagnostics(raw: DataFrame) -> DataFrame:
     removed = bad_dates(raw).groupBy("series_id").agg(F.count("*").alias("removed_dates"))
     gap = F.abs(F.col("avg_power") - sum(F.col(c) for c in QUARTERS) / 4)
     after = clean.groupBy("series_id").agg(
-        F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.max(gap), 6).alias("mean_gap"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in VALUES)
+        F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), six(F.max(gap)).alias("mean_gap"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in VALUES)
     )
     return before.join(removed, "series_id", "left").na.fill(0, ["removed_dates"]).join(after, "series_id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import complete, flag, truncated
+from ..functions import complete, flag, six, truncated
 from ..operators import features as feats
 from ..sources import QUARTERS, event_panel, gapped_panel
 
@@ -19,7 +19,7 @@ def period() -> Column:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to so many digits: two engines add in different orders."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((six(c) if digits == 6 else F.round(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def split(panel: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def cutoffs(panel: DataFrame) -> DataFrame:
     """One row: the load under which an hour can be idle, the quarter peak that is an event, and that which is high."""
     top = F.greatest(*QUARTERS)
     early = with_split(panel, panel).where("ts < split").select(F.col("avg_power"), top.alias("top"))
-    return early.agg(*(F.round(F.expr(e), 6).alias(n) for n, e in (("cap", "percentile(avg_power, 0.5)"), ("event", "percentile(top, 0.95)"), ("high", "percentile(top, 0.9)"))))
+    return early.agg(*(six(F.expr(e)).alias(n) for n, e in (("cap", "percentile(avg_power, 0.5)"), ("event", "percentile(top, 0.95)"), ("high", "percentile(top, 0.9)"))))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = feats.by_time()
     lag = lambda c, k: F.lag(c, k).over(w)
     out = F.col("production")
-    six = F.when(F.count(out).over(w.rowsBetween(-6, -1)) == 6, F.sum(out).over(w.rowsBetween(-6, -1)))
+    last_six = F.when(F.count(out).over(w.rowsBetween(-6, -1)) == 6, F.sum(out).over(w.rowsBetween(-6, -1)))
     wide = base.select(
         "series_id",
         "ts",
@@ -56,7 +56,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         lag("avg_power", 1).alias("persistence"),
         lag("avg_power", 24).alias("previous_day"),
         lag("avg_power", 168).alias("previous_week"),
-        six.alias("six"),
+        last_six.alias("six"),
     )
     known = wide.where(complete(*(F.col(c) for c in ("actual", "persistence", "previous_day", "previous_week", "six"))))
     rows = known.crossJoin(F.broadcast(cutoffs(panel)))  # one row
@@ -136,7 +136,7 @@ LONG = (
 
 
 def sql(ctes: str, select: str) -> str:
-    return f"with {ctes.strip()}\n{select.strip()}"
+    return f"with {ctes.strip()}\n{select.strip()}".replace(", 6)", " + 1e-9, 6)")  # see functions.six
 
 
 __all__ = ["CANDIDATES", "CUTOFFS", "LONG", "PANEL", "PREDICTIONS", "cutoffs", "event_panel", "gapped_panel", "period", "predictions", "rounded", "split", "sql", "with_split"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import day_type, flag, is_weekend, is_work_start, lead_bucket, truncated
+from ..functions import day_type, flag, is_weekend, is_work_start, lead_bucket, six, truncated
 from ..operators import evaluation as ev
 from ..operators import features, requests, resampling
 from .common import CANDIDATES, LONG, PREDICTIONS, cutoffs, gapped_panel, period, predictions, rounded, sql
@@ -77,7 +77,7 @@ def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def condition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and alerts by conditions known before the hour; large: at least the 90th percentile of all errors."""
     rows = _conditions(spark, sf_dir).withColumn("err", ev.error("gated"))
-    large = rows.agg(F.round(F.expr("percentile(err, 0.9)"), 6).alias("large"))
+    large = rows.agg(six(F.expr("percentile(err, 0.9)")).alias("large"))
     rows = rows.crossJoin(F.broadcast(large))  # one row
     keys = {c: F.col(c) for c in ("prior_idle", "work_start", "ramp_up", "quarter_high", "workhour_activity")}
     event, alert = F.col("peak") >= F.col("event"), F.col("gated") * 2 >= F.col("event")
@@ -134,7 +134,7 @@ ERROR_CONDITIONS = sql(
 
 
 def largest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).select("series_id", "ts", "actual", "state", F.round("gated", 6).alias("prediction"), F.round(ev.error("gated"), 6).alias("err"))
+    rows = predictions(spark, sf_dir).select("series_id", "ts", "actual", "state", six("gated").alias("prediction"), six(ev.error("gated")).alias("err"))
     return ev.largest(rows, "err", 20, "ts", "series_id")
 
 
@@ -199,7 +199,7 @@ IDLE_GATE_GRID = sql(
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir).select("series_id", "ts", F.round("gated", 6).alias("score"), (F.col("peak") >= F.col("event")).alias("is_event"))
+    return predictions(spark, sf_dir).select("series_id", "ts", six("gated").alias("score"), (F.col("peak") >= F.col("event")).alias("is_event"))
 
 
 _SCORED = PREDICTIONS + ", scored as (select series_id, ts, round(gated, 6) as score, peak >= event as is_event from predictions)"
@@ -240,7 +240,7 @@ AVERAGE_PRECISION = sql(_SCAN, "select series_id, round(sum(p * tp / alerts / po
 
 
 def conformal_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).select("series_id", F.round(ev.error("gated"), 6).alias("err"))
+    rows = predictions(spark, sf_dir).select("series_id", six(ev.error("gated")).alias("err"))
     return ev.conformal_radius(rows, "err", 0.9, "series_id")
 
 
@@ -251,7 +251,7 @@ CONFORMAL_RADII = sql(
 
 
 def _weekly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir).select("series_id", "ts", period().alias("period"), "idle", "actual", F.round("gated", 6).alias("prediction"), F.round(ev.error("gated"), 6).alias("err"))
+    return predictions(spark, sf_dir).select("series_id", "ts", period().alias("period"), "idle", "actual", six("gated").alias("prediction"), six(ev.error("gated")).alias("err"))
 
 
 def regime_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +407,7 @@ LEAD_BUCKETS = sql(
 def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which days need a review, and why: profiles that disagree more than in three of four cases, or a day without production."""
     days = rounded(features.origin_signals(gapped_panel(spark, sf_dir)))
-    rows = days.crossJoin(F.broadcast(days.agg(F.round(F.expr("percentile(disagreement, 0.75)"), 6).alias("cutoff"))))  # one row
+    rows = days.crossJoin(F.broadcast(days.agg(six(F.expr("percentile(disagreement, 0.75)")).alias("cutoff"))))  # one row
     high, idle = F.col("disagreement") > F.col("cutoff"), F.col("no_output") == 1
     reason = F.concat_ws("+", F.when(high, F.lit("profiles_disagree")), F.when(idle, F.lit("no_production")))
     return rows.select("series_id", "day", "disagreement", "no_output", flag(high | idle).alias("review"), F.when(reason == "", "standard").otherwise(reason).alias("reason"))

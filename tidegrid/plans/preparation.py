@@ -361,7 +361,7 @@ def monthly_order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     days = sources.order_panel(spark, sf_dir)
-    months = days.groupBy("series_id", truncated("month", F.col("day")).alias("month")).agg(F.count("*").alias("days"), F.sum("n").alias("orders"), F.round(F.avg("total"), 4).alias("mean_total"))
+    months = days.groupBy("series_id", truncated("month", F.col("day")).alias("month")).agg(F.count("*").alias("days"), F.sum("n").alias("orders"), (F.expr("sum(cast(round(total * 100) as bigint)) div count(*)") / 100).alias("mean_total"))
     before = Window.partitionBy("series_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     return months.withColumn("days_before", F.coalesce(F.sum("days").over(before), F.lit(0)))
 
@@ -370,7 +370,7 @@ MONTHLY_ORDER_PANEL = """
 with days as (
   select o_orderpriority as series_id, date_trunc('day', o_orderdate)::timestamp as day, round(sum(o_totalprice), 2) as total, count(*) as n from orders group by 1, 2
 ), months as (
-  select series_id, date_trunc('month', day)::timestamp as month, count(*) as days, sum(n)::bigint as orders, round(avg(total), 4) as mean_total from days group by 1, 2
+  select series_id, date_trunc('month', day)::timestamp as month, count(*) as days, sum(n)::bigint as orders, (sum(round(total * 100)::bigint)::bigint // count(*)) / 100.0 as mean_total from days group by 1, 2
 )
 select *, coalesce(sum(days) over (partition by series_id order by month rows between unbounded preceding and 1 preceding), 0)::bigint as days_before from months
 """
