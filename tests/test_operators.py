@@ -233,3 +233,21 @@ def test_streamed_hours_equal_the_batch(spark, tmp_path):
     # all but the hours that the watermark still holds open
     assert joined.count() == made.count() > 300
     assert joined.where("m.avg_power <> b.avg_power or m.production <> b.production or m.q15 <> b.q15").isEmpty()
+
+
+def test_requests_are_answered_from_the_past_alone(panel):
+    from tidegrid.plans.forecasting import answer_request
+
+    origin = datetime(2024, 1, 25, 23)
+    asked = (origin, origin + timedelta(hours=9), origin + timedelta(hours=15))
+    mine, other = answer_request(panel, *asked), answer_request(altered_after(panel, origin, 1), *asked)
+    assert mine.count() == 4 * 7 and sorted(mine.collect()) == sorted(other.collect())
+
+
+def test_next_hour_has_a_row_for_each_series(panel):
+    from tidegrid.plans.forecasting import next_hour
+
+    rows = next_hour(panel).collect()
+    assert len(rows) == 4 and all(r["lower"] <= r["prediction"] <= r["upper"] for r in rows)
+    last = panel.agg(F.max("ts")).first()[0]
+    assert {r["ts"] for r in rows} == {last + timedelta(hours=1)}

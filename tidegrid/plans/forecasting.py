@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flag
 from ..operators import evaluation as ev
-from ..operators import features, models, plan, requests
+from ..operators import features, grid, models, plan, requests
 from ..sources import QUARTERS
 from .common import gapped_panel, rounded, with_split
 
@@ -113,6 +115,51 @@ def load_shift_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(plan.moves(days.select("series_id", "anchor", "horizon", "prediction")), 4)
 
 
-_NAMES = "ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves".split()
+def next_hour(panel: DataFrame, coverage: float = 0.9, alpha: float = 100.0) -> DataFrame:
+    """(series_id, ts, prediction, lower, upper, idle) for the hour after each series' last one.
+
+    A ridge behind the idle gate, trained on all but the last week; the band is the order statistic of that week's
+    errors, by idle and other hours. Only hours that are over are read.
+    """
+    rows = features.features(panel).join(features.idle_signal(panel, 6), ["series_id", "ts"])
+    last = panel.agg((F.max("ts") - F.expr("interval 7 days")).alias("from"))
+    rows = rows.crossJoin(F.broadcast(last)).withColumn("idle", flag(F.col("idle_hours"))).persist()  # one row
+    model = models.fit_ridge(rows.where("ts <= `from`"), LIGHT, alpha)
+
+    def gate(x: DataFrame) -> DataFrame:
+        return models.predict(model, x, "raw").withColumn("prediction", models.gated("idle", "load_lag_1", "raw"))
+
+    recent = gate(rows.where("ts > `from`")).select(F.lit("week").alias("period"), "idle", F.abs(F.col("prediction") - F.col("target")).alias("err"))
+    radii = ev.regime_radii(recent, coverage)
+    ahead = grid.append_hour(panel)
+    target = features.features(ahead, need_target=False).join(features.idle_signal(ahead, 6), ["series_id", "ts"]).withColumn("idle", flag(F.col("idle_hours")))
+    target = target.join(ahead.groupBy("series_id").agg(F.max("ts").alias("ts")), ["series_id", "ts"], "left_semi")
+    return ev.attach_intervals(gate(target), radii, F.lit("week")).select("series_id", "ts", "prediction", "lower", "upper", "idle")
+
+
+def next_hour_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(next_hour(gapped_panel(spark, sf_dir)))
+
+
+def answer_request(panel: DataFrame, origin: datetime, start: datetime, end: datetime) -> DataFrame:
+    """(series_id, ts, lead, previous_week, prediction, peak) for each hour asked for; reads nothing after the origin."""
+    hours = requests.validate_request(origin, start, end)
+    known = requests.before_origin(panel, origin)
+    train = requests.request_rows(known).withColumn("residual", F.col("actual") - F.col("previous_week"))
+    asked = requests.request_rows(known, tuple(range(24)), need_actual=False, every_lead=False).where(F.col("origin") == F.lit(origin).cast("timestamp_ntz"))
+    asked = asked.where(F.col("ts").between(F.lit(hours[0]).cast("timestamp_ntz"), F.lit(hours[-1]).cast("timestamp_ntz")))
+    found = models.predict(models.fit_boosted(train, REQUEST, "residual", rounds=10, leaf=50, absolute=True), asked, onto="previous_week")
+    return found.select("series_id", "ts", "lead", "previous_week", "prediction", F.greatest("peak_previous_week", "prediction").alias("peak"))
+
+
+def requested_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next morning's hours, asked for at the end of the panel's last day but one."""
+    panel = gapped_panel(spark, sf_dir)
+    last = panel.agg(F.max("ts")).first()[0]
+    origin = last - timedelta(hours=24)
+    return rounded(answer_request(panel, origin, origin + timedelta(hours=9), origin + timedelta(hours=15)))
+
+
+_NAMES = "next_hour_forecast requested_interval ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 ORACLES: dict[str, str] = {}
