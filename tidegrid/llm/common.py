@@ -11,12 +11,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _saved: list[tuple[SparkSession, str]] = []
+#: What an operator keeps in a Python worker between its tasks; the next operator there clears it.
+remembered: dict = {}
+#: Most bytes and rows of one Arrow batch of texts.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands texts to Python in small batches: both sides hold several copies of one."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(conf.get(key)).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df has no column of, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, table
+from .common import bytes_of, remembered, small_batches, table
 
 LAGS = range(2, 18)
 BLOCK, HALF = 4, 256
@@ -24,6 +24,8 @@ RUN_BYTES = 1 << 18
 EMBED, FILTERS = 8, 24
 #: The most labelled rows of each class that training takes (those with the least hashes), and their longest text.
 SAMPLE_ROWS, SAMPLE_BYTES = {0: 1500, 1: 2500}, 32768
+#: Training takes 14 passes over the sample, more of a small one until there are this many steps.
+LEAST_STEPS = 600
 
 
 class Network:
@@ -124,6 +126,7 @@ class Network:
 
     def train(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.004, seed: int = 1) -> None:
         rng, state, step = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
+        epochs = max(epochs, math.ceil(LEAST_STEPS / math.ceil(len(texts) / batch)))
         rounds = epochs * math.ceil(len(texts) / batch)
         for _ in range(epochs):
             order = rng.permutation(len(texts))
@@ -211,10 +214,11 @@ def score(docs: DataFrame, network: Network, threshold: float = 0.5) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand weights
 
     def run(batches):
+        remembered.clear()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(shared.value.scores(bytes_of(batch.column("text"))), pa.float64())], ["doc_id", "score"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    made = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return made.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -223,10 +227,11 @@ def keep_good(docs: DataFrame, network: Network, threshold: float = 0.5) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
+        remembered.clear()
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(bytes_of(batch.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

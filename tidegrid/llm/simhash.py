@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, saved, table
+from .common import bytes_of, fresh, remembered, saved, small_batches, table
 from .components import components
 
 BITS = 64
@@ -46,11 +46,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     """(doc_id, fp): a row for each row of docs; fp holds the 64 bits as a signed long. Null texts have no words."""
 
     def run(batches):
+        remembered.clear()
         for batch in batches:
             made = np.array([fingerprint(x, shingle, seed) for x in bytes_of(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def links(found: DataFrame, max_bits: int = 2, segments: int = 2) -> DataFrame:
@@ -102,8 +103,10 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
 
     Rows without a doc_id can't be told apart and stay as they are.
     """
+    kept, rows = fresh(docs, "kept"), fresh(docs, "rows")
     found = near_duplicates(docs, **settings).where("doc_id is not null")
-    stay = saved(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows")), "kept")
-    here = docs.join(stay, F.col("doc_id") == F.col("_stay")).drop("_stay")
-    once, again = here.where("_rows = 1").drop("_rows"), here.where("_rows > 1").drop("_rows")
+    stay = saved(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias(rows)), "kept")
+    # the same plan at every size: the list of ids to keep grows with the input
+    here = docs.join(stay.hint("merge"), F.col("doc_id") == F.col(kept)).drop(kept)
+    once, again = here.where(F.col(rows) == 1).drop(rows), here.where(F.col(rows) > 1).drop(rows)
     return once.union(again.dropDuplicates(["doc_id"])).union(docs.where("doc_id is null"))

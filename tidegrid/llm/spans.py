@@ -82,11 +82,12 @@ def lists(column: pa.Array, kind=np.int64) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def doc_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text); columns that have their type already stay as they are, so that equal exchanges look equal."""
+def doc_rows(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, c0, c1, ...); columns that have their type already stay as they are, so that equal exchanges look equal."""
     kinds = {"doc_id": "bigint", "text": "string"}
     found = dict(docs.select(*kinds).dtypes)
-    return docs.select(*(F.col(c) if found[c] == k else F.col(c).cast(k).alias(c) for c, k in kinds.items()))
+    own = [F.col(c) if found[c] == k else F.col(c).cast(k).alias(c) for c, k in kinds.items()]
+    return docs.select(*own, *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
 
 
 def group_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix, saved, table
+from .common import bytes_of, mix, remembered, saved, small_batches, table
 from .spans import PIECE, Runs, anchors, by_document, doc_rows, group_rows, lists, merged
 from .suffix_sort import permuted_common_prefixes, suffix_array
 
@@ -30,9 +30,9 @@ WIDTH = 100
 RUN = 32
 #: Occurrences from which an anchor's windows are dealt out one by one.
 HOT = 20_000
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 #: Occurrences that one task gathers before it hands on what it has folded.
-_GATHER = 1 << 21
+_GATHER = 1 << 20
 
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _PLACES = np.dtype([("doc_id", "<i8"), ("place", "<i8")])
@@ -64,6 +64,7 @@ def _anchored(docs: DataFrame, width: int, run: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h[order][some].view(np.int64)), pa.array(ids[some]), pa.array(place[some]), pa.array(more[a : a + 100_000], pa.binary())], ["h", "doc_id", "place", "more"])
 
     def go(batches):
+        remembered.clear()
         kept, n = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
@@ -133,7 +134,7 @@ def _joined_repeats(repeats: list[tuple[int, int, int]]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def _segments(joined: DataFrame, width: int, hot: int, most_bytes: int = 24 << 20) -> DataFrame:
+def _segments(joined: DataFrame, width: int, hot: int, most_bytes: int = 16 << 20) -> DataFrame:
     """From (doc_id, text, h, place, n): segments (h, doc_id, at, to, segment), and repeats, which have no segment."""
 
     def out(folded: _Folded):
@@ -224,24 +225,26 @@ def _shard_rows(batches, width: int, shard_bytes: int):
         yield from resolve(pending)
 
 
-def removed_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, text, at, to): docs, each with the lists of its removed half-open byte spans (null: none).
+def removed_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, c0, c1, ..., at, to): docs, with the carried columns as c0 and so on, each with the lists of its
+    removed half-open byte spans (null: none).
 
     A byte goes if a string of `width` bytes over it also starts earlier: in a document with a smaller doc_id, or before
     in the same one. Rows with a null doc_id have no order: they lose nothing and are no source. Rows that share a doc_id
     count as the same document: equal rows don't remove each other, and what goes from one goes from all.
     """
-    rows = doc_rows(docs)
+    rows = doc_rows(small_batches(docs), carried)
     known = rows.where("doc_id is not null")
-    texts = known.repartition("doc_id")  # one exchange of the texts, which all three readings below share
+    # one exchange of the texts, which all three readings below share: each takes all its columns, so that none is another
+    texts = known.repartition("doc_id")
     copies = saved(_copies(known), "copies")
-    # a flag, as an anti-join would move below the exchange and make it another one
-    originals = texts.join(copies.select("doc_id", F.lit(True).alias("copied")), "doc_id", "left").where("copied is null").select("doc_id", "text")
+    # a flag, as an anti-join would move below the exchange
+    originals = texts.join(copies.select("doc_id", F.lit(True).alias("copied")), "doc_id", "left").where("copied is null").drop("copied")
     here = Window.partitionBy("h")
     number = F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0)) / _PLACES.itemsize
     counted = _anchored(originals, width, run).withColumn("n", F.sum(number.cast("long")).over(here)).where("n > 1")
     lists_of = by_document(_unfolded(counted), "h", "place", "n")
-    parts = _segments(texts.join(lists_of, "doc_id").select("doc_id", "text", "h", "place", "n"), width, hot)
+    parts = _segments(texts.join(lists_of, "doc_id"), width, hot)
     dealt = parts.repartition(F.col("h"), F.when(F.col("h").isNull(), F.col("doc_id"))).sortWithinPartitions("h")
     whole = copies.where(F.col("size") >= width).select("doc_id", F.lit(0).cast("long").alias("at"), F.col("size").cast("long").alias("to"))
     spans = _resolved(dealt, width, shard_bytes).union(whole)
@@ -304,22 +307,30 @@ def without(text: bytes, at: np.ndarray, to: np.ndarray) -> bytes:
 
 
 def cut_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """docs, with its own columns, each text without its repeated bytes; n_chars, if there, is the new length.
-
-    Of a character that is cut apart the rest is dropped too.
+    """docs, with its own columns, each text without its repeated bytes; n_chars, if there, is the new length of a
+    text that was cut. Of a character that is cut apart the rest is dropped too.
     """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    inner = {"doc_id": "doc_id", "text": "text"} | {c: f"c{i}" for i, c in enumerate(others)}
 
     def go(batches):
         for batch in batches:
-            made = [without(t, *merged(a, np.minimum(b, len(t)))).decode("utf-8", "ignore") for t, a, b in zip(bytes_of(batch.column("text")), lists(batch.column("at")), lists(batch.column("to")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["_id", "_text"])
-
-    spans = removed_spans(docs, **settings).where("at is not null")
-    changed = spans.mapInArrow(go, "_id long, _text string").dropDuplicates(["_id"])
-    joined = docs.join(changed, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("_text", "text")
-    own = {"text": text.alias("text")} | ({"n_chars": F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
-    return joined.select(*(own.get(c, F.col(c)) for c in docs.columns))
+            texts, lengths = batch.column("text").to_pylist(), None
+            if "n_chars" in inner:
+                lengths = batch.column(inner["n_chars"]).to_pylist()
+            for k, (at, to) in enumerate(zip(lists(batch.column("at")), lists(batch.column("to")))):
+                if len(at):
+                    raw = texts[k].encode()
+                    texts[k] = without(raw, *merged(at, np.minimum(to, len(raw)))).decode("utf-8", "ignore")
+                    if lengths:
+                        lengths[k] = len(texts[k])
+            made = {"text": pa.array(texts, pa.string())}
+            if lengths:
+                made["n_chars"] = pa.array(lengths, batch.schema.field(inner["n_chars"]).type)
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(inner[c])) for c in docs_columns], docs_columns)
+
+    docs_columns, schema = docs.columns, docs.schema
+    return removed_spans(docs, carried=others, **settings).mapInArrow(go, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

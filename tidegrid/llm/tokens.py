@@ -11,6 +11,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import remembered
+
 #: Words whose pre-tokens are plain: Latin-1 letters, then perhaps one of MARKS, a pre-token of its own.
 _PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+[.,]?")
 MARKS = ".,"
@@ -57,7 +59,7 @@ class WordEncoder:
     Remembers words, of which those met but once or twice are dropped when there are more than `most_words`.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -106,11 +108,14 @@ class WordEncoder:
         stems, self.stems.new = self.stems.new, []
         if stems:
             self.of_stems.add(*self._encode_words(stems))
+        full = len(self.stems) > self.most_words
         marked = marks >= 0
         ids, ends = self.of_stems.take(np.array(stem_of, np.int64), marked.astype(np.int64))
         ids[ends[marked] - 1] = np.array(self.marks, np.uint32)[marks[marked]]
         self.of_words.add(ids, np.diff(ends, prepend=0))
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        if full:
+            self.stems, self.of_stems = _Numbers(), _Ragged()
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words with a sure number of pre-tokens go together, in one text; each pre-token ends in one end-of-word id."""
@@ -149,11 +154,9 @@ class WordEncoder:
         return 0
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The encoder of this process: tasks that one Python worker runs in turn share what it remembers."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if ("encoder", path) not in remembered:
+        remembered.clear()
+        remembered["encoder", path] = WordEncoder(path)
+    return remembered["encoder", path]
