@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
 
 #: Sources whose totals go to the driver for the bisection; with more, each step of it is one aggregation.
 MAX_SOURCES = 100_000
@@ -71,11 +71,11 @@ def exponent_for(measure, n_sources: int, target_entropy: float, max_repeats: fl
     return hi
 
 
-def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 20, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 20, seed: int = 7, most_passes: int | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, block, progress): a row for each document and each pass that it is taken in.
 
     docs(doc_id, text, source, ...). Tokens are words between ASCII white space; the budget is budget_share of all
-    of them. progress, from 0 to below 1, is how far into its source's budget the row's block starts; ordering by it
+    of them; with most_passes a source gives at most so many whole passes, whatever its weight asks for. progress, from 0 to below 1, is how far into its source's budget the row's block starts; ordering by it
     interleaves the sources by weight. A document is taken while tokens before it in the pass stay below the budget, so
     a source exceeds it by less than one document. Null or empty text: no tokens, taken with the pass it stands in.
     Null source: a source of its own named ''. Repeated rows each count; null doc_ids stay; empty table or no tokens at
@@ -90,7 +90,9 @@ def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float = 0.95
     exponent = exponent_for(_measures(totals, float(whole), budget), n_sources, target_entropy, max_repeats) if whole else 1.0
     raised = F.pow(F.col("total") / F.lit(float(whole or 1)), F.lit(exponent))
     norm = totals.where("total > 0").agg(F.sum(raised)).first()[0] or 1.0
-    asked = totals.where("total > 0").select("source", "total", F.floor(F.lit(budget) * raised / F.lit(norm)).alias("asked"))
+    wanted = F.floor(F.lit(budget) * raised / F.lit(norm))
+    wanted = wanted if most_passes is None else F.least(wanted, F.col("total") * most_passes)
+    asked = totals.where("total > 0").select("source", "total", wanted.alias("asked"))
     asked = asked.select("source", "asked", F.floor(F.col("asked") / F.col("total")).alias("passes"), (F.col("asked") % F.col("total")).alias("rest"), F.ceil(F.col("total") / F.lit(block_tokens)).alias("n_blocks"))
 
     # which blocks of each pass are taken: running sums over blocks, not documents
@@ -185,19 +187,12 @@ select doc_id, source, n_tokens, epoch, block, progress from taken where size <=
 def rebalance(docs: DataFrame, target_entropy: float = 0.9, **settings) -> DataFrame:
     """docs, with its own columns, thinned to tempered weights: no document is repeated.
 
-    The budget is the largest that the least plentiful source, at the weights of the target entropy, fills in one pass.
+    The budget is all tokens there are. Sources whose weight asks for more than they have are kept whole; the others
+    are thinned to their weight's tokens. Documents without tokens stay.
     """
-    kept = mix(docs, budget_share=one_pass_share(docs, target_entropy), target_entropy=target_entropy, max_repeats=1.0 + 1e-9, **settings)
-    ids = kept.where("epoch = 0").select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_taken"))).drop("_taken")
-
-
-def one_pass_share(docs: DataFrame, target_entropy: float) -> float:
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    totals = saved(docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.sum(words).alias("total")), "sources")
-    whole, n = totals.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    if not whole:
-        return 1.0
-    measure = _measures(totals, float(whole), float(whole))
-    exponent = exponent_for(measure, n, target_entropy, math.inf)
-    return min(1.0, 1.0 / measure(exponent)[1])
+    kept = mix(docs, target_entropy=target_entropy, max_repeats=math.inf, most_passes=1, **settings)
+    taken = fresh(docs, "taken")
+    ids = kept.select(F.col("doc_id").alias(taken)).distinct()
+    empty = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) == 0
+    with_tokens = docs.where(~empty).join(ids, F.col("doc_id").eqNullSafe(F.col(taken))).drop(taken)
+    return with_tokens.union(docs.where(empty))
