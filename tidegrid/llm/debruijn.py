@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix, saved, table
+from .common import bytes_of, remembered, saved, small_batches, table
 from .spans import PIECE, Runs, anchors, by_document, doc_rows, group_rows, lists, merged
 
 WIDTH, K = 50, 15
@@ -80,6 +80,7 @@ def _vertices(docs: DataFrame, width: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c[a : a + 100_000]) for c in columns), pa.array(more[a : a + 100_000], pa.binary())], names)
 
     def go(batches):
+        remembered.clear()
         kept, n = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
@@ -163,51 +164,59 @@ _PART = "d1 long, d2 long, min_doc long, doc_id long, at long, to long"
 
 
 def _parts(joined: DataFrame, width: int, k: int) -> DataFrame:
-    """Spans that go (no d1), and windows to verify (d1, d2: their hash). Of equal windows in one batch the earliest
+    """Spans that go (no d1), and windows to verify (d1, d2: their hash). Of equal windows in one task the earliest
     document's go on; the others are repeats at once."""
     names = [f.split()[0] for f in _PART.split(", ")]
 
-    def go(batches):
-        for batch in batches:
-            columns = [lists(batch.column(c)) for c in ("place", "path", "min_doc", "ends")]
-            ids, starts, stops, hashes, sure_ids = [], [], [], [], []
-            sure = [[], []]
-            for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")))):
-                codes = word_codes(text)
-                fits = (columns[0][i] >> _SHIFT) + width <= len(codes)  # places of another text with this doc_id
-                lo, hi, check = _judge(len(codes), doc_id, *(c[i][fits] for c in columns), width, k) if fits.any() else (np.zeros(0, np.int64),) * 3
-                sure_ids.append(np.full(len(lo), doc_id)), sure[0].append(lo), sure[1].append(hi)
-                check = check[check + width <= len(codes)]
-                hashes.append([Runs(codes, b).of(check, check + width) for b in (0, 1)])
-                ids.append(np.full(len(check), doc_id)), starts.append(check)
-            if not ids:
-                continue
-            ids, starts = np.concatenate(ids), np.concatenate(starts)
-            d1, d2 = (np.concatenate([h[b] for h in hashes]).view(np.int64) for b in (0, 1))
-            order = np.lexsort((ids, d2, d1))
-            ids, starts, d1, d2 = ids[order], starts[order], d1[order], d2[order]
-            new = np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]) if len(ids) else np.zeros(0, bool)
-            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
-            later = ids > least
-            sure_ids.append(ids[later]), sure[0].append(starts[later]), sure[1].append(starts[later] + width)
-            s_ids, s_at, s_to = np.concatenate(sure_ids), np.concatenate(sure[0]), np.concatenate(sure[1])
-            by = np.lexsort((s_at, s_ids))  # those that touch are one
+    def judge(batch, kept):
+        columns = [lists(batch.column(c)) for c in ("place", "path", "min_doc", "ends")]
+        for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")))):
+            codes = word_codes(text)
+            fits = (columns[0][i] >> _SHIFT) + width <= len(codes)  # not places of another text with this doc_id
+            lo, hi, check = _judge(len(codes), doc_id, *(c[i][fits] for c in columns), width, k) if fits.any() else (np.zeros(0, np.int64),) * 3
+            check = check[check + width <= len(codes)]
+            kept["sure"].append(np.stack([np.full(len(lo), doc_id), lo, hi]))
+            hashes = [Runs(codes, b).of(check, check + width).view(np.int64) for b in (0, 1)]
+            kept["open"].append(np.stack([*hashes, np.full(len(check), doc_id), check]))
+            kept["n"] += len(lo) + len(check)
+
+    def out(kept):
+        d1, d2, ids, starts = np.concatenate(kept["open"], 1)
+        order = np.lexsort((starts, ids, d2, d1))
+        d1, d2, ids, starts = (x[order] for x in (d1, d2, ids, starts))
+        new = np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]) if len(ids) else np.zeros(0, bool)
+        later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        s_ids, s_at, s_to = np.concatenate([*kept["sure"], np.stack([ids[later], starts[later], starts[later] + width])], 1)
+        if len(s_ids):  # those of one document that touch are one
+            by = np.lexsort((s_at, s_ids))
             s_ids, s_at, s_to = s_ids[by], s_at[by], s_to[by]
-            if len(s_ids):
-                cut = np.concatenate([[True], (s_ids[1:] != s_ids[:-1])])
-                base = np.cumsum(cut) << 40
-                a, b = merged(s_at + base, s_to + base)
-                s_ids, base = s_ids[cut][(a >> 40) - 1], (a >> 40) << 40
-                s_at, s_to = a - base, b - base
-            none = np.zeros(len(s_ids), np.int64)
-            for a in range(0, len(s_ids), 100_000):
+            cut = np.concatenate([[True], s_ids[1:] != s_ids[:-1]])
+            base = np.cumsum(cut) << 40
+            a, b = merged(s_at + base, s_to + base)
+            s_ids, base = s_ids[cut][(a >> 40) - 1], (a >> 40) << 40
+            s_at, s_to = a - base, b - base
+        for a in range(0, len(s_ids), 100_000):
+            s = slice(a, a + 100_000)
+            none = pa.nulls(len(s_ids[s]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, *(pa.array(x[s]) for x in (s_ids, s_at, s_to))], names)
+        d1, d2, ids, starts = (x[~later] for x in (d1, d2, ids, starts))
+        if len(ids):  # equal windows of one document that overlap, as in a text that repeats a word, are one row
+            first = np.flatnonzero(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + width)]))
+            ends = starts[np.append(first[1:], len(starts)) - 1] + width
+            d1, d2, ids, starts = (x[first] for x in (d1, d2, ids, starts))
+            for a in range(0, len(ids), 100_000):
                 s = slice(a, a + 100_000)
-                missing = pa.nulls(len(s_ids[s]), pa.int64())
-                yield pa.RecordBatch.from_arrays([missing, missing, pa.array(none[s]), pa.array(s_ids[s]), pa.array(s_at[s]), pa.array(s_to[s])], names)
-            own = np.flatnonzero(~later)
-            for a in range(0, len(own), 100_000):
-                s = own[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(d1[s]), pa.array(d2[s]), pa.array(ids[s]), pa.array(ids[s]), pa.array(starts[s]), pa.array(starts[s] + width)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (d1, d2, ids, ids, starts, ends)], names)
+
+    def go(batches):
+        kept: dict = {"sure": [], "open": [], "n": 0}
+        for batch in batches:
+            judge(batch, kept)
+            if kept["n"] >= _GATHER:
+                yield from out(kept)
+                kept = {"sure": [], "open": [], "n": 0}
+        if kept["open"]:
+            yield from out(kept)
 
     return joined.mapInArrow(go, _PART)
 
@@ -219,7 +228,7 @@ def removed_words(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
     doc_id have no order: they lose nothing and are no source. Rows that share a doc_id count as one document and don't
     remove each other.
     """
-    rows = doc_rows(docs)
+    rows = doc_rows(small_batches(docs))
     known = rows.where("doc_id is not null")
     same = Window.partitionBy("v")
     spread = _vertices(known, width, k)
