@@ -59,7 +59,7 @@ class WordEncoder:
     Remembers words, of which those met but once or twice are dropped when there are more than `most_words`.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
