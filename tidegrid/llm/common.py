@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _saved: list[tuple[SparkSession, str]] = []
 #: What an operator keeps in a Python worker between its tasks; the next operator there clears it.
 remembered: dict = {}
@@ -23,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """df, whose session from now on hands texts to Python in small batches: both sides hold several copies of one."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         key = f"spark.sql.execution.arrow.{key}"

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import table
 
 #: Rules (verdict, host, path) that the query judges by.
@@ -83,6 +84,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
     No rule fits: rule is null, verdict the default. Null url or one without '://': host and path are empty, and no
     rule with a host fits. Repeated rows and null page_ids stay; other columns are ignored; empty table: no rows.
     """
+    ship(pages.sparkSession)
     rules = list(rules)
     if sum(len(h) + len(p) for _, h, p in rules) > MAX_RULE_BYTES:
         raise ValueError("too many rules to broadcast")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(whether each vector can take part, the unit vectors of those that can), in double precision.
@@ -39,6 +41,7 @@ def dimension(table: DataFrame, column: str) -> int:
 
 def units(table: DataFrame, dim: int, others: list[str], column: str = "embedding") -> DataFrame:
     """others, then unit (binary, doubles) and key (binary digest of the direction); both null where a vector takes no part."""
+    ship(table.sparkSession)
     kept = table.select(*others, column)
 
     def run(batches):
