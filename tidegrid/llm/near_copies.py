@@ -1,0 +1,154 @@
+"""Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
+
+Candidates come from MinHash bands (Broder, 1997): a pair at the threshold shares one of the 24 bands of 5 minima with
+probability 1 - (1 - 0.8**5)**24 > 0.9999, where SimHash would leave such a pair about 10 of 64 bits apart, too far for
+any segment index. Each candidate is then verified on the two exact shingle sets. Documents that share a band meet a
+few leaders of it, never each other, and only while they are in different groups; rounds go on with other leaders until
+one finds no link, so that a large group costs a multiple of its size.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bytes_of, list_array, mix, remembered, saved, small_batches
+from .components import components
+from .simhash import keep_least
+
+SHINGLE, THRESHOLD = 5, 0.8
+BANDS, ROWS = 24, 5
+#: Leaders of a band after the first round, and most rounds.
+LEADERS, MAX_ROUNDS = 8, 12
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """(signed hash of the word sequence, sorted different hashes of its shingles). No words: (0, none); fewer than a shingle: one."""
+    words = text.lower().split()
+    if not words:
+        return 0, np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    whole = digest(joined, 1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, width = ends - sizes, min(shingle, len(words))
+    found = [digest(joined[a:b], 0) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+    return whole - (1 << 64) if whole >> 63 else whole, np.unique(np.array(found, np.uint64))
+
+
+def bands(found: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One key for each band of minima; no shingles: no keys."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(11)
+    odd, add = (rng.integers(0, 1 << 64, (n_bands * rows, 1), np.uint64, endpoint=False) for _ in range(2))
+    least = np.full(n_bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(found), 1 << 12):
+            np.minimum(least, (found[at : at + (1 << 12)] * (odd | np.uint64(1)) + add).min(1), out=least)
+        keys = np.arange(n_bands, dtype=np.uint64)
+        for column in mix(least).reshape(n_bands, rows).T:
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+    return keys.view(np.int64)
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n, keys): node stands for the words of the text, n is the number of its shingles."""
+
+    def run(batches):
+        remembered.clear()
+        for batch in batches:
+            made = [shingles(x) for x in bytes_of(batch.column("text"))]
+            keys = [bands(s) for _, s in made]
+            lists = list_array(np.concatenate([*keys, np.zeros(0, np.int64)]), np.array([len(k) for k in keys], np.int64), pa.int64())
+            columns = [batch.column("doc_id"), pa.array([node for node, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys"])
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """(node, items): the shingles of each row."""
+
+    def run(batches):
+        for batch in batches:
+            made = [shingles(x) for x in bytes_of(batch.column("text"))]
+            lists = list_array(np.concatenate([*(s for _, s in made), np.zeros(0, np.uint64)]).view(np.int64), np.array([len(s) for _, s in made], np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in made], pa.int64()), lists], ["node", "items"])
+
+    return small_batches(docs).select("text").mapInArrow(run, "node long, items array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs(u, v) whose shingle sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(zero_copy_only=False), batch.column("b").to_numpy(zero_copy_only=False)
+            keep = []
+            for x, y in zip(a, b):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    # merge joins, which can be split where many candidates meet the same leader
+    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")).hint("merge"), "u")
+    both = left.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")).hint("merge"), "v")
+    return small_batches(both).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _candidates(keyed: DataFrame, threshold: float, group: str, leaders: int, salt: int) -> DataFrame:
+    """(u, v): rows of keyed(node, n, key, group) with the leaders of their key that are in another group and near enough in size."""
+    slot = F.pmod(F.xxhash64("key", "node", F.lit(salt)), F.lit(leaders))
+    firsts = [F.min(F.when(slot == i, F.struct("node", "n", F.col(group).alias("of")))).alias(f"l{i}") for i in range(leaders)]
+    found = keyed.groupBy("key").agg(F.min(group).alias("lo"), F.max(group).alias("hi"), *firsts).where("lo < hi")
+    found = found.select("key", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(leaders))))).alias("l"))
+    near = keyed.join(found.hint("merge"), "key").where((F.col(group) != F.col("l.of")) & (F.least("n", "l.n") >= F.lit(threshold) * F.greatest("n", "l.n")))
+    return near.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
+
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, component_id) for each row of docs(doc_id, text, ...) that has a doc_id.
+
+    component_id is the least doc_id reachable over pairs of at least `threshold`. Texts with the same words are one
+    node of the search, and so are null and wordless ones. Repeated rows each stay.
+    """
+    docs = docs.where("doc_id is not null")
+    signed = saved(_signatures(docs), "signatures")
+    classes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    keyed = signed.select("node", "n", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    keyed = saved(keyed.join(shared.hint("merge"), "key").select("node", "n", "key"), "bands")
+
+    # texts move only for one document of each node that shares a band
+    ids = classes.join(keyed.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    sets = saved(_sets(texts).dropDuplicates(["node"]), "shingles")
+
+    links = saved(_verified(_candidates(keyed, threshold, "node", 1, 0), sets, threshold), "links")
+    for salt in range(1, MAX_ROUNDS):
+        roots = components(links)
+        grouped = keyed.join(roots, "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("root"))
+        more = saved(_verified(_candidates(grouped, threshold, "root", LEADERS, salt), sets, threshold), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+    else:
+        roots = components(links)
+
+    linked = roots.join(classes, "node").select("node", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    moved = linked.join(least, "root").select("node", "least")
+    groups = saved(classes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "groups")
+    return signed.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """docs without near copies: the row with the least doc_id of each group stays, of repeated rows one.
+
+    Rows without a doc_id can't be told apart and stay as they are.
+    """
+    return keep_least(docs, near_copies(docs, **settings))

@@ -103,8 +103,13 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
 
     Rows without a doc_id can't be told apart and stay as they are.
     """
+    return keep_least(docs, near_duplicates(docs, **settings))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is the component_id of found(doc_id, component_id), one of each, and those without a doc_id."""
     kept, rows = fresh(docs, "kept"), fresh(docs, "rows")
-    found = near_duplicates(docs, **settings).where("doc_id is not null")
+    found = found.where("doc_id is not null")
     stay = saved(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias(rows)), "kept")
     # the same plan at every size: the list of ids to keep grows with the input
     here = docs.join(stay.hint("merge"), F.col("doc_id") == F.col(kept)).drop(kept)
