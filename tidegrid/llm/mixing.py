@@ -71,11 +71,56 @@ def exponent_for(measure, n_sources: int, target_entropy: float, max_repeats: fl
     return hi
 
 
-def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 20, seed: int = 7, most_passes: int | None = None) -> DataFrame:
+def _realised(totals: DataFrame, whole: float, budget: float, most_passes: int):
+    """f(exponent, share of the budget) -> entropy of what the sources really give when none gives more than most_passes."""
+    counted = totals.where("total > 0")
+    if counted.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES:
+        sizes = np.array([r["total"] for r in counted.orderBy("total", "source").collect()], float)
+
+        def local(exponent: float, share: float) -> float:
+            raised = (sizes / whole) ** exponent
+            given = np.minimum(budget * share * raised / raised.sum(), sizes * most_passes)
+            weights = given / given.sum()
+            return float(-(weights * np.log(weights)).sum())
+
+        return local
+
+    def spread(exponent: float, share: float) -> float:
+        raised = F.pow(F.col("total") / F.lit(whole), F.lit(exponent))
+        z = counted.agg(F.sum(raised)).first()[0]
+        given = F.least(F.lit(budget * share / z) * raised, F.col("total") * most_passes)
+        g, gl = counted.agg(F.sum(given), F.sum(given * F.log(given))).first()
+        return math.log(g) - gl / g
+
+    return spread
+
+
+def thinning_for(realised, n_sources: int, target_entropy: float) -> tuple[float, float]:
+    """(exponent, share of the budget) at which the realised weights reach target_entropy * ln(n).
+
+    First the exponent falls from 1 to 0; if even equal weights fall short, as small sources have too little, the budget
+    falls until the others come down to them.
+    """
+    goal = target_entropy * math.log(n_sources) if n_sources > 1 else 0.0
+
+    def at(x: float) -> tuple[float, float]:
+        return max(0.0, 1.0 - x), min(1.0, 2.0 - x)
+
+    if realised(*at(0.0)) >= goal:
+        return at(0.0)
+    lo, hi = 0.0, 2.0
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if realised(*at(mid)) >= goal else (mid, hi)
+    return at(hi)
+
+
+def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 20, seed: int = 7, most_passes: int | None = None, realise: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, block, progress): a row for each document and each pass that it is taken in.
 
     docs(doc_id, text, source, ...). Tokens are words between ASCII white space; the budget is budget_share of all
-    of them; with most_passes a source gives at most so many whole passes, whatever its weight asks for. progress, from 0 to below 1, is how far into its source's budget the row's block starts; ordering by it
+    of them; with most_passes a source gives at most so many whole passes, whatever its weight asks for; with realise too, the
+    exponent and the budget are such that the tokens taken reach the entropy. progress, from 0 to below 1, is how far into its source's budget the row's block starts; ordering by it
     interleaves the sources by weight. A document is taken while tokens before it in the pass stay below the budget, so
     a source exceeds it by less than one document. Null or empty text: no tokens, taken with the pass it stands in.
     Null source: a source of its own named ''. Repeated rows each count; null doc_ids stay; empty table or no tokens at
@@ -87,7 +132,11 @@ def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float = 0.95
     totals = saved(base.groupBy("source").agg(F.sum("n_tokens").alias("total")), "sources")
     whole, n_sources = totals.where("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     budget = float(whole) * budget_share
-    exponent = exponent_for(_measures(totals, float(whole), budget), n_sources, target_entropy, max_repeats) if whole else 1.0
+    if realise and most_passes is not None and whole:
+        exponent, share = thinning_for(_realised(totals, float(whole), budget, most_passes), n_sources, target_entropy)
+        budget *= share
+    else:
+        exponent = exponent_for(_measures(totals, float(whole), budget), n_sources, target_entropy, max_repeats) if whole else 1.0
     raised = F.pow(F.col("total") / F.lit(float(whole or 1)), F.lit(exponent))
     norm = totals.where("total > 0").agg(F.sum(raised)).first()[0] or 1.0
     wanted = F.floor(F.lit(budget) * raised / F.lit(norm))
@@ -188,7 +237,8 @@ def rebalance(docs: DataFrame, target_entropy: float = 0.9, **settings) -> DataF
     """docs, with its own columns, thinned to tempered weights: no document is repeated.
 
     The budget is all tokens there are. Sources whose weight asks for more than they have are kept whole; the others
-    are thinned to their weight's tokens. Documents without tokens stay.
+    are thinned to their weight's tokens. The entropy of what is kept then falls short of the target, unless realise is
+    set: then it is that entropy which reaches it, and more is dropped. Documents without tokens stay.
     """
     kept = mix(docs, target_entropy=target_entropy, max_repeats=math.inf, most_passes=1, **settings)
     taken = fresh(docs, "taken")
