@@ -63,10 +63,10 @@ def residual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trajectory_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day-ahead profiles: one pooled residual forest with the horizon as a feature; the peak is at least the mean."""
     panel = gapped_panel(spark, sf_dir)
-    rows = with_split(features.trajectories(panel), panel).withColumn("residual", F.col("target") - F.col("mean_week")).withColumn("residual_peak", F.col("peak") - F.col("peak_week")).persist()
+    rows = with_split(features.trajectories(panel, tuple(range(24))), panel).withColumn("residual", F.col("target") - F.col("mean_week")).withColumn("residual_peak", F.col("peak") - F.col("peak_week")).persist()
     known = ["horizon", "mean_day", "peak_day", "mean_week", "peak_week"]
-    # an anchor trains only if its whole day ends before the split
-    train, test = rows.where(F.col("anchor") + F.expr("interval 23 hours") < F.col("split")), rows.where("anchor >= split")
+    # every hour is an anchor to train on, if its whole day ends before the split; days are forecast from midnight
+    train, test = rows.where(F.col("anchor") + F.expr("interval 23 hours") < F.col("split")), rows.where("anchor >= split and hour(anchor) = 0")
     test = models.predict(models.fit_forest(train, known, "residual", trees=15), test, "mean_forecast", onto="mean_week")
     test = models.predict(models.fit_forest(train, known, "residual_peak", trees=15), test, "peak_raw", onto="peak_week").withColumn("peak_forecast", F.greatest("peak_raw", "mean_forecast"))
     return rounded(test.groupBy("horizon").agg(*ev.regression("mean_forecast", "target"), F.avg(F.abs(F.col("peak_forecast") - F.col("peak"))).alias("peak_mae")))
