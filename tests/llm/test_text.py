@@ -157,23 +157,66 @@ def test_repeated_bytes_on_odd_rows(spark):
     assert suffix_dedup.digest(frame(spark, [])).isEmpty()
 
 
-@pytest.mark.parametrize("letters", [0, 3, 700])
-def test_suffix_arrays(monkeypatch, letters):
-    monkeypatch.setattr(suffix_sort, "MAX_LETTERS", letters)
-    rng = np.random.default_rng(letters)
-    for _ in range(150):
-        t = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 90)), 0)
+def shared_ids():
+    """Rows of one doc_id with different texts, each also in another document."""
+    rng = random.Random(8)
+    one, other = words(rng, 130), words(rng, 140)
+    return [(1, one, "s"), (7, one, "s"), (7, other, "s"), (9, other, "s"), (9, other, "s"), (9, one + " " + other, "s")], one, other
+
+
+def test_rows_that_share_an_id_keep_what_is_theirs(spark):
+    rows, one, other = shared_ids()
+    both = len(one.encode()), len(other.encode())
+    sizes = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.digest(frame(spark, rows)).collect())
+    assert sizes == sorted([(1, both[0], 0), (7, both[0], both[0]), (7, both[1], 0), (9, both[1], both[1]), (9, both[1], both[1]), (9, sum(both) + 1, sum(both))])
+    counts = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in debruijn.digest(frame(spark, rows)).collect())
+    assert counts == sorted([(1, 130, 0), (7, 130, 130), (7, 140, 0), (9, 140, 140), (9, 140, 140), (9, 270, 270)])
+
+
+@pytest.mark.parametrize("op", [suffix_dedup, debruijn])
+def test_many_places_of_one_anchor(spark, op):
+    """A passage that very many documents hold, so that its places travel in rows of their own."""
+    rng = random.Random(9)
+    passage = words(rng, 70)
+    rows = [(i, words(rng, 3) + " " + passage + " " + words(rng, 4), "s") for i in range(1, 200)] + [(300, "la " * 700, "s"), (301, "la " * 500 + words(rng, 9), "s")]
+    settings = {"hot": 50} if op is suffix_dedup else {}
+    got = {r["doc_id"]: tuple(r)[1:] for r in op.digest(frame(spark, rows), **settings).collect()}
+    assert got == (slow_bytes if op is suffix_dedup else slow_words)(rows)
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(3)
+    for k in range(200):
+        t = np.append(rng.integers(1, rng.integers(2, 6) if k % 2 else 60, rng.integers(1, 90)), 0)
         assert suffix_sort.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
-def test_permuted_common_prefixes():
-    raw = np.frombuffer(b"banana bananas and bananas again, bandanas", np.uint8)
-    order = suffix_sort.suffix_array(np.append(raw.astype(np.int64) + 1, 0))[1:]
-    got = suffix_sort.permuted_common_prefixes(raw, order, 12)
+def test_suffix_arrays_recurse_on_real_text(spark, monkeypatch):
+    """Names of substrings are sorted by the same induction, level by level, until all differ."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
+    raw = np.frombuffer("\n".join(texts).encode()[:200_000], np.uint8)
+    levels, sort = [], suffix_sort.suffix_array
+
+    def counted(t):
+        levels.append((len(t), int(t.max()) + 1))
+        return sort(t)
+
+    monkeypatch.setattr(suffix_sort, "suffix_array", counted)
+    order = counted(np.append(raw.astype(np.int64) + 1, 0))
+    assert len(levels) >= 4 and levels[1][1] > 1000  # large alphabets are induced too
     text = raw.tobytes()
-    for a, b, n in zip(order[1:], order[:-1], got):
-        x, y = text[a:].ljust(60, b"\0"), text[b:].ljust(60, b"\0")
-        assert n == min(12, next(k for k in range(60) if x[k] != y[k] or k == 12))
+    assert all(text[a : a + 3000] <= text[b : b + 3000] for a, b in zip(order[1:-1].tolist(), order[2:].tolist()))
+
+
+def test_permuted_common_prefixes():
+    for text in (b"banana bananas and bananas again, bandanas", b"ab" * 90, b"a" * 70 + b"b" + b"a" * 70):
+        raw = np.frombuffer(text, np.uint8)
+        order = suffix_sort.suffix_array(np.append(raw.astype(np.int64) + 1, 0))[1:]
+        got = suffix_sort.permuted_common_prefixes(raw, order, 50)
+        assert got[order[0]] == 0
+        for a, b in zip(order[1:], order[:-1]):
+            both = len(text) - max(a, b)
+            assert got[a] == min(50, next((k for k in range(both) if text[a + k] != text[b + k]), both))
 
 
 # --- op2

@@ -69,10 +69,71 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
 
 
-def by_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """(doc_id, one list for each column), the lists in one order. What a list holds is bounded by its document's length."""
-    packed = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("all"))
-    return packed.select("doc_id", *(F.col(f"all.{c}").alias(c) for c in columns))
+#: Places of a key that go along with its row; more of them travel in rows of their own, of at most PACK places.
+FEW, PACK = 8, 4096
+PLACES = np.dtype([("row", "<i8"), ("place", "<i8")])
+
+
+def packs(keys: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[list[bytes | None], list[tuple[int, int, bytes]]]:
+    """For groups of places: the packed places behind the first of each (None: none, or too many), and rows
+    (new key, old key, packed places) of those with too many. New keys spread a hot key's rows over all partitions."""
+    more: list[bytes | None] = [None] * len(firsts)
+    dealt = []
+    for k in np.flatnonzero(sizes > 1).tolist():
+        own = places[firsts[k] + 1 : firsts[k] + sizes[k]]
+        if len(own) <= FEW:
+            more[k] = own.tobytes()
+            continue
+        old = keys[firsts[k]]
+        for a in range(0, len(own), PACK):
+            some = own[a : a + PACK]
+            seed = np.array([old, some["row"][0], some["place"][0]]).view(np.uint64)
+            new = mix(mix(mix(seed[:1]) + seed[1:2]) + seed[2:])
+            dealt.append((int(new.view(np.int64)[0]), int(old), some.tobytes()))
+    return more, dealt
+
+
+def unpacked(rows: DataFrame, *others: str) -> DataFrame:
+    """(row, place, others): a row for each occurrence in rows(row, place, more, others); a null row has its places in more alone."""
+    kinds = dict(rows.dtypes)
+
+    def go(batches):
+        for batch in batches:
+            rest = [(i, np.frombuffer(m, PLACES)) for i, m in enumerate(batch.column("more").to_pylist()) if m is not None]
+            known = np.flatnonzero(np.array(batch.column("row").is_valid()))
+            own = np.concatenate([known, *(np.full(len(m), i) for i, m in rest)]).astype(np.int64)
+            row = np.concatenate([np.array(batch.column("row").fill_null(0))[known], *(m["row"] for _, m in rest)])
+            place = np.concatenate([np.array(batch.column("place"))[known], *(m["place"] for _, m in rest)])
+            for a in range(0, len(own), 100_000):
+                at = pa.array(own[a : a + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(row[a : a + 100_000]), pa.array(place[a : a + 100_000]), *(batch.column(c).take(at) for c in others)], ["row", "place", *others])
+
+    fields = ", ".join(f"{c} {kinds[c]}" for c in others)
+    return rows.select("row", "place", "more", *others).mapInArrow(go, f"row long, place long, {fields}")
+
+
+def by_row(rows: DataFrame, *columns: str) -> DataFrame:
+    """(row, one list for each column), the lists in one order. What a list holds is bounded by its text's length."""
+    packed = rows.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("all"))
+    return packed.select("row", *(F.col(f"all.{c}").alias(c) for c in columns))
+
+
+def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """texts(row, doc_id, ...), dealt by row, each with the lists at and to of spans(row, doc_id, at, to) (null: none).
+
+    Two rows with one hash are told apart by their ids, which stay out of the join's keys, as texts are dealt by row alone.
+    """
+    found = spans.repartition("row").groupBy("row", "doc_id").agg(F.collect_list(F.struct("at", "to")).alias("all"))
+    found = found.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"), F.col("all.at").alias("at"), F.col("all.to").alias("to"))
+    same = (F.col("row") == F.col("_row")) & (F.col("doc_id") <= F.col("_id")) & (F.col("doc_id") >= F.col("_id"))
+    return texts.join(found, same, "left").drop("_row", "_id")
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it; the first does."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 def lists(column: pa.Array, kind=np.int64) -> list[np.ndarray]:
@@ -83,11 +144,13 @@ def lists(column: pa.Array, kind=np.int64) -> list[np.ndarray]:
 
 
 def doc_rows(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, c0, c1, ...); columns that have their type already stay as they are, so that equal exchanges look equal."""
+    """(doc_id, text, row, c0, c1, ...), row a hash of id and text; columns that have their type already stay as they
+    are, so that equal exchanges look equal."""
     kinds = {"doc_id": "bigint", "text": "string"}
     found = dict(docs.select(*kinds).dtypes)
     own = [F.col(c) if found[c] == k else F.col(c).cast(k).alias(c) for c, k in kinds.items()]
-    return docs.select(*own, *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
+    found = docs.select(*own, *(F.col(c).alias(f"c{i}") for i, c in enumerate(carried)))
+    return found.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def group_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,15 +1,15 @@
 """Repeated byte strings found with induced suffix arrays, shard by shard.
 
-0. Documents whose whole text an earlier one has too go whole; one of each such group goes on.
 1. Every 100-byte window of every text has an anchor; anchors that occur once are dropped by a count over all texts.
-2. The bytes around the others are cut out: one segment for each run of windows with the same anchor. Equal segments
-   are folded to their earliest place before they move, so that thousands of copies are one row a task.
-3. Segments with the same anchor come together in a shard. Shards are suffix-sorted by induction, and windows that
-   share 100 bytes with their neighbour in the order, as the permuted common prefixes tell, form groups whose earliest
-   window stays. An anchor with very many occurrences is cut into single windows, dealt out by their content.
+2. The bytes around the others are cut out: one segment for each run of windows with the same anchor. A task combines
+   equal segments before they move, as sums are combined: the earliest place goes on, and later ones are repeats of it.
+3. Segments with the same anchor come together in a shard. A shard is suffix-sorted by recursive induction; its permuted
+   common prefixes tell which windows share 100 bytes with their neighbour in the order, and of each such group the
+   earliest window stays. An anchor with very many occurrences is cut into single windows, dealt out by their content.
 4. Each document's removed spans are united and its remaining bytes hashed.
 
-Every window is judged: steps 1 and 2 drop only windows that cannot repeat.
+Every window is judged: step 1 drops only windows that cannot repeat. Rows are told apart by a hash of id and text, and
+the id gives the order alone, so that rows which share an id keep what is theirs.
 """
 
 from __future__ import annotations
@@ -22,20 +22,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, mix, remembered, saved, small_batches, table
-from .spans import PIECE, Runs, anchors, by_document, doc_rows, group_rows, lists, merged
+from .spans import PIECE, PLACES, Runs, anchors, by_row, changes, doc_rows, group_rows, lists, merged, packs, unpacked, with_spans
 from .suffix_sort import permuted_common_prefixes, suffix_array
 
 WIDTH = 100
 #: Bytes that an anchor is a hash of.
 RUN = 32
 #: Occurrences from which an anchor's windows are dealt out one by one.
-HOT = 20_000
+HOT = 8_000
 SHARD_BYTES = 2 << 20
 #: Occurrences that one task gathers before it hands on what it has folded.
 _GATHER = 1 << 20
 
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PLACES = np.dtype([("doc_id", "<i8"), ("place", "<i8")])
 
 
 def _runs(text: bytes, width: int, run: int):
@@ -47,29 +46,39 @@ def _runs(text: bytes, width: int, run: int):
         yield hashes[at], first + a, count
 
 
+_ANCHORS = "h long, of long, row long, place long, others long, more binary"
+
+
 def _anchored(docs: DataFrame, width: int, run: int) -> DataFrame:
-    """(h, doc_id, place, more): a row for each anchor and task; place is first window * 128 + windows, more the rest."""
+    """A row (h, row, place, others, more) for each anchor and task: place is first window * 128 + windows, others the
+    number of further occurrences, more their places. Many of them go in rows of their own, dealt by their content (of: the anchor)."""
+    names = [f.split()[0] for f in _ANCHORS.split(", ")]
 
     def fold(kept):
-        h, ids, place = (np.concatenate(x) for x in zip(*kept))
+        h, rows, place = (np.concatenate(x) for x in zip(*kept))
         order, firsts, sizes = group_rows(h)
-        ids, place = ids[order], place[order]
-        more = [None] * len(firsts)
-        both = np.empty(len(h), _PLACES)
-        both["doc_id"], both["place"] = ids, place
-        for k in np.flatnonzero(sizes > 1).tolist():
-            more[k] = both[firsts[k] + 1 : firsts[k] + sizes[k]].tobytes()
+        h, both = h[order].view(np.int64), np.empty(len(h), PLACES)
+        both["row"], both["place"] = rows[order], place[order]
+        more, dealt = packs(h, firsts, sizes, both)
         for a in range(0, len(firsts), 100_000):
             some = firsts[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][some].view(np.int64)), pa.array(ids[some]), pa.array(place[some]), pa.array(more[a : a + 100_000], pa.binary())], ["h", "doc_id", "place", "more"])
+            columns = [pa.array(h[some]), pa.nulls(len(some), pa.int64()), pa.array(both["row"][some]), pa.array(both["place"][some]), pa.array(sizes[a : a + 100_000] - 1), pa.array(more[a : a + 100_000], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        if dealt:
+            key, of, packed = zip(*dealt)
+            none = pa.array(np.zeros(len(key), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(of, pa.int64()), none, none, none, pa.array(packed, pa.binary())], names)
 
     def go(batches):
         remembered.clear()
-        kept, n = [], 0
+        kept, n, before = [], 0, None
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
+            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
+                if (row, doc_id) == before:  # a repeated row: they stand together
+                    continue
+                before = (row, doc_id)
                 for h, first, count in _runs(text, width, run):
-                    kept.append((h, np.full(len(h), doc_id), first * 128 + count))
+                    kept.append((h, np.full(len(h), row), first * 128 + count))
                     n += len(h)
                 if n >= _GATHER:
                     yield from fold(kept)
@@ -77,84 +86,74 @@ def _anchored(docs: DataFrame, width: int, run: int) -> DataFrame:
         if kept:
             yield from fold(kept)
 
-    return docs.mapInArrow(go, "h long, doc_id long, place long, more binary")
-
-
-def _unfolded(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, place, n): a row for each occurrence."""
-
-    def go(batches):
-        for batch in batches:
-            h, n, more = batch.column("h").to_numpy(), batch.column("n").to_numpy(), batch.column("more").to_pylist()
-            rest = [(k, np.frombuffer(m, _PLACES)) for k, m in enumerate(more) if m is not None]
-            own = np.concatenate([np.arange(len(h)), *(np.full(len(m), k) for k, m in rest)])
-            ids = np.concatenate([batch.column("doc_id").to_numpy(), *(m["doc_id"] for _, m in rest)])
-            place = np.concatenate([batch.column("place").to_numpy(), *(m["place"] for _, m in rest)])
-            for a in range(0, len(own), 100_000):
-                at = own[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100_000]), pa.array(h[at]), pa.array(place[a : a + 100_000]), pa.array(n[at])], ["doc_id", "h", "place", "n"])
-
-    return rows.mapInArrow(go, "doc_id long, h long, place long, n long")
+    return docs.mapInArrow(go, _ANCHORS)
 
 
 class _Folded:
-    """Segments by content: the earliest place of each; the later places are repeats at once."""
+    """Segments by content: the earliest place of each; places behind it are repeats at once."""
 
     def __init__(self):
-        self.first: dict[tuple[int, bytes], tuple[int, int]] = {}
-        self.repeats: list[tuple[int, int, int]] = []
+        self.first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        self.level: list[tuple[int, int, int, int, bytes]] = []  # of another row with the same doc_id: neither is earlier
+        self.repeats: list[tuple[int, int, int, int]] = []
         self.bytes = 0
 
-    def add(self, key: int, segment: bytes, doc_id: int, at: int) -> None:
-        old = self.first.setdefault((key, segment), (doc_id, at))
-        if old == (doc_id, at):
+    def add(self, key: int, segment: bytes, place: tuple[int, int, int]) -> None:
+        """place: (doc_id, row, at)."""
+        old = self.first.setdefault((key, segment), place)
+        if old == place:
             self.bytes += len(segment)
-            return
-        if (doc_id, at) < old:
-            self.first[key, segment], (doc_id, at) = (doc_id, at), old
-        self.repeats.append((doc_id, at, at + len(segment)))
+        elif old[0] == place[0] and old[1] != place[1]:
+            self.level.append((key, *place, segment))
+            self.bytes += len(segment)
+        else:
+            if place < old:
+                self.first[key, segment], place = place, old
+            self.repeats.append((*place, place[2] + len(segment)))
 
 
-_PART = "h long, doc_id long, at long, to long, segment binary"
+_PART = "h long, doc_id long, row long, at long, to long, segment binary"
 
 
 def _part(rows: list[tuple]) -> pa.RecordBatch:
-    h, ids, at, to, segment = zip(*rows) if rows else ((),) * 5
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(to, pa.int64()), pa.array(segment, pa.binary())], ["h", "doc_id", "at", "to", "segment"])
+    *numbers, segment = zip(*rows) if rows else ((),) * 6
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(segment, pa.binary())], [f.split()[0] for f in _PART.split(", ")])
 
 
-def _joined_repeats(repeats: list[tuple[int, int, int]]) -> list[tuple]:
-    """Repeats as rows without a segment; those of one document that touch are one."""
+def _joined_repeats(repeats: list[tuple[int, int, int, int]]) -> list[tuple]:
+    """Repeats as rows without a segment; those of one row that touch are one."""
     out: list[list] = []
-    for doc_id, at, to in sorted(repeats):
-        if out and out[-1][1] == doc_id and at <= out[-1][3]:
-            out[-1][3] = max(out[-1][3], to)
+    for doc_id, row, at, to in sorted(repeats):
+        if out and out[-1][1:3] == [doc_id, row] and at <= out[-1][4]:
+            out[-1][4] = max(out[-1][4], to)
         else:
-            out.append([None, doc_id, at, to, None])
+            out.append([None, doc_id, row, at, to, None])
     return [tuple(x) for x in out]
 
 
-def _segments(joined: DataFrame, width: int, hot: int, most_bytes: int = 16 << 20) -> DataFrame:
-    """From (doc_id, text, h, place, n): segments (h, doc_id, at, to, segment), and repeats, which have no segment."""
+def _segments(joined: DataFrame, width: int, most_bytes: int = 16 << 20) -> DataFrame:
+    """From (doc_id, row, text, h, place, hot): segments (h, doc_id, row, at, to, segment), and repeats, which have no segment."""
 
     def out(folded: _Folded):
-        rows = [(h, doc_id, at, at + len(segment), segment) for (h, segment), (doc_id, at) in folded.first.items()] + _joined_repeats(folded.repeats)
+        rows = [(h, *place, place[2] + len(segment), segment) for (h, segment), place in folded.first.items()]
+        rows += [(h, doc_id, row, at, at + len(segment), segment) for h, doc_id, row, at, segment in folded.level]
+        rows += _joined_repeats(folded.repeats)
         for a in range(0, len(rows), 20_000):
             yield _part(rows[a : a + 20_000])
 
     def go(batches):
         folded = _Folded()
         for batch in batches:
-            hs, places, counts = (lists(batch.column(c)) for c in ("h", "place", "n"))
-            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")))):
-                for h, place, n in zip(hs[k].tolist(), places[k].tolist(), counts[k].tolist()):
+            hs, places, hots = (lists(batch.column(c)) for c in ("h", "place", "hot"))
+            for k, (doc_id, row, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), bytes_of(batch.column("text")))):
+                for h, place, hot in zip(hs[k].tolist(), places[k].tolist(), hots[k].tolist()):
                     first, windows = place >> 7, place & 127
-                    if n <= hot:
-                        folded.add(h, text[first : first + windows + width - 1], doc_id, first)
+                    if not hot:
+                        folded.add(h, text[first : first + windows + width - 1], (doc_id, row, first))
                         continue
                     for at in range(first, first + windows):
                         one = text[at : at + width]
-                        folded.add(int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), one, doc_id, at)
+                        folded.add(int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), one, (doc_id, row, at))
                 if folded.bytes + 64 * len(folded.repeats) > most_bytes:
                     yield from out(folded)
                     folded = _Folded()
@@ -163,99 +162,88 @@ def _segments(joined: DataFrame, width: int, hot: int, most_bytes: int = 16 << 2
     return joined.mapInArrow(go, _PART)
 
 
-def repeated_windows(segments: list[bytes], width: int) -> list[tuple[int, int, int]]:
-    """(segment, start, end) of the bytes covered by windows that also start earlier: in an earlier segment, or before
-    in the same one. Segments count as separate texts."""
+def repeated_windows(segments: list[bytes], docs: np.ndarray, rows: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(segment, start, end) of the bytes covered by windows that also start in a smaller doc, or before in the same row.
+
+    Segments count as separate texts and stand in the order of (docs, rows, place in the row).
+    """
     sizes = np.array([len(s) for s in segments], np.int64)
     firsts = np.cumsum(sizes + 1) - sizes - 1
     text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)  # a byte that no UTF-8 text has
-    codes = np.append(text.astype(np.int64) + 1, 0)
-    order = suffix_array(codes)
-    is_start = np.zeros(len(codes), bool)
     windows = np.maximum(sizes - width + 1, 0)
-    starts = np.repeat(firsts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    is_start[starts] = True
-    order = order[is_start[order]]
-    if not len(order):
+    if not windows.any():
         return []
-    shared = permuted_common_prefixes(text, order, width)
-    group = np.flatnonzero(np.concatenate([[True], shared < width]))
-    earliest = np.minimum.reduceat(order, group)
-    again = np.zeros(len(codes), bool)
-    again[order] = order != np.repeat(earliest, np.diff(group, append=len(order)))
-    found = np.flatnonzero(again)
-    owner = np.searchsorted(firsts, found, side="right") - 1
-    begin = np.flatnonzero(np.concatenate([[True], (np.diff(found) > 1) | (np.diff(owner) > 0)])) if len(found) else np.zeros(0, np.int64)
-    last = np.concatenate([begin[1:] - 1, [len(found) - 1]]) if len(found) else begin
-    return list(zip(owner[begin].tolist(), (found[begin] - firsts[owner[begin]]).tolist(), (found[last] - firsts[owner[begin]] + width).tolist()))
+    order = suffix_array(np.append(text.astype(np.int32) + 1, 0))[1:]
+    group = np.cumsum(permuted_common_prefixes(text, order, width)[order] < width)
+    owner = np.repeat(np.arange(len(segments)), sizes + 1)
+    is_start = np.arange(len(text)) - firsts[owner] < windows[owner]
+    some = is_start[order]
+    at, group = order[some], group[some]
+    by = np.argsort(group * len(text) + at)
+    at, group = at[by], group[by]
+    number = np.cumsum(changes(docs) | changes(rows))[owner[at]]
+    new = changes(group)
+    least = docs[owner[at[new]]][np.cumsum(new) - 1]
+    gone = (docs[owner[at]] > least) | ~(new | changes(number))
+    found = np.sort(at[gone])
+    if not len(found):
+        return []
+    own = owner[found]
+    begin = np.flatnonzero(changes(found - np.arange(len(found))) | changes(own))
+    last = np.append(begin[1:], len(found)) - 1
+    base = firsts[own[begin]]
+    return list(zip(own[begin].tolist(), (found[begin] - base).tolist(), (found[last] - base + width).tolist()))
 
 
 def _shard_rows(batches, width: int, shard_bytes: int):
-    """Batches (doc_id, at, to) of the repeats in batches of segments that stand in the order of h."""
-
-    def resolve(pending: list[list[tuple]]):
-        repeats, kept = [], []
-        for rows in pending:
-            folded = _Folded()
-            for h, doc_id, at, segment in rows:
-                folded.add(h, segment, doc_id, at)
-            repeats += folded.repeats
-            if len(folded.first) > 1:  # one content alone has nothing to share a window with
-                kept += [(doc_id, at, segment) for (_, segment), (doc_id, at) in folded.first.items()]
-        kept.sort(key=lambda x: x[:2])
-        for k, a, b in repeated_windows([x[2] for x in kept], width) if kept else []:
-            repeats.append((kept[k][0], kept[k][1] + a, kept[k][1] + b))
-        rows = _joined_repeats(repeats)
+    """Batches (doc_id, row, at, to) of the repeats in batches of segments that stand in the order of h."""
+
+    def resolve(pending: list[tuple]):
+        kept = sorted(set(pending))
+        spans = repeated_windows([x[3] for x in kept], np.array([x[0] for x in kept]), np.array([x[1] for x in kept]), width)
+        rows = _joined_repeats([(kept[k][0], kept[k][1], kept[k][2] + a, kept[k][2] + b) for k, a, b in spans])
         for a in range(0, len(rows), 100_000):
             some = list(zip(*rows[a : a + 100_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(some[i], pa.int64()) for i in (1, 2, 3)], ["doc_id", "at", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(some[i], pa.int64()) for i in (1, 2, 3, 4)], ["doc_id", "row", "at", "to"])
 
     pending, size, last = [], 0, None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "segment"))):
-            if row[0] != last:
+        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "row", "at", "segment"))):
+            if h != last:
                 if size > shard_bytes:
                     yield from resolve(pending)
                     pending, size = [], 0
-                pending.append([])
-                last = row[0]
-            pending[-1].append(row)
+                last = h
+            pending.append(tuple(row))
             size += len(row[3])
     if pending:
         yield from resolve(pending)
 
 
 def removed_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, c0, c1, ..., at, to): docs, with the carried columns as c0 and so on, each with the lists of its
-    removed half-open byte spans (null: none).
+    """(doc_id, text, row, c0, c1, ..., at, to): docs, with the carried columns as c0 and so on, each with the lists of
+    its removed half-open byte spans (null: none).
 
-    A byte goes if a string of `width` bytes over it also starts earlier: in a document with a smaller doc_id, or before
-    in the same one. Rows with a null doc_id have no order: they lose nothing and are no source. Rows that share a doc_id
-    count as the same document: equal rows don't remove each other, and what goes from one goes from all.
+    A byte goes if a string of `width` bytes over it also starts earlier: in a row with a smaller doc_id, or before in
+    the same row. Rows with a null doc_id have no order: they lose nothing and are no source. Rows that share a doc_id,
+    with equal texts or not, are documents of their own and don't remove each other. Texts of any length are judged
+    whole; one of less than `width` bytes loses nothing.
     """
     rows = doc_rows(small_batches(docs), carried)
-    known = rows.where("doc_id is not null")
     # one exchange of the texts, which all three readings below share: each takes all its columns, so that none is another
-    texts = known.repartition("doc_id")
-    copies = saved(_copies(known), "copies")
-    # a flag, as an anti-join would move below the exchange
-    originals = texts.join(copies.select("doc_id", F.lit(True).alias("copied")), "doc_id", "left").where("copied is null").drop("copied")
+    texts = rows.where("doc_id is not null").repartition("row")
     here = Window.partitionBy("h")
-    number = F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0)) / _PLACES.itemsize
-    counted = _anchored(originals, width, run).withColumn("n", F.sum(number.cast("long")).over(here)).where("n > 1")
-    lists_of = by_document(_unfolded(counted), "h", "place", "n")
-    parts = _segments(texts.join(lists_of, "doc_id"), width, hot)
-    dealt = parts.repartition(F.col("h"), F.when(F.col("h").isNull(), F.col("doc_id"))).sortWithinPartitions("h")
-    whole = copies.where(F.col("size") >= width).select("doc_id", F.lit(0).cast("long").alias("at"), F.col("size").cast("long").alias("to"))
-    spans = _resolved(dealt, width, shard_bytes).union(whole)
-    return texts.join(by_document(spans, "at", "to"), "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
-
-
-def _copies(known: DataFrame) -> DataFrame:
-    """(doc_id, size) of documents whose whole text, of `size` bytes, an earlier document has too."""
-    keyed = known.select("doc_id", F.sha2("text", 256).alias("key"), F.octet_length("text").alias("size")).where("size > 0")
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return keyed.join(first, "key").where("doc_id > first").select("doc_id", "size").distinct()
+    counted = _anchored(texts.sortWithinPartitions("row", "doc_id"), width, run).withColumn("n", F.sum(F.col("others") + 1).over(here))
+    counted = saved(counted.where("n > 1 or of is not null"), "anchors")
+    # what a task had many of is known to repeat; only whether its anchor is hot is looked up
+    many = counted.where("of is null").where(F.col("n") > hot).select(F.col("h").alias("_h")).distinct()
+    few = counted.where("of is null").select("h", "row", "place", (F.col("n") > hot).cast("long").alias("hot"), "more")
+    packed = counted.where("of is not null").join(many, F.col("of") == F.col("_h"), "left")
+    packed = packed.select(F.col("of").alias("h"), F.lit(None).cast("long").alias("row"), F.lit(0).cast("long").alias("place"), F.col("_h").isNotNull().cast("long").alias("hot"), "more")
+    lists_of = by_row(unpacked(few.union(packed), "h", "hot"), "h", "place", "hot")
+    parts = _segments(texts.join(lists_of, "row"), width)
+    dealt = parts.repartition(F.col("h"), F.when(F.col("h").isNull(), F.col("row"))).sortWithinPartitions("h")
+    return with_spans(texts, _resolved(dealt, width, shard_bytes)).unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
 
 
 def _resolved(dealt: DataFrame, width: int, shard_bytes: int) -> DataFrame:
@@ -266,7 +254,7 @@ def _resolved(dealt: DataFrame, width: int, shard_bytes: int) -> DataFrame:
             for batch in batches:
                 known = batch.filter(batch.column("h").is_null())
                 if known.num_rows:
-                    kept.append(known.select(["doc_id", "at", "to"]))
+                    kept.append(known.select(["doc_id", "row", "at", "to"]))
                 yield batch.filter(batch.column("h").is_valid())
 
         kept: list[pa.RecordBatch] = []
@@ -276,14 +264,14 @@ def _resolved(dealt: DataFrame, width: int, shard_bytes: int) -> DataFrame:
             yield batch
         yield from kept
 
-    return dealt.mapInArrow(go, "doc_id long, at long, to long")
+    return dealt.mapInArrow(go, "doc_id long, row long, at long, to long")
 
 
 def digest(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of docs(doc_id, text, ...).
 
-    Null or empty text: no bytes. See removed_spans for ids that are null or repeated. Empty table: no rows. Other
-    columns are ignored.
+    Null or empty text: no bytes. See removed_spans for ids that are null or repeated and for long texts. Empty table:
+    no rows. Other columns are ignored.
     """
 
     def go(batches):

@@ -1,45 +1,78 @@
 """Suffix sorting by induction (Nong, Zhang and Chan, 2009) and permuted common prefixes, in numpy.
 
-Whole buckets are induced at a time: what a bucket puts into itself comes in rounds, one for each further letter of a
-run, and all else it puts elsewhere is dealt out in one stable pass. Names of leftmost-smaller substrings form the
-string of the next level, which is sorted the same way while its alphabet is small enough for buckets; one with a large
-alphabet is sorted by doubling the compared length (Manber and Myers, 1993), in ever fewer unsettled groups.
+Suffixes are larger (L) or smaller (S) than the one behind them; leftmost-smaller ones (LMS) begin an S run. The
+substrings between LMS places are sorted by induction and named, the string of names is sorted by the same function,
+one level down, and the order found there is induced back up. A level's alphabet may have hundreds of thousands of
+letters, so buckets are taken in runs of neighbouring letters in which none puts a suffix into another: numpy then
+handles a run at once. How far such runs reach is known before, from the letter pairs of the text; there are about as
+many as the square root of its length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Letters up to which a level is induced bucket by bucket.
-MAX_LETTERS = 700
+#: Places at which a common prefix is counted from nothing; those between start from the place before.
+SPARSE = 64
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+def _equal_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal values; x has at least one."""
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    firsts = new.nonzero()[0]
+    counts = np.empty_like(firsts)
+    np.subtract(firsts[1:], firsts[:-1], out=counts[:-1])
+    counts[-1] = len(x) - firsts[-1]
+    return firsts, counts
 
 
 class _Induction:
     def __init__(self, t: np.ndarray):
         """t: codes from 0; the last one is 0 and the only one."""
-        self.t, n = t, len(t)
+        n = len(t)
+        self.t = t = t.astype(np.uint16 if t.max() < 1 << 16 else np.int32)  # numpy sorts 16 bits by radix
         steps = np.flatnonzero(t[1:] != t[:-1])
-        self.smaller = np.ones(n, bool)  # S type: smaller than the next suffix
+        self.smaller = np.ones(n, bool)
         self.smaller[:-1] = np.repeat(t[steps] < t[steps + 1], np.diff(steps, prepend=-1))
         self.lms = np.flatnonzero(self.smaller[1:] & ~self.smaller[:-1]) + 1
         self.sizes = np.bincount(t)
         self.tails = np.cumsum(self.sizes)
         self.heads = self.tails - self.sizes
-        self.letters = np.flatnonzero(self.sizes)
+        self.up, self.down = self._letter_runs()
+
+    def _letter_runs(self) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Half-open runs of letters for the pass over L suffixes, and, from the top, for the one over S suffixes."""
+        t, k = self.t, len(self.sizes)
+        before, after, smaller = t[:-1], t[1:], self.smaller[:-1]
+        # a run may not hold a letter and one that it puts suffixes into: least such letter for each, from it on
+        lowest = np.full(k + 1, k, np.int64)
+        some = ~smaller & (before > after)
+        np.minimum.at(lowest, after[some], before[some])
+        ends = np.minimum.accumulate(lowest[::-1])[::-1]
+        up, at = [], 0
+        while at < k:
+            up.append((at, int(ends[at])))
+            at = up[-1][1]
+        highest = np.full(k + 1, -1, np.int64)
+        some = smaller & (before < after)
+        np.maximum.at(highest, after[some], before[some])
+        starts = np.maximum.accumulate(highest)
+        down, at = [], k
+        while at > 0:
+            down.append((int(starts[at - 1]) + 1, at))
+            at = down[-1][0]
+        return up, down
 
     def _deal(self, sa: np.ndarray, at: np.ndarray, where: np.ndarray, down: bool) -> None:
         """Append the suffixes `at`, in turn, to the ends `where` of their buckets."""
         if not len(at):
             return
         letter = self.t[at]
-        order = np.argsort(_small(letter), kind="stable")
+        order = letter.argsort(kind="stable")
         letter, at = letter[order], at[order]
-        firsts = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
-        counts = np.diff(firsts, append=len(at))
+        firsts, counts = _equal_runs(letter)
         nth = np.arange(len(at)) - np.repeat(firsts, counts)
         if down:
             sa[where[letter] - 1 - nth] = at
@@ -48,36 +81,50 @@ class _Induction:
             sa[where[letter] + nth] = at
             where[letter[firsts]] += counts
 
+    def _induce(self, sa: np.ndarray, lo: int, hi: int, where: np.ndarray, down: bool) -> None:
+        """Put the suffixes before those of the buckets lo to hi into their buckets."""
+        span = slice(self.heads[lo], self.tails[hi - 1])
+        fits = self.smaller if down else ~self.smaller
+        some = sa[span]
+        some = some[some > 0] - 1
+        some = some[fits[some]]
+        if not len(some):
+            return
+        same = self.t[some] == self.t[some + 1]
+        own = some[same]
+        if not len(own):
+            self._deal(sa, some[::-1] if down else some, where, down)
+            return
+        while len(own):  # what a bucket puts into itself: a round for each further letter of a repeated one
+            own = own[::-1] if down else own
+            self._deal(sa, own, where, down)
+            own = own[::-1] if down else own
+            own = own[own > 0] - 1
+            own = own[fits[own] & (self.t[own] == self.t[own + 1])]
+        some = sa[span]
+        some = some[some > 0] - 1
+        some = some[fits[some] & (self.t[some] != self.t[some + 1])]
+        self._deal(sa, some[::-1] if down else some, where, down)
+
     def run(self, lms: np.ndarray) -> np.ndarray:
-        """Suffix array induced from the leftmost-smaller suffixes in the order given."""
+        """Suffix array induced from the LMS suffixes in the order given."""
         n, sa = len(self.t), np.full(len(self.t), -1, np.int64)
-        starts = self.tails.copy()
-        self._deal(sa, lms[::-1], starts, True)
-        heads = self.heads.copy()
-        for c in self.letters.tolist():
-            done = self.heads[c]
-            while done < heads[c]:
-                some, done = sa[done : heads[c]] - 1, heads[c]
-                some = some[some >= 0]
-                self._deal(sa, some[~self.smaller[some]], heads, False)
-            some = sa[starts[c] : self.tails[c]] - 1
-            self._deal(sa, some[some >= 0], heads, False)  # before a leftmost-smaller suffix all are larger
-        tails = self.tails.copy()
-        for c in self.letters[::-1].tolist():
-            done = self.tails[c]
-            while done > tails[c]:
-                some, done = sa[tails[c] : done][::-1] - 1, tails[c]
-                some = some[some >= 0]
-                self._deal(sa, some[self.smaller[some]], tails, True)
-            some = sa[self.heads[c] : heads[c]][::-1] - 1
-            some = some[some >= 0]
-            self._deal(sa, some[self.smaller[some]], tails, True)
-        if sa[0] != n - 1:  # the end mark has nothing after it to be induced from
-            sa[0] = n - 1
+        self._deal(sa, lms[::-1], self.tails.copy(), True)
+        heads, tails = self.heads.copy(), self.tails.copy()
+        for lo, hi in self.up:
+            self._induce(sa, lo, hi, heads, False)
+        found = sa[sa >= 0]
+        found = found[~self.smaller[found]]  # S suffixes are now induced from the L ones
+        sa[:] = -1
+        self._deal(sa, found, self.heads.copy(), False)
+        sa[0] = n - 1  # the end mark has nothing behind it to be induced from
+        tails[0] = 0
+        for lo, hi in self.down:
+            self._induce(sa, lo, hi, tails, True)
         return sa
 
     def names(self, ordered: np.ndarray) -> np.ndarray:
-        """Ranks, in text order, of the leftmost-smaller substrings, given their order; equal ones share a rank."""
+        """Ranks, in text order, of the LMS substrings, given their order; equal ones share a rank."""
         t, ends = self.t, np.append(self.lms[1:], len(self.t) - 1)
         number = np.empty(len(t), np.int64)
         number[self.lms] = np.arange(len(self.lms))
@@ -96,29 +143,6 @@ class _Induction:
         return out
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    """Suffix array of t, whose last code is the least and the only one of its kind."""
-    n, step = len(t), 1
-    order = np.argsort(t, kind="stable")
-    first = np.concatenate([[True], t[order][1:] != t[order][:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]  # rank: place of the first of its group
-    while True:
-        grouped = rank[order]
-        counts = np.diff(np.flatnonzero(np.concatenate([grouped[1:] != grouped[:-1], [True]])), prepend=-1)
-        open_places = np.flatnonzero(np.repeat(counts, counts) > 1)
-        if not len(open_places):
-            return order
-        some = order[open_places]
-        key = rank[some] * (n + 1) + rank[np.minimum(some + step, n - 1)]
-        by = np.argsort(key, kind="stable")
-        some, key = some[by], key[by]
-        order[open_places] = some
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[some] = open_places[np.flatnonzero(first)][np.cumsum(first) - 1]
-        step *= 2
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Places of the suffixes of t in order. t: codes from 0, of which the last is 0 and the only one."""
     if len(t) < 3:
@@ -130,28 +154,33 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     ordered = ordered[is_lms[ordered]]
     names = level.names(ordered)
     if names.max() + 1 < len(names):
-        below = suffix_array(names) if names.max() < MAX_LETTERS else _by_doubling(names)
-        ordered = level.lms[below]
+        ordered = level.lms[suffix_array(names)]
     return level.run(ordered)
 
 
-def permuted_common_prefixes(text: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
-    """For each of `places` but the first, in the order given: letters that it shares with the one before, at most `most`.
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each place of text, in text order: letters that its suffix shares with the one before it in the suffix
+    array `order`, at most `most` (Kaerkkaeinen, Manzini and Puglisi, 2009). The first suffix shares none.
 
-    text: bytes. All comparisons go on together, eight letters at a time; pairs that differ drop out.
+    A place shares at least what the place before it does, less one. So the shares of every SPARSE-th place are counted
+    from nothing and those of the places behind them, all at once, from that bound; eight letters at a time.
     """
+    n = len(text)
     padded = np.concatenate([text, np.zeros(most + 16, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    a, b = places[1:], places[:-1]
-    shared, left = np.zeros(len(a), np.int64), np.arange(len(a))
-    for at in range(0, most, 8):
-        x, y = words[a[left] + at].view(np.uint64)[:, 0], words[b[left] + at].view(np.uint64)[:, 0]
-        differ = x ^ y
-        some = differ != 0
-        lowest = differ[some] & (~differ[some] + np.uint64(1))
-        shared[left[some]] += (np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64)
-        left = left[~some]
-        shared[left] += 8
-        if not len(left):
-            break
-    return np.minimum(shared, most)
+    before = np.empty(n, np.int64)
+    before[order[1:]], before[order[0]] = order[:-1], -1
+    shared = np.zeros(n, np.int64)
+    for first in range(min(SPARSE, n)):
+        at = np.arange(first, n, SPARSE)
+        known = np.maximum(shared[at - 1] - 1, 0) if first else np.zeros(len(at), np.int64)
+        left = np.flatnonzero(before[at] >= 0)
+        while len(left):
+            a, b = at[left] + known[left], before[at[left]] + known[left]
+            differ = words[a].view(np.uint64)[:, 0] ^ words[b].view(np.uint64)[:, 0]
+            lowest = differ & (~differ + np.uint64(1))
+            known[left] += np.where(differ == 0, 8, (np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64))
+            left = left[(differ == 0) & (known[left] < most)]
+        shared[at] = np.minimum(known, np.minimum(most, n - at))
+        shared[at] = np.where(before[at] >= 0, np.minimum(shared[at], n - before[at]), 0)
+    return shared
