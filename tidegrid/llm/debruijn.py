@@ -1,12 +1,13 @@
-"""Repeated word spans by compaction of a de Bruijn graph over sampled k-mers.
-
-Vertices are the k-mers of words that anchor some 50-word window (see spans.py); an edge is the words from the start of
-one anchor to the end of the document's next, or from or to the end of a document. Only vertices that occur in two or more
-documents stay. A vertex that every occurrence enters by one edge, and one that every occurrence leaves by one edge, do
-not branch there; edges between such ends are links, and Spark joins compact linked vertices into paths by pointer
-jumping. All occurrences of a path are the same words, so every window within it repeats in the path's first document:
-its spans go by their coordinates alone. Windows that reach over a path's ends or a branching vertex are verified
-one by one: 128-bit hashes of their 50 words, cut from the text at the coordinates, are compared between documents.
+"""Repeated word spans by compaction of a de Bruijn graph.
+
+Edges are k-mers of words, from the vertex of a k-mer's first k - 1 words to that of its last. Of the edges those are
+kept that anchor some 50-word window (see spans.py), which loses no repeat; the words from the start of one kept edge to
+the end of the document's next, or from or to the end of a document, spell the walk of other edges between them. Only
+edges that occur in two or more documents stay. Where every occurrence of an edge goes on by one walk, and every
+occurrence of the edge behind it comes by that walk, no vertex between them branches: the two are linked, and Spark joins
+compact linked edges into nonbranching paths by pointer jumping. The paths' source coordinates then verify what repeats:
+128-bit hashes of the words that stand there, whole paths at once and the windows over a path's ends one by one, are
+compared between documents, and only spans whose words are equal go.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, remembered, saved, small_batches, table
-from .spans import PIECE, Runs, anchors, by_document, doc_rows, group_rows, lists, merged
+from .spans import PIECE, PLACES, Runs, anchors, by_row, changes, doc_rows, group_rows, lists, merged, packs, unpacked, with_spans
 
 WIDTH, K = 50, 15
 _GATHER = 1 << 20
@@ -37,7 +38,7 @@ def word_codes(text: bytes) -> np.ndarray:
 
 
 def _occurrences(codes: np.ndarray, width: int, k: int):
-    """(vertex, edge before, edge after, place) of the runs of windows with one anchor."""
+    """(edge, walk before, walk after, place) of the runs of windows with one anchor."""
     if len(codes) < width:
         return None
     runs = Runs(codes)
@@ -58,36 +59,41 @@ def _occurrences(codes: np.ndarray, width: int, k: int):
     return hashes[at], before, after, place
 
 
-_ROW = "v long, before_lo long, before_hi long, after_lo long, after_hi long, min_doc long, max_doc long, doc_id long, place long, more binary"
-_PLACES = np.dtype([("doc_id", "<i8"), ("place", "<i8")])
+_ROW = "e long, of long, before_lo long, before_hi long, after_lo long, after_hi long, min_doc long, max_doc long, row long, place long, more binary"
 
 
-def _vertices(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """A row for each vertex and task: least and largest edge and document; one occurrence, and the rest packed in more."""
+def _edges(docs: DataFrame, width: int, k: int) -> DataFrame:
+    """A row for each edge and task: least and largest walk and document; one occurrence, and the places of others in more.
+
+    Many of them go in rows of their own, dealt by their content (of: the edge)."""
+    names = [f.split()[0] for f in _ROW.split(", ")]
 
     def fold(kept):
-        v, before, after, ids, place = (np.concatenate(x) for x in zip(*kept))
-        order, firsts, sizes = group_rows(v)
-        before, after, ids, place = (x[order] for x in (before.view(np.int64), after.view(np.int64), ids, place))
-        both = np.empty(len(v), _PLACES)
-        both["doc_id"], both["place"] = ids, place
-        more = [None] * len(firsts)
-        for i in np.flatnonzero(sizes > 1).tolist():
-            more[i] = both[firsts[i] + 1 : firsts[i] + sizes[i]].tobytes()
-        columns = [v[order].view(np.int64)[firsts], *(op.reduceat(x, firsts) for x in (before, after, ids) for op in (np.minimum, np.maximum)), ids[firsts], place[firsts]]
-        names = [f.split()[0] for f in _ROW.split(", ")]
+        e, before, after, ids, rows, place = (np.concatenate(x) for x in zip(*kept))
+        order, firsts, sizes = group_rows(e)
+        e, before, after, ids = (x[order] for x in (e.view(np.int64), before.view(np.int64), after.view(np.int64), ids))
+        both = np.empty(len(e), PLACES)
+        both["row"], both["place"] = rows[order], place[order]
+        more, dealt = packs(e, firsts, sizes, both)
+        columns = [*(op.reduceat(x, firsts) for x in (before, after, ids) for op in (np.minimum, np.maximum)), both["row"][firsts], both["place"][firsts]]
         for a in range(0, len(firsts), 100_000):
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[a : a + 100_000]) for c in columns), pa.array(more[a : a + 100_000], pa.binary())], names)
+            some = [pa.array(c[a : a + 100_000]) for c in (e[firsts], *columns)]
+            yield pa.RecordBatch.from_arrays([some[0], pa.nulls(len(some[0]), pa.int64()), *some[1:], pa.array(more[a : a + 100_000], pa.binary())], names)
+        if dealt:
+            key, of, packed = zip(*dealt)
+            none = pa.array(np.zeros(len(key), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(of, pa.int64()), *[none] * 8, pa.array(packed, pa.binary())], names)
 
     def go(batches):
         remembered.clear()
-        kept, n = [], 0
+        kept, n, last = [], 0, None
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
-                found = _occurrences(word_codes(text), width, k)
+            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
+                found = _occurrences(word_codes(text), width, k) if (row, doc_id) != last else None  # repeated rows stand together
+                last = (row, doc_id)
                 if found is None:
                     continue
-                kept.append((found[0], found[1], found[2], np.full(len(found[0]), doc_id), found[3]))
+                kept.append((*found[:3], np.full(len(found[0]), doc_id), np.full(len(found[0]), row), found[3]))
                 n += len(found[0])
                 if n >= _GATHER:
                     yield from fold(kept)
@@ -98,48 +104,30 @@ def _vertices(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInArrow(go, _ROW)
 
 
-def compact(vertices: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(v, path) for vertices (v, before, after, enters_once, leaves_once) that a link joins to another: path is the
-    first vertex of the nonbranching path. Vertices without links are left out: each is its own path."""
-    out = vertices.where("leaves_once").select(F.col("v").alias("u"), F.col("after").alias("edge"))
-    into = vertices.where("enters_once").select("v", F.col("before").alias("edge"))
-    now = saved(out.join(into, "edge").where("u <> v").groupBy("v").agg(F.min("u").alias("path")), "links")  # one u for each v but for hash collisions
+def compact(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(e, path) for edges (e, before, after, enters_once, leaves_once) that are linked to another: path is the first
+    edge of the nonbranching path. Edges without links are left out: each is its own path."""
+    out = edges.where("leaves_once").select(F.col("e").alias("u"), F.col("after").alias("walk"))
+    into = edges.where("enters_once").select("e", F.col("before").alias("walk"))
+    now = saved(out.join(into, "walk").where("u <> e").groupBy("e").agg(F.min("u").alias("path")), "links")  # one u for each e but for hash collisions
     if now.isEmpty():
         return now
     for _ in range(max_rounds):
-        back = now.select(F.col("v").alias("_v"), F.col("path").alias("_path"))
-        step = now.join(back, F.col("path") == F.col("_v"), "left").select("v", F.coalesce("_path", "path").alias("path"), F.col("_v").isNotNull().alias("moved"))
+        back = now.select(F.col("e").alias("_e"), F.col("path").alias("_path"))
+        step = now.join(back, F.col("path") == F.col("_e"), "left").select("e", F.coalesce("_path", "path").alias("path"), F.col("_e").isNotNull().alias("moved"))
         step = saved(step, "paths")
-        now = step.select("v", "path")
+        now = step.select("e", "path")
         if step.where("moved").isEmpty():
             break
     else:
         raise RuntimeError("paths did not settle")
-    return now.union(now.select(F.col("path").alias("v"), "path").distinct())
-
-
-def _unfolded(rows: DataFrame) -> DataFrame:
-    """(doc_id, place, path, min_doc, ends): a row for each occurrence; ends: 1 enters once, 2 leaves once."""
-    names = ["path", "min_doc", "ends"]
-
-    def go(batches):
-        for batch in batches:
-            more = batch.column("more").to_pylist()
-            rest = [(i, np.frombuffer(m, _PLACES)) for i, m in enumerate(more) if m is not None]
-            own = np.concatenate([np.arange(batch.num_rows), *(np.full(len(m), i) for i, m in rest)])
-            ids = np.concatenate([batch.column("doc_id").to_numpy(), *(m["doc_id"] for _, m in rest)])
-            place = np.concatenate([batch.column("place").to_numpy(), *(m["place"] for _, m in rest)])
-            for a in range(0, len(own), 100_000):
-                at = pa.array(own[a : a + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100_000]), pa.array(place[a : a + 100_000]), *(batch.column(c).take(at) for c in names)], ["doc_id", "place", *names])
-
-    return rows.select("doc_id", "place", "more", *names).mapInArrow(go, "doc_id long, place long, path long, min_doc long, ends long")
+    return now.union(now.select(F.col("path").alias("e"), "path").distinct())
 
 
-def _judge(n_words: int, doc_id: int, place, path, min_doc, ends, width: int, k: int):
-    """(spans that go, windows to verify) of one document from its repeated occurrences."""
+def _judge(n_words: int, place, path, ends, width: int, k: int):
+    """(starts, ends) of what to verify in one document, from its repeated edges: paths, and windows over their ends."""
     order = np.argsort(place)
-    place, path, min_doc, ends = place[order], path[order], min_doc[order], ends[order]
+    place, path, ends = place[order], path[order], ends[order]
     first, windows = place >> _SHIFT, (place >> _WINDOWS) & 127
     at, last = first + ((place >> _AT) & 127), (place & 1).astype(bool)
     enters, leaves = (ends & 1).astype(bool), (ends & 2).astype(bool)
@@ -152,107 +140,113 @@ def _judge(n_words: int, doc_id: int, place, path, min_doc, ends, width: int, k:
     within = np.searchsorted(head, np.arange(len(place)), side="right") - 1
     lo, hi = np.maximum(first, start[within]), np.minimum(first + windows, stop[within] - width + 1)  # windows inside, half-open
     hi = np.maximum(hi, lo)
-    gone = (min_doc < doc_id) & (hi > lo)
     lone = np.where(hi > lo, lo, first + windows)  # windows before lo, and from hi on, reach over an end
     before = np.repeat(first - np.concatenate([[0], np.cumsum(lone - first)[:-1]]), lone - first) + np.arange(int((lone - first).sum()))
     rest = np.where(hi > lo, first + windows - hi, 0)
     behind = np.repeat(hi - np.concatenate([[0], np.cumsum(rest)[:-1]]), rest) + np.arange(int(rest.sum()))
-    return lo[gone], hi[gone] + width - 1, np.concatenate([before, behind])
+    whole = stop - start >= width
+    check = np.concatenate([before, behind])
+    return np.concatenate([start[whole], check]), np.concatenate([stop[whole], check + width])
 
 
-_PART = "d1 long, d2 long, min_doc long, doc_id long, at long, to long"
+_PART = "d1 long, d2 long, min_doc long, doc_id long, row long, at long, to long"
 
 
 def _parts(joined: DataFrame, width: int, k: int) -> DataFrame:
-    """Spans that go (no d1), and windows to verify (d1, d2: their hash). Of equal windows in one task the earliest
-    document's go on; the others are repeats at once."""
+    """Spans to verify (d1, d2: the hash of their words), and spans that go (no d1): of equal spans in one task those of
+    the least doc_id go on, and the others are repeats at once."""
     names = [f.split()[0] for f in _PART.split(", ")]
 
     def judge(batch, kept):
-        columns = [lists(batch.column(c)) for c in ("place", "path", "min_doc", "ends")]
-        for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")))):
+        columns = [lists(batch.column(c)) for c in ("place", "path", "ends")]
+        for i, (doc_id, row, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), bytes_of(batch.column("text")))):
             codes = word_codes(text)
-            fits = (columns[0][i] >> _SHIFT) + width <= len(codes)  # not places of another text with this doc_id
-            lo, hi, check = _judge(len(codes), doc_id, *(c[i][fits] for c in columns), width, k) if fits.any() else (np.zeros(0, np.int64),) * 3
-            check = check[check + width <= len(codes)]
-            kept["sure"].append(np.stack([np.full(len(lo), doc_id), lo, hi]))
-            hashes = [Runs(codes, b).of(check, check + width).view(np.int64) for b in (0, 1)]
-            kept["open"].append(np.stack([*hashes, np.full(len(check), doc_id), check]))
-            kept["n"] += len(lo) + len(check)
+            fits = (columns[0][i] >> _SHIFT) + width <= len(codes)  # not places of another text with this row's hash
+            if not fits.any():
+                continue
+            at, to = _judge(len(codes), *(c[i][fits] for c in columns), width, k)
+            at, to = at[to <= len(codes)], to[to <= len(codes)]
+            hashes = [Runs(codes, b).of(at, to).view(np.int64) for b in (0, 1)]
+            kept["spans"].append(np.stack([*hashes, np.full(len(at), doc_id), np.full(len(at), row), at, to]))
+            kept["n"] += len(at)
 
     def out(kept):
-        d1, d2, ids, starts = np.concatenate(kept["open"], 1)
-        order = np.lexsort((starts, ids, d2, d1))
-        d1, d2, ids, starts = (x[order] for x in (d1, d2, ids, starts))
-        new = np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]) if len(ids) else np.zeros(0, bool)
-        later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        s_ids, s_at, s_to = np.concatenate([*kept["sure"], np.stack([ids[later], starts[later], starts[later] + width])], 1)
-        if len(s_ids):  # those of one document that touch are one
-            by = np.lexsort((s_at, s_ids))
-            s_ids, s_at, s_to = s_ids[by], s_at[by], s_to[by]
-            cut = np.concatenate([[True], s_ids[1:] != s_ids[:-1]])
+        d1, d2, ids, rows, at, to = np.concatenate(kept["spans"], 1)
+        order = np.lexsort((at, rows, ids, d2, d1))
+        d1, d2, ids, rows, at, to = (x[order] for x in (d1, d2, ids, rows, at, to))
+        new = changes(d1) | changes(d2)
+        later = ids > ids[new][np.cumsum(new) - 1]
+        s_ids, s_rows, s_at, s_to = (x[later] for x in (ids, rows, at, to))
+        if len(s_ids):  # those of one row that touch are one
+            by = np.lexsort((s_at, s_rows, s_ids))
+            s_ids, s_rows, s_at, s_to = (x[by] for x in (s_ids, s_rows, s_at, s_to))
+            cut = changes(s_ids) | changes(s_rows)
             base = np.cumsum(cut) << 40
             a, b = merged(s_at + base, s_to + base)
-            s_ids, base = s_ids[cut][(a >> 40) - 1], (a >> 40) << 40
+            s_ids, s_rows, base = s_ids[cut][(a >> 40) - 1], s_rows[cut][(a >> 40) - 1], (a >> 40) << 40
             s_at, s_to = a - base, b - base
         for a in range(0, len(s_ids), 100_000):
             s = slice(a, a + 100_000)
             none = pa.nulls(len(s_ids[s]), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, *(pa.array(x[s]) for x in (s_ids, s_at, s_to))], names)
-        d1, d2, ids, starts = (x[~later] for x in (d1, d2, ids, starts))
-        if len(ids):  # equal windows of one document that overlap, as in a text that repeats a word, are one row
-            first = np.flatnonzero(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + width)]))
-            ends = starts[np.append(first[1:], len(starts)) - 1] + width
-            d1, d2, ids, starts = (x[first] for x in (d1, d2, ids, starts))
+            yield pa.RecordBatch.from_arrays([none, none, none, *(pa.array(x[s]) for x in (s_ids, s_rows, s_at, s_to))], names)
+        d1, d2, ids, rows, at, to = (x[~later] for x in (d1, d2, ids, rows, at, to))
+        if len(ids):  # equal spans of one row that touch, as in a text that repeats a word, are one row
+            apart = np.ones(len(ids), bool)
+            np.greater(at[1:], to[:-1], out=apart[1:])
+            first = np.flatnonzero(apart | changes(d1) | changes(d2) | changes(ids) | changes(rows))
+            to = to[np.append(first[1:], len(to)) - 1]
+            d1, d2, ids, rows, at = (x[first] for x in (d1, d2, ids, rows, at))
             for a in range(0, len(ids), 100_000):
                 s = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (d1, d2, ids, ids, starts, ends)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (d1, d2, ids, ids, rows, at, to)], names)
 
     def go(batches):
-        kept: dict = {"sure": [], "open": [], "n": 0}
+        kept: dict = {"spans": [], "n": 0}
         for batch in batches:
             judge(batch, kept)
             if kept["n"] >= _GATHER:
                 yield from out(kept)
-                kept = {"sure": [], "open": [], "n": 0}
-        if kept["open"]:
+                kept = {"spans": [], "n": 0}
+        if kept["spans"]:
             yield from out(kept)
 
     return joined.mapInArrow(go, _PART)
 
 
 def removed_words(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
-    """(doc_id, text, at, to): docs, each with the lists of its removed half-open word spans (null: none).
+    """(doc_id, text, row, at, to): docs, each with the lists of its removed half-open word spans (null: none).
 
-    A word goes if a window of `width` words over it also starts in a document with a smaller doc_id. Rows with a null
-    doc_id have no order: they lose nothing and are no source. Rows that share a doc_id count as one document and don't
-    remove each other.
+    A word goes if a window of `width` words over it also starts in a row with a smaller doc_id. Rows with a null doc_id
+    have no order: they lose nothing and are no source. Rows that share a doc_id, with equal texts or not, are documents
+    of their own and don't remove each other. Texts of any length are judged whole.
     """
     rows = doc_rows(small_batches(docs))
-    known = rows.where("doc_id is not null")
-    same = Window.partitionBy("v")
-    spread = _vertices(known, width, k)
+    # one exchange of the texts, which all three readings share
+    texts = rows.where("doc_id is not null").repartition("row")
+    same = Window.partitionBy("e")
+    spread = _edges(texts.sortWithinPartitions("row", "doc_id"), width, k)
     for name, op in (("before_lo", F.min), ("before_hi", F.max), ("after_lo", F.min), ("after_hi", F.max), ("min_doc", F.min), ("max_doc", F.max)):
         spread = spread.withColumn(name, op(name).over(same))
     ends = F.when(F.col("before_lo") == F.col("before_hi"), 1).otherwise(0) + F.when(F.col("after_lo") == F.col("after_hi"), 2).otherwise(0)
-    repeated = spread.where("min_doc < max_doc").select("v", F.col("before_lo").alias("before"), F.col("after_lo").alias("after"), ends.cast("long").alias("ends"), "min_doc", "doc_id", "place", "more")
-    repeated = saved(repeated, "vertices")
-    graph = repeated.groupBy("v").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("ends").alias("ends"))
-    paths = compact(graph.select("v", "before", "after", (F.col("ends") % 2 == 1).alias("enters_once"), (F.col("ends") >= 2).alias("leaves_once")))
-    placed = repeated.join(paths, "v", "left").withColumn("path", F.coalesce("path", "v"))
-    lists_of = by_document(_unfolded(placed), "place", "path", "min_doc", "ends")
-    texts = known.repartition("doc_id")
-    parts = _parts(texts.join(lists_of, "doc_id").select("doc_id", "text", "place", "path", "min_doc", "ends"), width, k)
-    dealt = parts.withColumn("least", F.min("min_doc").over(Window.partitionBy("d1", "d2", F.when(F.col("d1").isNull(), F.col("doc_id")))))
-    spans = dealt.where("least < doc_id or d1 is null").select("doc_id", "at", "to")
-    return texts.join(by_document(spans, "at", "to"), "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    repeated = spread.where("of is not null or min_doc < max_doc").select("e", "of", F.col("before_lo").alias("before"), F.col("after_lo").alias("after"), ends.cast("long").alias("ends"), "row", "place", "more")
+    repeated = saved(repeated, "edges")
+    graph = repeated.where("of is null").groupBy("e").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("ends").alias("ends"))
+    paths = compact(graph.select("e", "before", "after", (F.col("ends") % 2 == 1).alias("enters_once"), (F.col("ends") >= 2).alias("leaves_once")))
+    known = graph.join(paths, "e", "left").select("e", F.coalesce("path", "e").alias("path"), "ends")
+    # a join, which can be split where an edge has very many places
+    places = repeated.select(F.coalesce("of", "e").alias("e"), F.when(F.col("of").isNull(), F.col("row")).alias("row"), "place", "more").join(known.hint("merge"), "e")
+    lists_of = by_row(unpacked(places, "path", "ends"), "place", "path", "ends")
+    parts = _parts(texts.join(lists_of, "row").select("doc_id", "row", "text", "place", "path", "ends"), width, k)
+    dealt = parts.withColumn("least", F.min("min_doc").over(Window.partitionBy("d1", "d2", F.when(F.col("d1").isNull(), F.col("row")))))
+    spans = dealt.where("least < doc_id or d1 is null").select("doc_id", "row", "at", "to")
+    return with_spans(texts, spans).unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
 
 
 def digest(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row for each row of docs(doc_id, text, ...).
 
-    Null text or none but white space: no words. See removed_words for ids that are null or repeated. Empty table: no
-    rows. Other columns are ignored.
+    Null text or none but white space: no words. See removed_words for ids that are null or repeated and for long texts.
+    Empty table: no rows. Other columns are ignored.
     """
 
     def go(batches):
