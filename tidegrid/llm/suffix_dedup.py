@@ -30,7 +30,7 @@ WIDTH = 100
 RUN = 32
 #: Occurrences from which an anchor's windows are dealt out one by one.
 HOT = 8_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 3 << 20
 #: Occurrences that one task gathers before it hands on what it has folded.
 _GATHER = 1 << 20
 
@@ -198,26 +198,44 @@ def repeated_windows(segments: list[bytes], docs: np.ndarray, rows: np.ndarray,
 def _shard_rows(batches, width: int, shard_bytes: int):
     """Batches (doc_id, row, at, to) of the repeats in batches of segments that stand in the order of h."""
 
-    def resolve(pending: list[tuple]):
-        kept = sorted(set(pending))
-        spans = repeated_windows([x[3] for x in kept], np.array([x[0] for x in kept]), np.array([x[1] for x in kept]), width)
-        rows = _joined_repeats([(kept[k][0], kept[k][1], kept[k][2] + a, kept[k][2] + b) for k, a, b in spans])
-        for a in range(0, len(rows), 100_000):
-            some = list(zip(*rows[a : a + 100_000]))
+    repeats: list[tuple] = []  # known from combining equal segments
+    kept: list[tuple] = []  # to be sorted
+    group: list[tuple] = []  # rows of the anchor at hand
+    size, last = 0, None
+
+    def close() -> int:
+        folded = _Folded()  # the other side of the tasks' combining
+        for h, doc_id, row, at, segment in group:
+            folded.add(h, segment, (doc_id, row, at))
+        repeats.extend(folded.repeats)
+        group.clear()
+        if len(folded.first) == 1 and not folded.level:  # one content has no window twice: each has the anchor elsewhere
+            return 0
+        kept.extend((*place, segment) for (_, segment), place in folded.first.items())
+        kept.extend(x[1:] for x in folded.level)
+        return folded.bytes
+
+    def resolve():
+        rows = sorted(set(kept))
+        spans = repeated_windows([x[3] for x in rows], np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), width) if rows else []
+        found = _joined_repeats(repeats + [(*rows[k][:2], rows[k][2] + a, rows[k][2] + b) for k, a, b in spans])
+        repeats.clear(), kept.clear()
+        for a in range(0, len(found), 100_000):
+            some = list(zip(*found[a : a + 100_000]))
             yield pa.RecordBatch.from_arrays([pa.array(some[i], pa.int64()) for i in (1, 2, 3, 4)], ["doc_id", "row", "at", "to"])
 
-    pending, size, last = [], 0, None
     for batch in batches:
-        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "row", "at", "segment"))):
-            if h != last:
-                if size > shard_bytes:
-                    yield from resolve(pending)
-                    pending, size = [], 0
-                last = h
-            pending.append(tuple(row))
-            size += len(row[3])
-    if pending:
-        yield from resolve(pending)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "row", "at", "segment"))):
+            if row[0] != last:
+                size += close() if group else 0
+                last = row[0]
+                if size > shard_bytes or len(repeats) > 200_000:
+                    yield from resolve()
+                    size = 0
+            group.append(row)
+    if group:
+        close()
+    yield from resolve()
 
 
 def removed_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, hot: int = HOT, shard_bytes: int = SHARD_BYTES, carried: tuple[str, ...] = ()) -> DataFrame:

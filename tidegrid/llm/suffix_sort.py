@@ -34,6 +34,9 @@ class _Induction:
         n = len(t)
         self.t = t = t.astype(np.uint16 if t.max() < 1 << 16 else np.int32)  # numpy sorts 16 bits by radix
         steps = np.flatnonzero(t[1:] != t[:-1])
+        self.begin = np.zeros(n, np.int64)  # where the run of equal letters begins
+        self.begin[steps + 1] = steps + 1
+        np.maximum.accumulate(self.begin, out=self.begin)
         self.smaller = np.ones(n, bool)
         self.smaller[:-1] = np.repeat(t[steps] < t[steps + 1], np.diff(steps, prepend=-1))
         self.lms = np.flatnonzero(self.smaller[1:] & ~self.smaller[:-1]) + 1
@@ -95,12 +98,14 @@ class _Induction:
         if not len(own):
             self._deal(sa, some[::-1] if down else some, where, down)
             return
-        while len(own):  # what a bucket puts into itself: a round for each further letter of a repeated one
-            own = own[::-1] if down else own
-            self._deal(sa, own, where, down)
-            own = own[::-1] if down else own
-            own = own[own > 0] - 1
-            own = own[fits[own] & (self.t[own] == self.t[own + 1])]
+        # what a bucket puts into itself: in turn the first, second and further letters before it that are equal
+        own = own[::-1] if down else own
+        counts = own - self.begin[own] + 1
+        if counts.max() > 1:
+            nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            order = nth.argsort(kind="stable")
+            own = (np.repeat(own, counts) - nth)[order]
+        self._deal(sa, own, where, down)
         some = sa[span]
         some = some[some > 0] - 1
         some = some[fits[some] & (self.t[some] != self.t[some + 1])]
@@ -166,8 +171,12 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) ->
     from nothing and those of the places behind them, all at once, from that bound; eight letters at a time.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(most + 16, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = (n + most + 16) // 8 * 8
+    padded = np.zeros(size + 8, np.uint8)
+    padded[:n] = text
+    words = np.empty(size, "<u8")  # the eight letters from each place on
+    for r in range(8):
+        words[r::8] = padded[r : r + size].view("<u8")
     before = np.empty(n, np.int64)
     before[order[1:]], before[order[0]] = order[:-1], -1
     shared = np.zeros(n, np.int64)
@@ -177,7 +186,7 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) ->
         left = np.flatnonzero(before[at] >= 0)
         while len(left):
             a, b = at[left] + known[left], before[at[left]] + known[left]
-            differ = words[a].view(np.uint64)[:, 0] ^ words[b].view(np.uint64)[:, 0]
+            differ = words[a] ^ words[b]
             lowest = differ & (~differ + np.uint64(1))
             known[left] += np.where(differ == 0, 8, (np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64))
             left = left[(differ == 0) & (known[left] < most)]
