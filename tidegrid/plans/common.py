@@ -39,8 +39,8 @@ def cutoffs(panel: DataFrame) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, ts, actual, peak, idle, state, candidates, event, high): hours with a week of history on the gapped panel."""
-    panel = gapped_panel(spark, sf_dir)
+    """(series_id, ts, actual, peak, idle, state, candidates, event, high): hours with a week of history."""
+    panel = event_panel(spark, sf_dir)
     base = feats.densify(panel)
     w = feats.by_time()
     lag = lambda c, k: F.lag(c, k).over(w)
@@ -68,18 +68,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PANEL = """
 ev as (
-  select user_id % 4 as series_id, date_trunc('hour', ts) as ts, extract(minute from ts) // 15 as q, value,
-         event_type = 'purchase' and user_id < 40 as metered from events
+  select user_id // 10 as series_id, date_trunc('hour', ts) as ts, extract(minute from ts) // 15 as q, value, event_type = 'purchase' as made from events
 ), found as (
   select series_id, ts,
          round(sum(value) filter (where q = 0), 2) as q15, round(sum(value) filter (where q = 1), 2) as q30,
          round(sum(value) filter (where q = 2), 2) as q45, round(sum(value) filter (where q = 3), 2) as q60,
-         round(sum(value) filter (where metered), 2) as production
+         round(sum(value) filter (where made), 2) as production
   from ev group by series_id, ts
 ), bounds as (
   select date_trunc('day', min(ts)) as lo, date_trunc('day', max(ts)) + interval 23 hour as hi from events
 ), grid as (
-  select s.series_id, unnest(generate_series(lo::timestamp, hi::timestamp, interval 1 hour)) as ts from bounds, (values (0::bigint), (1), (2), (3)) s(series_id)
+  select s.series_id, unnest(generate_series(lo::timestamp, hi::timestamp, interval 1 hour)) as ts from bounds, (select distinct series_id from ev) s
 ), full_panel as (
   select g.series_id, g.ts, coalesce(q15, 0) as q15, coalesce(q30, 0) as q30, coalesce(q45, 0) as q45, coalesce(q60, 0) as q60,
          ((round(coalesce(q15, 0) * 100)::bigint + round(coalesce(q30, 0) * 100)::bigint + round(coalesce(q45, 0) * 100)::bigint + round(coalesce(q60, 0) * 100)::bigint) // 4) / 100.0 as avg_power, coalesce(production, 0) as production
@@ -135,8 +134,17 @@ LONG = (
 )
 
 
+#: What makes the panel in SQL the one with gaps.
+GAPS = "where extract(day from ts) not in (13, 15)"
+
+
+def whole(ctes: str) -> str:
+    """The same parts on the panel without gaps."""
+    return ctes.replace(GAPS, "")
+
+
 def sql(ctes: str, select: str) -> str:
     return f"with {ctes.strip()}\n{select.strip()}".replace(", 6)", " + 1e-9, 6)")  # see functions.six
 
 
-__all__ = ["CANDIDATES", "CUTOFFS", "LONG", "PANEL", "PREDICTIONS", "cutoffs", "event_panel", "gapped_panel", "period", "predictions", "rounded", "split", "sql", "with_split"]
+__all__ = ["CANDIDATES", "CUTOFFS", "LONG", "PANEL", "PREDICTIONS", "cutoffs", "event_panel", "gapped_panel", "period", "predictions", "rounded", "split", "sql", "whole", "with_split"]

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import day_type, flag, is_weekend, is_work_start, lead_bucket, six, truncated
 from ..operators import evaluation as ev
 from ..operators import features, requests, resampling
-from .common import CANDIDATES, LONG, PREDICTIONS, cutoffs, gapped_panel, period, predictions, rounded, sql
+from . import common
+from .common import CANDIDATES, LONG, PREDICTIONS, cutoffs, event_panel, period, predictions, rounded, whole
 from .preparation import REQUESTS_CTE, SIGNALS, TRAJECTORIES_CTE
 
 _REG = "count(*) as n, round(avg(abs({p} - {a})), 6) as mae, round(sqrt(avg(({p} - {a}) * ({p} - {a}))), 6) as rmse, round(sum(abs({p} - {a})) / nullif(sum(abs({a})), 0), 6) as wape"
 
 
+def sql(ctes: str, select: str) -> str:
+    return common.sql(whole(ctes), select)
+
+
 def _reg(p: str, a: str = "actual") -> str:
     return _REG.format(p=p, a=a)
 
@@ -69,7 +74,7 @@ ALERT_SCORES = sql(
 
 
 def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     known = features.known_conditions(panel, cutoffs(panel).first()["high"])
     return predictions(spark, sf_dir).join(known.drop("high"), ["series_id", "ts"])
 
@@ -170,7 +175,7 @@ FORWARD_SELECTION = sql(
 
 def idle_gate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean weekly error of the gate for each pair of idle hours and load cap, and how many hours it overrides."""
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     rows = predictions(spark, sf_dir).select("series_id", "ts", "actual", "persistence", "blend")
     for hours in (6, 12, 24):
         rows = rows.join(features.idle_signal(panel, hours).withColumnRenamed("idle_hours", f"idle_{hours}"), ["series_id", "ts"])
@@ -362,7 +367,7 @@ case when avg(m.mae) <= 1.01 * avg(b.base) and min(case when m.mae <= 1.05 * b.b
 
 def trajectory_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day-ahead errors of the previous week by horizon."""
-    rows = features.trajectories(gapped_panel(spark, sf_dir))
+    rows = features.trajectories(event_panel(spark, sf_dir))
     return rounded(rows.groupBy("horizon").agg(*ev.regression("mean_week", "target")))
 
 
@@ -371,7 +376,7 @@ TRAJECTORY_METRICS = sql(TRAJECTORIES_CTE, f"select horizon, {_reg('mean_week',
 
 def daily_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each day: how far the forecast's peak and its hour are from the real ones."""
-    rows = features.trajectories(gapped_panel(spark, sf_dir))
+    rows = features.trajectories(event_panel(spark, sf_dir))
     real, guess = ev.first_peak(rows, "target", "series_id", "anchor"), ev.first_peak(rows, "mean_week", "series_id", "anchor")
     both = real.join(guess, ["series_id", "anchor"])
     return rounded(both.select("series_id", "anchor", F.abs(F.col("target_top") - F.col("mean_week_top")).alias("peak_gap"), F.abs(F.col("target_at") - F.col("mean_week_at")).alias("hours_apart")))
@@ -387,7 +392,7 @@ b as (select series_id, anchor, horizon, mean_week from trajectories qualify row
 
 def lead_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request errors by lead, issue hour, week, work start and idle origin."""
-    rows = requests.request_rows(gapped_panel(spark, sf_dir)).withColumn("err", ev.error("previous_week"))
+    rows = requests.request_rows(event_panel(spark, sf_dir)).withColumn("err", ev.error("previous_week"))
     keys = {"lead": lead_bucket(F.col("lead")), "issue_hour": F.hour("origin"), "week": F.date_format(truncated("week", F.col("origin")), "yyyy-MM-dd"), "work_start": flag(is_work_start(F.col("ts"))), "idle_origin": flag(F.col("output_sum_24") == 0)}
     return rounded(ev.metrics_by(rows, keys, F.count("*").alias("n"), F.count_distinct("series_id", "origin").alias("requests"), F.avg("err").alias("mae"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse")))
 
@@ -406,7 +411,7 @@ LEAD_BUCKETS = sql(
 
 def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which days need a review, and why: profiles that disagree more than in three of four cases, or a day without production."""
-    days = rounded(features.origin_signals(gapped_panel(spark, sf_dir)))
+    days = rounded(features.origin_signals(event_panel(spark, sf_dir)))
     rows = days.crossJoin(F.broadcast(days.agg(six(F.expr("percentile(disagreement, 0.75)")).alias("cutoff"))))  # one row
     high, idle = F.col("disagreement") > F.col("cutoff"), F.col("no_output") == 1
     reason = F.concat_ws("+", F.when(high, F.lit("profiles_disagree")), F.when(idle, F.lit("no_production")))
@@ -457,7 +462,7 @@ def permutation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consecutive_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of state and hours between them."""
     w = Window.partitionBy("series_id").orderBy("ts")
-    rows = features.observed_states(gapped_panel(spark, sf_dir)).withColumn("before", F.lag("state").over(w)).where("state <> before")
+    rows = features.observed_states(event_panel(spark, sf_dir)).withColumn("before", F.lag("state").over(w)).where("state <> before")
     return rows.groupBy("series_id", "before", "state").agg(F.count("*").alias("changes"))
 
 

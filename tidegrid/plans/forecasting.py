@@ -11,7 +11,7 @@ from ..functions import flag
 from ..operators import evaluation as ev
 from ..operators import features, grid, models, plan, requests
 from ..sources import QUARTERS
-from .common import gapped_panel, rounded, with_split
+from .common import cutoffs, event_panel, rounded, with_split
 
 #: The features that the light models of the queries use.
 LIGHT = ["load_lag_1", "load_lag_24", "load_lag_168", "output_lag_1", "load_mean_6", "load_mean_24", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "was_active", "active_share_6"]
@@ -20,7 +20,7 @@ REQUEST = ["lead", "persistence", "previous_day", "previous_week", "peak_previou
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Feature rows before and from the split on, with the quarter peak as a second target."""
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     tops = panel.select("series_id", "ts", F.greatest(*QUARTERS).alias("peak"), flag(F.col("production") > 0).alias("active"))
     rows = with_split(features.features(panel).join(tops, ["series_id", "ts"]), panel).persist()
     return rows.where("ts < split").drop("split"), rows.where("ts >= split").drop("split")
@@ -53,7 +53,7 @@ def tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def residual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests answered with the previous week plus a boosted residual, by lead; training targets end before the split."""
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     rows = with_split(requests.request_rows(panel), panel).withColumn("residual", F.col("actual") - F.col("previous_week")).persist()
     train, test = rows.where("ts < split"), rows.where("origin >= split")
     test = models.predict(models.fit_boosted(train, REQUEST, "residual", rounds=10, leaf=50, absolute=True), test, onto="previous_week")
@@ -62,7 +62,7 @@ def residual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trajectory_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day-ahead profiles: one pooled residual forest with the horizon as a feature; the peak is at least the mean."""
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     rows = with_split(features.trajectories(panel, tuple(range(24))), panel).withColumn("residual", F.col("target") - F.col("mean_week")).withColumn("residual_peak", F.col("peak") - F.col("peak_week")).persist()
     known = ["horizon", "mean_day", "peak_day", "mean_week", "peak_week"]
     # every hour is an anchor to train on, if its whole day ends before the split; days are forecast from midnight
@@ -101,17 +101,17 @@ def transition_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_shift_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's plan for four flexible shares: peaks on the forecast and on what happened."""
-    days = features.trajectories(gapped_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction", "target": "actual"})
+    days = features.trajectories(event_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction", "target": "actual"})
     return rounded(plan.scenarios(plan.plans(days)), 4)
 
 
 def load_shift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = features.trajectories(gapped_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction", "target": "actual"})
+    days = features.trajectories(event_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction", "target": "actual"})
     return rounded(plan.scenario_summary(plan.scenarios(plan.plans(days))), 4)
 
 
 def load_shift_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = features.trajectories(gapped_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction"})
+    days = features.trajectories(event_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction"})
     return rounded(plan.moves(days.select("series_id", "anchor", "horizon", "prediction")), 4)
 
 
@@ -138,7 +138,7 @@ def next_hour(panel: DataFrame, coverage: float = 0.9, alpha: float = 100.0) ->
 
 
 def next_hour_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(next_hour(gapped_panel(spark, sf_dir)))
+    return rounded(next_hour(event_panel(spark, sf_dir)))
 
 
 def answer_request(panel: DataFrame, origin: datetime, start: datetime, end: datetime) -> DataFrame:
@@ -154,7 +154,7 @@ def answer_request(panel: DataFrame, origin: datetime, start: datetime, end: dat
 
 def requested_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next morning's hours, asked for at the end of the panel's last day but one."""
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     last = panel.agg(F.max("ts")).first()[0]
     origin = last - timedelta(hours=24)
     return rounded(answer_request(panel, origin, origin + timedelta(hours=9), origin + timedelta(hours=15)))

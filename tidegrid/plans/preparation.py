@@ -62,7 +62,7 @@ def validation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.faults(short.unionByName(twice).withColumn("avg_power", F.when((F.dayofmonth("ts") == 11) & (F.hour("ts") == 3), F.lit(-1.0)).otherwise(F.col("avg_power"))))
 
 
-VALIDATION_FAULTS = sql(PANEL, "select * from (values ('duplicate_hour', 4::bigint), ('incomplete_day', 4), ('bad_value', 4)) t(fault, n)")
+VALIDATION_FAULTS = sql(PANEL, "select * from (values ('duplicate_hour'), ('incomplete_day'), ('bad_value')) t(fault), (select count(distinct series_id) as n from panel)")
 
 
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,8 +351,9 @@ def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLE_DIGESTS = sql(
-    PANEL + ", keyed as (select series_id, sha256(strftime(ts, '%Y-%m-%d %H') || '|' || round(avg_power * 10000)::bigint) as h from panel)",
-    "select series_id, count(*) as n, sha256(string_agg(h, '' order by h)) as digest from keyed group by series_id",
+    PANEL + ", keyed as (select series_id, md5(strftime(ts, '%Y-%m-%d %H') || '|' || round(avg_power * 10000)::bigint) as h from panel)",
+    """select series_id, count(*) as n, sha256(count(*) || '|' || sum(('0x' || h[1:15])::bigint)::hugeint || '|' || bit_xor(('0x' || h[17:31])::bigint)) as digest
+from keyed group by series_id""",
 )
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import truncated
 
 QUARTERS = ["q15", "q30", "q45", "q60"]
-SITES, METERED_USERS = 4, 40
+#: Users with neighbouring ids share a site, so that there are more sites where there are more users.
+SITE_USERS = 10
 
 #: Schema of a raw hourly file. Columns from `temperature` on may be missing values.
 RAW_SCHEMA = T.StructType(
@@ -71,9 +72,18 @@ def file_digest(spark: SparkSession, path: str) -> str:
 
 
 def table_digest(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, n, digest): a hash of each key's rows that doesn't depend on their order."""
-    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)), 256)
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("digest"))
+    """(key, n, digest): a hash of each key's rows that doesn't depend on their order.
+
+    Sum and exclusive or of 60-bit row hashes: combined before the shuffle, in constant memory for each key.
+    """
+    row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)))
+    half = [F.conv(F.substring(row, at, 15), 16, 10).cast("long") for at in (1, 17)]
+    found = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(half[0].cast("decimal(20,0)")).alias("total"), F.bit_xor(half[1]).alias("odd"))
+    return found.select(key, "n", F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("n", "total", "odd"))), 256).alias("digest"))
+
+
+def site_of(user: str = "user_id") -> Column:
+    return F.expr(f"{user} div {SITE_USERS}")
 
 
 def text_digest(text: str) -> str:
@@ -83,16 +93,16 @@ def text_digest(text: str) -> str:
 def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly load of each site from events: quarter sums, their mean, production; absent hours are zero.
 
-    One aggregation before the shuffle by (site, hour), and a small grid joined to it.
+    One aggregation before the shuffle by (site, hour), and a grid joined to it. All purchases count as production.
     """
     events = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
     quarter = F.floor(F.minute("ts") / 15)
     sums = [F.round(F.sum(F.when(quarter == i, F.col("value"))), 2).alias(c) for i, c in enumerate(QUARTERS)]
-    metered = F.when((F.col("event_type") == "purchase") & (F.col("user_id") < METERED_USERS), F.col("value"))
-    found = events.groupBy((F.col("user_id") % SITES).alias("series_id"), truncated("hour", F.col("ts")).alias("ts")).agg(*sums, F.round(F.sum(metered), 2).alias("production"))
+    made = F.when(F.col("event_type") == "purchase", F.col("value"))
+    found = events.groupBy(site_of().alias("series_id"), truncated("hour", F.col("ts")).alias("ts")).agg(*sums, F.round(F.sum(made), 2).alias("production"))
     span = events.agg(truncated("day", F.min("ts")).alias("lo"), (truncated("day", F.max("ts")) + F.expr("interval 23 hours")).alias("hi"))
-    hours = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("ts"))
-    grid = hours.crossJoin(F.broadcast(spark.range(SITES).select(F.col("id").alias("series_id"))))
+    sites = events.select(site_of().alias("series_id")).distinct().crossJoin(F.broadcast(span))  # one row
+    grid = sites.select("series_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("ts"))
     filled = grid.join(found, ["series_id", "ts"], "left").na.fill(0.0, [*QUARTERS, "production"])
     # the mean in whole hundredths, rounded down: the same in any engine
     cents = sum(F.round(F.col(q) * 100).cast("long") for q in QUARTERS)

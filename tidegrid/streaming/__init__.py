@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import METERED_USERS, QUARTERS, SITES
+from ..sources import QUARTERS, site_of
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -21,9 +21,9 @@ def hourly_loads(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """
     stamped = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     quarter, cents = F.floor(F.minute("at") / 15), F.round(F.col("value") * 100).cast("long")
-    metered = (F.col("event_type") == "purchase") & (F.col("user_id") < METERED_USERS)
+    made = F.col("event_type") == "purchase"
     sums = [F.sum(F.when(quarter == i, cents).otherwise(F.lit(0))).alias(c) for i, c in enumerate(QUARTERS)]
-    found = stamped.groupBy((F.col("user_id") % SITES).alias("series_id"), F.window("at", "1 hour").alias("w")).agg(*sums, F.sum(F.when(metered, cents).otherwise(F.lit(0))).alias("production"))
+    found = stamped.groupBy(site_of().alias("series_id"), F.window("at", "1 hour").alias("w")).agg(*sums, F.sum(F.when(made, cents).otherwise(F.lit(0))).alias("production"))
     mean = F.floor(sum(F.col(q) for q in QUARTERS) / 4) / 100
     return found.select("series_id", F.col("w.start").alias("ts"), *((F.col(q) / 100).alias(q) for q in QUARTERS), mean.alias("avg_power"), (F.col("production") / 100).alias("production"))
 
