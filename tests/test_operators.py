@@ -132,27 +132,28 @@ def test_selection_ignores_later_periods(spark):
 def test_plan_of_a_midday_peak():
     load = np.full(24, 100.0)
     load[12] = 150
-    out, into, _ = plan.plan_day(load, 0.2)
+    amounts = plan.plan_day(load, plan.Flexibility(0.2))
+    out, into = amounts.sum(1), amounts.sum(0)
     assert abs((load - out + into).max() - 120) < 1e-6 and abs(out.sum() - into.sum()) < 1e-9
     assert (out <= 0.2 * load + 1e-9).all() and (into <= 15 + 1e-9).all()
     night = np.full(24, 100.0)
     night[2] = 150
-    assert plan.plan_day(night, 0.2)[0].sum() < 1e-9
+    assert plan.plan_day(night, plan.Flexibility(0.2)).sum() < 1e-9
     with pytest.raises(ValueError):
-        plan.plan_day(load[:5], 0.2)
-    with pytest.raises(ValueError):
-        plan.plan_day(load, 1.5)
+        plan.plan_day(load[:5], plan.Flexibility(0.2))
+    for wrong in ({"fraction": 1.5}, {"fraction": 0.1, "reach": -1}, {"fraction": 0.1, "open_hours": (24,)}, {"fraction": 0.1, "arrival": float("nan")}):
+        with pytest.raises(ValueError):
+            plan.Flexibility(**wrong)
 
 
 def test_plan_is_least_movement_of_all_that_reach_its_peak():
     rng = np.random.default_rng(3)
     for _ in range(20):
         load = rng.uniform(20, 100, 24)
-        out, into, moves = plan.plan_day(load, 0.1)
-        after = load - out + into
+        amounts, more = plan.plan_day(load, plan.Flexibility(0.1)), plan.plan_day(load, plan.Flexibility(0.2))
+        after = load - amounts.sum(1) + amounts.sum(0)
         assert after.max() <= load.max() + 1e-9 and abs(after.sum() - load.sum()) < 1e-6
-        assert abs(sum(v for *_, v in moves) - out.sum()) < 1e-5
-        assert plan.plan_day(load, 0.2)[0].shape == (24,) and (load - plan.plan_day(load, 0.2)[0] + plan.plan_day(load, 0.2)[1]).max() <= after.max() + 1e-7
+        assert (load - more.sum(1) + more.sum(0)).max() <= after.max() + 1e-7
 
 
 def test_plans_do_not_read_actuals(spark):
@@ -163,6 +164,14 @@ def test_plans_do_not_read_actuals(spark):
     keys = ["fraction", "horizon", "outgoing", "incoming"]
     assert sorted(mine.select(*keys).collect()) == sorted(other.select(*keys).collect())
     assert {r["fraction"]: r["feasible"] for r in plan.scenarios(other).collect()}[0.2] == 0
+    sent = {(r["fraction"], r["from_hour"]): r["s"] for r in plan.moves(mine).groupBy("fraction", "from_hour").agg(F.sum("amount").alias("s")).collect()}
+    assert sent and sent == {(r["fraction"], r["horizon"] - 1): pytest.approx(r["outgoing"], abs=1e-6) for r in mine.collect() if r["outgoing"] > 1e-6}
+
+
+def test_transition_candidates(spark):
+    rows = spark.createDataFrame([(1, 2.0, 10.0, 0.2, 1.0, 9.0), (1, 2.0, 10.0, 0.4, 1.0, 9.0), (0, 2.0, 10.0, 0.1, 1.0, 9.0), (None, 2.0, 10.0, 0.1, 1.0, 9.0)], "idle int, last double, raw double, p double, off double, `on` double")
+    got = [tuple(round(x, 6) for x in r) for r in rows.select(*(c.alias(n) for n, c in models.transition_candidates("idle", "last", "raw", "p", "off", "on").items())).collect()]
+    assert got == [(10, 2, 2, 2, 3.6, 2.6), (10, 2, 10, 2, 5.2, 4.2), (10, 10, 10, 10, 10, 1.8), (10, 10, 10, 10, 10, 1.8)]
 
 
 def test_requests_are_checked():
@@ -241,7 +250,7 @@ def test_requests_are_answered_from_the_past_alone(panel):
     origin = datetime(2024, 1, 25, 23)
     asked = (origin, origin + timedelta(hours=9), origin + timedelta(hours=15))
     mine, other = answer_request(panel, *asked), answer_request(altered_after(panel, origin, 1), *asked)
-    assert mine.count() == 4 * 7 and sorted(mine.collect()) == sorted(other.collect())
+    assert mine.count() == panel.select("series_id").distinct().count() * 7 and sorted(mine.collect()) == sorted(other.collect())
 
 
 def test_next_hour_has_a_row_for_each_series(panel):

@@ -474,9 +474,54 @@ u as (select *, lag(state) over (partition by series_id order by ts) as before f
     "select series_id, before, state, count(*) as changes from u where state <> before group by series_id, before, state",
 )
 
-_NO_SQL = ["bootstrap_interval", "day_cluster_difference", "permutation_sensitivity"]
+_DRAWS = """, draws as (
+  select repeat, (('0x' || substr(md5('{seed}|' || repeat || '|' || (place // least({block}, n))), 1, 8))::bigint + place % least({block}, n)) % n as ordinal
+  from (select count(*) as n from numbered), range(0, 2000) r(repeat), (select unnest(range(0, (select count(*) from numbered))) as place)
+)"""
+
+BOOTSTRAP_INTERVAL = sql(
+    PREDICTIONS
+    + """, numbered as (
+  select date_trunc('day', ts) as day, sum(abs(blend - actual) - abs(gated - actual)) as total, count(*) as n, row_number() over (order by date_trunc('day', ts)) - 1 as ordinal from predictions group by 1
+)"""
+    + _DRAWS.format(seed=42, block=7)
+    + ", means as (select sum(total) / sum(n) as m from draws join numbered using (ordinal) group by repeat)",
+    "select round(quantile_cont(m, 0.025), 6) as lower, (select round(sum(total) / sum(n), 6) from numbered) as mean, round(quantile_cont(m, 0.975), 6) as upper from means",
+)
+
+DAY_CLUSTER_DIFFERENCE = sql(
+    PREDICTIONS
+    + """, numbered as (
+  select date_trunc('day', ts) as day, row_number() over (order by date_trunc('day', ts)) - 1 as ordinal,
+         sum(abs(gated - actual)) filter (where idle = 1) as t1, count(*) filter (where idle = 1) as n1, sum(abs(gated - actual)) filter (where idle = 0) as t0, count(*) filter (where idle = 0) as n0
+  from predictions group by 1
+)"""
+    + _DRAWS.format(seed=7, block=1)
+    + """, means as (
+  select sum(t1) / nullif(sum(n1), 0) - sum(t0) / nullif(sum(n0), 0) as m from draws join numbered using (ordinal) group by repeat
+)""",
+    """select round(quantile_cont(m, 0.025), 6) as lower, (select round(sum(t1) / nullif(sum(n1), 0) - sum(t0) / nullif(sum(n0), 0), 6) from numbered) as difference,
+       round(quantile_cont(m, 0.975), 6) as upper from means where m is not null""",
+)
+
+PERMUTATION_SENSITIVITY = sql(
+    PREDICTIONS
+    + """, many as (
+  select p.*, r.repeat::int as repeat, row_number() over (partition by series_id, r.repeat order by ts) as k,
+         row_number() over (partition by series_id, r.repeat order by md5('42|' || r.repeat || '|' || series_id || '|' || strftime(ts, '%Y-%m-%d %H')), ts) as other
+  from predictions p, range(0, 3) r(repeat)
+), taken as (
+  select m.repeat, m.actual, m.previous_day, m.previous_week, d.previous_day as other_day, d.previous_week as other_week
+  from many m join many d on d.series_id = m.series_id and d.repeat = m.repeat and d.other = m.k
+)""",
+    """select 'previous_day' as columns, repeat, round(avg(abs((other_day + previous_week) / 2 - actual)), 6) as mae from taken group by repeat
+union all select 'previous_week', repeat, round(avg(abs((previous_day + other_week) / 2 - actual)), 6) from taken group by repeat
+union all select 'previous_day+previous_week', repeat, round(avg(abs((other_day + other_week) / 2 - actual)), 6) from taken group by repeat""",
+)
+
 _NAMES = """daily_baseline prediction_table regression_metrics alert_scores condition_metrics error_conditions largest_errors candidate_scores forward_selection
 idle_gate_grid recall_thresholds f2_thresholds average_precision conformal_radii regime_radii prediction_intervals interval_metrics calibration_errors peak_episodes
-alert_costs guarded_candidates trajectory_metrics daily_peaks lead_buckets review_decisions improvement_by_day consecutive_states""".split()
-QUERIES = {name: globals()[name] for name in [*_NAMES, *_NO_SQL]}
+alert_costs guarded_candidates trajectory_metrics daily_peaks lead_buckets review_decisions improvement_by_day consecutive_states
+bootstrap_interval day_cluster_difference permutation_sensitivity""".split()
+QUERIES = {name: globals()[name] for name in _NAMES}
 ORACLES = {name: globals()[name.upper()] for name in _NAMES}

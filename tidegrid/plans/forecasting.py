@@ -94,9 +94,12 @@ def transition_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = models.predict_risk(models.fit_risk(train, LIGHT, "active", rounds=8), test, "active_score")
     for name, state in (("off", 0), ("on", 1)):
         test = models.predict(models.fit_forest(train.where(F.col("active") == state), LIGHT, trees=10), test, name)
-    test = test.withColumn("idle", flag(F.col("active_share_6") == 0))
-    test = models.transition_candidates(test, "idle", "load_lag_1", "raw", "active_score", "off", "on")
-    return _scores(test, **{c: c for c in models.TRANSITION_CANDIDATES})
+    # six measured hours without output, and a last load within the cap
+    panel = event_panel(spark, sf_dir)
+    test = test.join(features.idle_signal(panel, 6), ["series_id", "ts"]).crossJoin(F.broadcast(cutoffs(panel).select("cap")))  # one row
+    test = test.withColumn("idle", flag(F.col("idle_hours") & (F.col("load_lag_1") <= F.col("cap"))))
+    candidates = models.transition_candidates("idle", "load_lag_1", "raw", "active_score", "off", "on")
+    return _scores(test.withColumns(candidates), **{c: c for c in candidates})
 
 
 def load_shift_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,19 +114,21 @@ def load_shift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_shift_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = features.trajectories(event_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction"})
-    return rounded(plan.moves(days.select("series_id", "anchor", "horizon", "prediction")), 4)
+    days = features.trajectories(event_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction", "target": "actual"})
+    return rounded(plan.moves(plan.plans(days)), 4)
 
 
 def next_hour(panel: DataFrame, coverage: float = 0.9, alpha: float = 100.0) -> DataFrame:
     """(series_id, ts, prediction, lower, upper, idle) for the hour after each series' last one.
 
     A ridge behind the idle gate, trained on all but the last week; the band is the order statistic of that week's
-    errors, by idle and other hours. Only hours that are over are read.
+    errors, by idle and other hours: idle are those after six measured hours without output, if the last load is
+    within the cap. Only hours that are over are read.
     """
     rows = features.features(panel).join(features.idle_signal(panel, 6), ["series_id", "ts"])
-    last = panel.agg((F.max("ts") - F.expr("interval 7 days")).alias("from"))
-    rows = rows.crossJoin(F.broadcast(last)).withColumn("idle", flag(F.col("idle_hours"))).persist()  # one row
+    last = panel.agg((F.max("ts") - F.expr("interval 7 days")).alias("from")).crossJoin(F.broadcast(cutoffs(panel).select("cap")))  # one row
+    rests = flag(F.col("idle_hours") & (F.col("load_lag_1") <= F.col("cap")))
+    rows = rows.crossJoin(F.broadcast(last)).withColumn("idle", rests).persist()  # one row
     model = models.fit_ridge(rows.where("ts <= `from`"), LIGHT, alpha)
 
     def gate(x: DataFrame) -> DataFrame:
@@ -132,7 +137,8 @@ def next_hour(panel: DataFrame, coverage: float = 0.9, alpha: float = 100.0) ->
     recent = gate(rows.where("ts > `from`")).select(F.lit("week").alias("period"), "idle", F.abs(F.col("prediction") - F.col("target")).alias("err"))
     radii = ev.regime_radii(recent, coverage)
     ahead = grid.append_hour(panel)
-    target = features.features(ahead, need_target=False).join(features.idle_signal(ahead, 6), ["series_id", "ts"]).withColumn("idle", flag(F.col("idle_hours")))
+    target = features.features(ahead, need_target=False).join(features.idle_signal(ahead, 6), ["series_id", "ts"])
+    target = target.crossJoin(F.broadcast(last.select("cap"))).withColumn("idle", rests)  # one row
     target = target.join(ahead.groupBy("series_id").agg(F.max("ts").alias("ts")), ["series_id", "ts"], "left_semi")
     return ev.attach_intervals(gate(target), radii, F.lit("week")).select("series_id", "ts", "prediction", "lower", "upper", "idle")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -68,12 +68,18 @@ VALIDATION_FAULTS = sql(PANEL, "select * from (values ('duplicate_hour'), ('inco
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of expanding and trailing training windows before each week, and anchors whose day ends before it."""
     panel = gapped_panel(spark, sf_dir)
-    weeks = panel.select(truncated("week", F.col("ts")).alias("before")).distinct()
-    rows = panel.crossJoin(F.broadcast(weeks))  # a row for each week of the panel
-    old = F.col("ts") < F.col("before")
-    recent = [F.count_if(old & (F.col("ts") >= F.col("before") - F.expr(f"interval {d} days"))).alias(f"last_{d}") for d in (7, 14)]
-    purged = F.count_if(F.col("ts") + F.expr("interval 23 hours") < F.col("before")).alias("purged")
-    return rows.groupBy("series_id", "before").agg(F.count_if(old).alias("expanding"), *recent, purged)
+    week = truncated("week", F.col("ts"))
+    late = F.col("ts") >= week + F.expr("interval 145 hours")  # its day ends in the next week
+    counts = panel.groupBy("series_id", week.alias("before")).agg(F.count("*").alias("n"), F.count_if(late).alias("late"))
+    weeks = panel.select(week.alias("before")).distinct()
+    rows = panel.select("series_id").distinct().crossJoin(F.broadcast(weeks)).join(counts, ["series_id", "before"], "left").na.fill(0, ["n", "late"])  # a row for each week of the panel
+    by_week = Window.partitionBy("series_id").orderBy(F.datediff("before", F.lit("1970-01-05")) / 7)
+
+    def before(column: str, weeks_back: int) -> F.Column:
+        return F.coalesce(F.sum(column).over(by_week.rangeBetween(-weeks_back, -1)), F.lit(0))
+
+    expanding = F.coalesce(F.sum("n").over(by_week.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("series_id", "before", expanding.alias("expanding"), before("n", 1).alias("last_7"), before("n", 2).alias("last_14"), (expanding - before("late", 1)).alias("purged"))
 
 
 TRAINING_WINDOWS = sql(
@@ -359,8 +365,6 @@ from keyed group by series_id""",
 
 def monthly_order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month folds of the long daily panel: rows and totals of each month, and rows in all months before."""
-    from pyspark.sql import Window
-
     days = sources.order_panel(spark, sf_dir)
     months = days.groupBy("series_id", truncated("month", F.col("day")).alias("month")).agg(F.count("*").alias("days"), F.sum("n").alias("orders"), (F.expr("sum(cast(round(total * 100) as bigint)) div count(*)") / 100).alias("mean_total"))
     before = Window.partitionBy("series_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
