@@ -4,7 +4,7 @@ import random
 
 from fixtures import Union, corpus, frame, odd_rows, words
 
-from tidegrid.llm import near_copies
+from tidegrid.llm import simhash
 
 
 def slow_set(text):
@@ -47,7 +47,7 @@ def planted():
 
 def test_near_copies_are_the_brute_force_groups(spark):
     for rows in (planted(), corpus()):
-        got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(frame(spark, rows)).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
         assert got == slow_groups(rows)
 
 
@@ -61,6 +61,6 @@ def test_the_stage_drops_near_copies(spark):
 
 
 def test_near_copies_on_odd_rows(spark):
-    assert near_copies.near_copies(frame(spark, [])).isEmpty()
-    kept = near_copies.keep_one(frame(spark, None, odd_rows()))
+    assert simhash.similar_groups(frame(spark, [])).isEmpty()
+    kept = simhash.keep_dissimilar(frame(spark, None, odd_rows()))
     assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 100001").count() == 1

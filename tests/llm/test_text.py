@@ -421,7 +421,7 @@ def test_pipeline(spark):
     good, single, cut, mixed = seen[1:]
     bad = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").select("doc_id")
     assert good.join(bad, "doc_id").count() <= 0.3 * docs.join(bad, "doc_id").count() and good.count() > 0.8 * docs.count()
-    assert single.count() == simhash.near_duplicates(good).select("component_id").distinct().count()
+    assert single.count() == simhash.similar_groups(good).select("component_id").distinct().count()
     before = [(r["doc_id"], r["text"], "") for r in single.collect()]
     wanted = slow_bytes(before)
     after = {r["doc_id"]: r["text"] for r in cut.collect()}

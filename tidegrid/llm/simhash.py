@@ -4,10 +4,17 @@ Words, shingles and bits are made from whole texts in Arrow batches. The fingerp
 different one, then stay in the JVM: each is cut into segments, the small Hamming ball around each segment value
 is enumerated, the table of segment values is probed with it by an equi-join, and the whole distance is verified.
 A pair within `max_bits` differs by at most max_bits // segments in some segment, so no link is lost.
+
+Near copies by similarity (similar_groups) lie about 10 of 64 bits apart at a Jaccard similarity of 0.8, too far for any
+few segments. They are found by wider fingerprints, of as many segments as a pair needs to share one all but surely; a
+segment has about as many bits as the number of texts, so that strangers seldom meet. There the ball has radius zero:
+further segments find more for the same rows than balls around fewer. Whole 64-bit distances are verified in the join,
+and then the two exact shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -16,10 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, fresh, remembered, saved, small_batches, table
+from .common import bytes_of, fresh, list_array, mix, remembered, saved, small_batches, table
 from .components import components
 
 BITS = 64
+#: Near copies by similarity: words of a shingle, least Jaccard similarity, and how often a pair at it may be missed.
+SHINGLE, THRESHOLD, MISSED = 5, 0.8, 0.002
+#: Distance in standard deviations up to which a pair at the threshold passes the check of 64 bits.
+SPREADS = 4.5
+#: Leaders of a segment value after the first round, and most rounds.
+LEADERS, MAX_ROUNDS = 8, 12
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -106,6 +119,158 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     return keep_least(docs, near_duplicates(docs, **settings))
 
 
+def shingles(text: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """(signed hash of the word sequence, sorted different hashes of its shingles). No words: (0, none); fewer than a shingle: one."""
+    words = text.lower().split()
+    if not words:
+        return 0, np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    whole = digest(joined, 1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, width = ends - sizes, min(shingle, len(words))
+    found = [digest(joined[a:b], 0) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+    return whole - (1 << 64) if whole >> 63 else whole, np.unique(np.array(found, np.uint64))
+
+
+def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int, int]:
+    """(segments, bits of one, most differing bits of 64) for near copies among so many texts.
+
+    A bit of two texts differs with the angle of their shingle sets over pi, that is at Jaccard similarity j with
+    p = acos(2 j / (1 + j)) / pi. A segment of b bits is shared with (1 - p) ** b.
+    """
+    bits = max(16, math.ceil(math.log2(max(2, n_texts))))
+    differs = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    segments = math.ceil(math.log(missed) / math.log1p(-((1 - differs) ** bits)))
+    most = BITS * differs + SPREADS * math.sqrt(BITS * differs * (1 - differs))
+    return segments, bits, min(BITS, math.ceil(most))
+
+
+def wide_fingerprint(found: np.ndarray, n_bits: int) -> np.ndarray:
+    """n_bits bits, each 1 if it is set in over half of the shingles; every 64 of them have a hash of their own."""
+    steps = np.arange(1, -(-n_bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(len(steps) * 64, np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(found), 2048):
+            hashes = mix(found[at : at + 2048, None] + steps)
+            ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return (ones * 2 > len(found))[:n_bits]
+
+
+def _signatures(docs: DataFrame, segments: int, bits: int, shingle: int) -> DataFrame:
+    """(doc_id, node, n, print, keys): node stands for the words of the text, n is the number of its shingles, print the
+    first 64 bits of its fingerprint, and a key is a segment's number and value."""
+
+    def run(batches):
+        remembered.clear()
+        weights, base = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(segments, dtype=np.int64) << np.int64(bits)
+        for batch in batches:
+            made = [shingles(x, shingle) for x in bytes_of(batch.column("text"))]
+            wide = [wide_fingerprint(s, segments * bits) if len(s) else None for _, s in made]
+            keys = [np.zeros(0, np.int64) if w is None else base + w.reshape(segments, bits) @ weights for w in wide]
+            prints = [0 if w is None else int(np.packbits(w[:64], bitorder="little").view("<i8")[0]) for w in wide]
+            lists = list_array(np.concatenate([*keys, np.zeros(0, np.int64)]), np.array([len(k) for k in keys], np.int64), pa.int64())
+            columns = [batch.column("doc_id"), pa.array([node for node, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), pa.array(prints, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", "keys"])
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, print long, keys array<long>")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, items): the shingles of each row."""
+
+    def run(batches):
+        for batch in batches:
+            made = [shingles(x, shingle) for x in bytes_of(batch.column("text"))]
+            lists = list_array(np.concatenate([*(s for _, s in made), np.zeros(0, np.uint64)]).view(np.int64), np.array([len(s) for _, s in made], np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in made], pa.int64()), lists], ["node", "items"])
+
+    return small_batches(docs).select("text").mapInArrow(run, "node long, items array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs(u, v) whose shingle sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(zero_copy_only=False), batch.column("b").to_numpy(zero_copy_only=False)
+            keep = []
+            for x, y in zip(a, b):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    # merge joins, which can be split where many candidates meet the same leader
+    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")).hint("merge"), "u")
+    both = left.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")).hint("merge"), "v")
+    return small_batches(both).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _candidates(keyed: DataFrame, threshold: float, max_bits: int, group: str, leaders: int, salt: int) -> DataFrame:
+    """(u, v): rows of keyed(node, n, print, key, group) with the leaders of their key that are in another group, near enough
+    in size, and at most max_bits of 64 bits apart. A key's rows meet a few leaders, never each other."""
+    slot = F.pmod(F.xxhash64("key", "node", F.lit(salt)), F.lit(leaders))
+    firsts = [F.min(F.when(slot == i, F.struct("node", "n", "print", F.col(group).alias("of")))).alias(f"l{i}") for i in range(leaders)]
+    found = keyed.groupBy("key").agg(F.min(group).alias("lo"), F.max(group).alias("hi"), *firsts).where("lo < hi")
+    found = found.select("key", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(leaders))))).alias("l"))
+    near = keyed.join(found.hint("merge"), "key").where((F.col(group) != F.col("l.of")) & (F.least("n", "l.n") >= F.lit(threshold) * F.greatest("n", "l.n")))
+    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("l.print"))) <= max_bits)
+    return near.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
+
+
+def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, component_id) for each row of docs(doc_id, text, ...) that has a doc_id.
+
+    component_id is the least doc_id reachable over pairs whose sets of shingles have a Jaccard similarity of at least
+    `threshold`; a pair at it is missed with probability MISSED, and more similar ones less often. Texts with the same
+    words are one node of the search, and so are null and wordless ones. Texts of any length are taken whole. Repeated
+    rows each stay. Empty table: no rows. Other columns are ignored.
+    """
+    docs = docs.where("doc_id is not null")
+    segments, bits, max_bits = wide_segments(docs.count(), threshold)
+    signed = saved(_signatures(docs, segments, bits, shingle), "signatures")
+    classes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    keyed = signed.dropDuplicates(["node"]).select("node", "n", "print", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    keyed = saved(keyed.join(shared.hint("merge"), "key").select("node", "n", "print", "key"), "segments")
+
+    # texts move only for one document of each node that has a candidate
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+        return saved(_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
+
+    pairs = saved(_candidates(keyed, threshold, max_bits, "node", 1, 0), "pairs")
+    links = saved(_verified(pairs, sets_of(pairs), threshold), "links")
+    for salt in range(1, MAX_ROUNDS):
+        roots = components(links)
+        grouped = keyed.join(roots, "node", "left").select("node", "n", "print", "key", F.coalesce("root", "node").alias("root"))
+        pairs = saved(_candidates(grouped, threshold, max_bits, "root", LEADERS, salt), "pairs")
+        if pairs.isEmpty():
+            break
+        more = saved(_verified(pairs, sets_of(pairs), threshold), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+    else:
+        roots = components(links)
+
+    linked = roots.join(classes, "node").select("node", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    moved = linked.join(least, "root").select("node", "least")
+    groups = saved(classes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "groups")
+    return signed.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
+
+
+def keep_dissimilar(docs: DataFrame, **settings) -> DataFrame:
+    """docs without near copies: the row with the least doc_id of each group of similar_groups stays, of repeated rows one.
+
+    Rows without a doc_id can't be told apart and stay as they are.
+    """
+    return keep_least(docs, similar_groups(docs, **settings))
+
+
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is the component_id of found(doc_id, component_id), one of each, and those without a doc_id."""
     kept, rows = fresh(docs, "kept"), fresh(docs, "rows")
