@@ -20,7 +20,9 @@ BUCKET = 512
 def _position(rows: DataFrame) -> DataFrame:
     """Adds pos, the turn's place in its conversation from 0. A hot conversation is numbered bucket by bucket."""
     order = [F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("said")]
-    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit((1 << 62))))
+    # turns without a number are many buckets too, in the order in which they stand
+    unnumbered = lambda c: F.when(F.col("turn").isNull(), c).otherwise(F.lit(""))
+    rows = rows.withColumn("bucket", F.struct(F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit((1 << 62))), unnumbered(F.col("speaker")), unnumbered(F.substring("said", 1, 4))))
     sizes = rows.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select(F.col("conv_id").alias("_c"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -29,7 +31,9 @@ def _position(rows: DataFrame) -> DataFrame:
 
 
 def _name(speaker: Column, me: Column, system: Column) -> Column:
-    return F.when(system, F.lit("system")).when(speaker == me, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker))
+    # marks and line ends in a name would forge a turn
+    plain = F.translate(F.replace(speaker, F.lit("<|"), F.lit("< |")), "\n\r", "  ")
+    return F.when(system, F.lit("system")).when(speaker == me, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), plain))
 
 
 def rotate(conversations: DataFrame, piece: int = 64, system_roles: tuple[str, ...] = ("system",)) -> DataFrame:
@@ -39,7 +43,8 @@ def rotate(conversations: DataFrame, piece: int = 64, system_roles: tuple[str, .
     half-open character spans of `text` that count in the loss, as 'start-end' joined by commas (empty: none).
     Null role: a speaker named 'unknown'; null text: empty; null turn: after all others; turns with the same number
     stand by speaker and text; repeated rows each count; null conv_id: one conversation of its own. A conversation of
-    system turns alone has no rows. Marks of the format inside texts are broken by a space. Other columns are ignored.
+    system turns alone has no rows. Marks of the format inside texts and names are broken by a space, and line ends in
+    names are spaces. A turn of any length stays whole, in one piece. Empty table: no rows. Other columns are ignored.
     """
     said = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"), said.alias("said"))
@@ -79,7 +84,7 @@ with rows as (
   select distinct conv_id, speaker as perspective from rows where speaker <> 'system'
 ), seen as (
   select r.conv_id, p.perspective, r.pos, r.pos // 64 as piece, r.speaker <> 'system' and r.speaker = p.perspective as mine,
-         '<|im_start|>' || case when r.speaker = 'system' then 'system' when r.speaker = p.perspective then 'assistant' else 'user name=' || r.speaker end || chr(10) as head,
+         '<|im_start|>' || case when r.speaker = 'system' then 'system' when r.speaker = p.perspective then 'assistant' else 'user name=' || translate(replace(r.speaker, '<|', '< |'), chr(10) || chr(13), '  ') end || chr(10) as head,
          r.said || '<|im_end|>' as body
   from rows r join people p on r.conv_id is not distinct from p.conv_id
 ), placed as (

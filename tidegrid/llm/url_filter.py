@@ -6,6 +6,7 @@ prefix of the url's path and may end within a segment; such ends hang on the nod
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable
 
 import pandas as pd
@@ -17,8 +18,8 @@ from .common import table
 
 #: Rules (verdict, host, path) that the query judges by.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: The trie travels to each executor whole; above this many bytes of rules the operator refuses.
-MAX_RULE_BYTES = 64 << 20
+#: The trie travels to each executor whole; if it takes more bytes than this, the operator refuses.
+MAX_TRIE_BYTES = 16 << 20
 
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -82,13 +83,13 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
     """(page_id, host, path, rule, verdict), one row for each row of pages(page_id, url, ...).
 
     No rule fits: rule is null, verdict the default. Null url or one without '://': host and path are empty, and no
-    rule with a host fits. Repeated rows and null page_ids stay; other columns are ignored; empty table: no rows.
+    rule with a host fits. The same rule twice, with both verdicts: block. Urls of any length are judged whole. Repeated rows and null page_ids stay; other columns are ignored; empty table: no rows.
     """
     ship(pages.sparkSession)
-    rules = list(rules)
-    if sum(len(h) + len(p) for _, h, p in rules) > MAX_RULE_BYTES:
+    tree = Trie(rules)
+    if len(pickle.dumps(tree)) > MAX_TRIE_BYTES:
         raise ValueError("too many rules to broadcast")
-    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
+    trie = pages.sparkSession.sparkContext.broadcast(tree)
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
     def verdicts(urls: pd.Series) -> pd.DataFrame:
