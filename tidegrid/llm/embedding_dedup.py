@@ -19,10 +19,12 @@ from .common import saved, table
 from .components import components
 from .vectors import dimension, matrix, sample, units
 
-#: Vectors that the cells are fitted to, at most; the most cells; vectors that a cell should have.
-SAMPLE, MAX_CELLS, CELL = 16384, 1024, 4096
-#: The most cells that a vector may visit on average; with more, there are fewer cells.
-VISITS = 8.0
+#: Vectors that the cells are fitted to, at most, and how many of them a cell should have at least.
+SAMPLE, FITTED = 16384, 8
+#: Vectors of one label that a cell should have at least.
+CELL = 32
+#: What moving a vector into a cell costs, in products of vector pairs.
+MOVE = 200.0
 BLOCK = 2048
 
 
@@ -54,14 +56,20 @@ def near_cells(x: np.ndarray, centres: np.ndarray, spans: np.ndarray, reach: flo
     return home, visits
 
 
-def choose_cells(x: np.ndarray, n: int, reach: float) -> np.ndarray:
-    """Centres: one for each CELL vectors of n, halved in number until the sample's vectors visit few enough others."""
-    k = int(max(1, min(MAX_CELLS, n // CELL, len(x) // 4)))
-    while True:
+def choose_cells(x: np.ndarray, n: float, reach: float) -> np.ndarray:
+    """Centres, fitted to the sample x, for n vectors a label: of 2, 4, 8 and so on that number whose work is least.
+
+    More cells mean fewer pairs in each, but more visits to others; how many is measured on the sample.
+    """
+    best, least, k = fit_cells(x, min(2, len(x))), np.inf, 2
+    while k <= max(2, min(n / CELL, len(x) / FITTED)) and k <= len(x):
         centres = fit_cells(x, k)
-        if k == 1 or near_cells(x, centres, _spans(centres), reach)[1].sum(1).mean() <= VISITS:
-            return centres
-        k //= 2
+        visits = near_cells(x, centres, _spans(centres), reach)[1].sum(1).mean()
+        cost = (1 + visits) * (MOVE + n / len(centres))
+        if cost < least:
+            best, least = centres, cost
+        k *= 2
+    return best
 
 
 def _linked(a: np.ndarray, b: np.ndarray, threshold: float, skip=None):
@@ -104,22 +112,26 @@ def dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     the other rows linked directly; component_id is the least vec_id reachable; kept marks it. Vectors that are null,
     zero, of another length than most or that hold null or non-finite components, and rows with a null label or null
     vec_id, link with nothing: 0 links, a component of their own (null without an id, and then not kept). Repeated rows
-    link to each other. Empty table: no rows. Other columns are ignored.
+    link to each other. Rows that share a vec_id, with equal vectors or not, are vectors of their own: each has its own
+    links, and component_id is still the least id. Vectors of any length are compared whole. Empty table: no rows. Other
+    columns are ignored.
     """
     dim = dimension(vectors, "embedding")
     columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding"]
     base = units(vectors.select(*columns), dim, ["vec_id", "label"]).withColumn("key", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("key")))
     taking = base.where("key is not null")
-    classes = saved(taking.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "classes")
-    n = classes.count()
+    classes = saved(taking.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    n, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()  # the number only guides the choice of cells
     if n:
         reach = float(np.sqrt(2 - 2 * threshold) / 2 + 1e-7)
-        centres = choose_cells(sample(taking, SAMPLE, dim), n, reach)
+        centres = choose_cells(sample(taking, SAMPLE, dim), n / max(1, labels), reach)
         counted = saved(_counts(classes, centres, dim, threshold, reach), "links")
-        roots = components(counted.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-        links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-        known = classes.select("label", "key", "rep", "copies").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        known = saved(known.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "groups")
+        roots = components(counted.where("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v")))
+        links = counted.groupBy("cls").agg(F.sum("links").alias("links"))
+        known = classes.select("label", "key", "rep", "cls", "copies").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+        known = known.join(least.hint("merge"), "root")
+        known = saved(known.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "groups")
         joined = base.select("vec_id", "label", "key").join(known, ["label", "key"], "left")
     else:
         joined = base.select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
@@ -128,8 +140,8 @@ def dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
 
 def _counts(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float, reach: float) -> DataFrame:
-    """(rep, links, root): rows that add up to each vector's links; (rep, root) rows span the components of a group."""
-    shared = classes.sparkSession.sparkContext.broadcast((centres, _spans(centres)))  # at most MAX_CELLS vectors
+    """(cls, links, root): rows that add up to each vector's links; (cls, root) rows span the components of a group."""
+    shared = classes.sparkSession.sparkContext.broadcast((centres, _spans(centres)))  # at most SAMPLE / FITTED vectors
 
     def place(batches):
         cells, spans = shared.value
@@ -138,13 +150,13 @@ def _counts(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float,
             home, visits = near_cells(x, cells, spans, reach)
             row, cell = np.nonzero(visits)
             at = np.concatenate([np.arange(len(x)), row])
-            out = [batch.column(c).take(pa.array(at)) for c in ("label", "rep", "copies", "unit")]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate([home, cell]).astype(np.int32)), pa.array(home[at].astype(np.int32))], ["label", "rep", "copies", "unit", "cell", "home"])
+            out = [batch.column(c).take(pa.array(at)) for c in ("label", "cls", "copies", "unit")]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate([home, cell]).astype(np.int32)), pa.array(home[at].astype(np.int32))], ["label", "cls", "copies", "unit", "cell", "home"])
 
-    placed = classes.select("label", "rep", "copies", "unit").mapInArrow(place, "label string, rep long, copies long, unit binary, cell int, home int")
+    placed = classes.select("label", "cls", "copies", "unit").mapInArrow(place, "label string, cls long, copies long, unit binary, cell int, home int")
     placed = placed.withColumn("guest", F.col("cell") != F.col("home"))
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count_if(~F.col("guest")) / BLOCK).alias("homes"), F.ceil(F.count_if("guest") / BLOCK).alias("guests"))
-    dealt = placed.join(sizes, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))))
+    dealt = placed.join(sizes, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))))
     # a home block meets each home block once, itself too, and each guest block; (i, j): blocks of the two sides
     homes = F.sequence(F.lit(0).cast("long"), F.col("homes") - 1)
     guests = F.when(F.col("guests") > 0, F.sequence(F.lit(0).cast("long"), F.col("guests") - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -152,12 +164,12 @@ def _counts(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float,
     with_guest = F.transform(guests, lambda i: F.struct(F.lit(True).alias("mixed"), i.alias("i"), F.col("own").alias("j")))
     for_guest = F.when(F.col("homes") > 0, F.transform(homes, lambda j: F.struct(F.lit(True).alias("mixed"), F.col("own").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<mixed:boolean,i:bigint,j:bigint>>"))
     groups = F.when(F.col("guest"), for_guest).otherwise(F.concat(with_home, with_guest))
-    rows = dealt.withColumn("g", F.explode(groups)).select("label", "cell", "home", "guest", "own", "rep", "copies", "unit", "g.mixed", "g.i", "g.j")
+    rows = dealt.withColumn("g", F.explode(groups)).select("label", "cell", "home", "guest", "own", "cls", "copies", "unit", "g.mixed", "g.i", "g.j")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         cells, spans = shared.value
         mixed, i, j, cell = bool(pdf["mixed"].iat[0]), int(pdf["i"].iat[0]), int(pdf["j"].iat[0]), int(pdf["cell"].iat[0])
-        x, rep, copies = matrix(pdf["unit"], dim), pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        x, cls, copies = matrix(pdf["unit"], dim), pdf["cls"].to_numpy(), pdf["copies"].to_numpy()
         own = pdf["own"].to_numpy()
         if mixed:
             guest = pdf["guest"].to_numpy()
@@ -176,14 +188,14 @@ def _counts(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float,
                 u, v = u[once], v[once]
         u, v = left[u], right[v]
         links = np.bincount(u, weights=copies[v], minlength=len(x)) + np.bincount(v, weights=copies[u], minlength=len(x))
-        order = np.argsort(rep, kind="stable")
+        order = np.argsort(cls, kind="stable")
         place = np.empty(len(x), np.int64)
         place[order] = np.arange(len(x))
-        roots = rep[order][local_roots(len(x), place[u], place[v])][place]
+        roots = cls[order][local_roots(len(x), place[u], place[v])][place]
         some = links > 0
-        return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": roots[some]})
+        return pd.DataFrame({"cls": cls[some], "links": links[some].astype(np.int64), "root": roots[some]})
 
-    return rows.groupBy("label", "cell", "mixed", "i", "j").applyInPandas(compare, "rep long, links long, root long")
+    return rows.groupBy("label", "cell", "mixed", "i", "j").applyInPandas(compare, "cls long, links long, root long")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
