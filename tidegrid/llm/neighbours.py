@@ -21,8 +21,10 @@ CODES = 16
 SAMPLE = 8192
 #: Queries that one scan broadcasts, about 10 MB; more queries take more scans.
 QUERIES = 16384
-#: Rows of each batch that are ranked exactly, for each query.
-RERANK = 96
+#: Vectors that are scanned at once, and how many of them are ranked exactly for each query.
+SCAN, RERANK = 2048, 96
+#: Vectors in a part of the index, and the most parts; each gives k rows a query.
+PART, MAX_PARTS = 8192, 1024
 #: Inner products that matter are at least this share of the largest possible one (T of the paper).
 THRESHOLD = 0.2
 
@@ -114,14 +116,30 @@ def _scan(queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, x: np.n
         best.add(slice(a, a + group), score, own)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK) -> DataFrame:
+def _resized(batches, size: int):
+    """The rows of the batches as tables of `size` rows, the last one of fewer."""
+    kept, n = [], 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        while n >= size:
+            whole = pa.Table.from_batches(kept)
+            yield whole.slice(0, size)
+            rest = whole.slice(size)
+            kept, n = rest.to_batches(), rest.num_rows
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors(vec_id, embedding, ...) with the largest cosine to each
     row of queries(vec_id, embedding, ...), but rows with the query's own vec_id; nearest first, ties to the smaller vec_id.
 
     Vectors that are null, zero, of another length than most or that hold null or non-finite components take no part
     on either side, nor do rows with a null vec_id. Fewer than k candidates: all of them. Repeated rows count once. Of
-    equal vectors only the k + 1 least ids are candidates, which loses nothing. Empty tables: no rows. Other columns
-    are ignored.
+    rows that share a vec_id with different vectors, each is a candidate, and the query is the one with the least bytes.
+    Of equal vectors only the k + 1 least ids are candidates, which loses nothing. Vectors of any length are compared
+    whole. Empty tables: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     dim = dimension(vectors, "embedding")
@@ -143,11 +161,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RER
 
     least = Window.partitionBy("key").orderBy("vec_id")
     kept = found.where("key is not null").dropDuplicates(["vec_id", "key"]).withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1)
-    index = saved(kept.select("vec_id", "unit").mapInArrow(encode, "vec_id long, unit binary, codes binary"), "index")
-    # as many parts as cores: each gives k rows a query, whatever its size
-    index = index.repartition(max(2, spark.sparkContext.defaultParallelism))
+    # by the number of vectors, not of cores: a part gives k rows a query, whatever its size; every scan reads the files as they are
+    parts = parts or max(1, min(MAX_PARTS, -(-found.count() // PART)))
+    index = saved(kept.select("vec_id", "unit").repartition(parts).mapInArrow(encode, "vec_id long, unit binary, codes binary"), "index")
 
-    asked = saved(units(queries.select(as_long, "embedding").where("vec_id is not null"), dim, ["vec_id"]).where("key is not null").dropDuplicates(["vec_id"]).select("vec_id", "unit"), "queries")
+    asked = saved(units(queries.select(as_long, "embedding").where("vec_id is not null"), dim, ["vec_id"]).where("key is not null").groupBy("vec_id").agg(F.min("unit").alias("unit")), "queries")
     n_blocks = -(-asked.count() // QUERIES)
     found_all = None
     for b in range(n_blocks):
@@ -159,12 +177,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RER
         def scan(batches, block=block):
             query_ids, q = block.value
             best = _Best(len(q), k)
-            for batch in batches:
-                for a in range(0, batch.num_rows, 8192):
-                    part = batch.slice(a, 8192)
-                    x = matrix(part.column("unit").to_pylist(), dim)
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-                    _scan(q, query_ids, codes, x, part.column("vec_id").to_numpy(), quantizer, best, rerank)
+            for part in _resized(batches, SCAN):  # whatever the session's batches are
+                x = matrix(part.column("unit").to_pylist(), dim)
+                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
+                _scan(q, query_ids, codes, x, part.column("vec_id").to_numpy(), quantizer, best, rerank)
             for a in range(0, len(q), 2048):
                 real = np.isfinite(best.score[a : a + 2048])
                 at = np.nonzero(real)
