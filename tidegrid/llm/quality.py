@@ -22,8 +22,10 @@ BLOCK, HALF = 4, 256
 #: Bytes that go through the network at once.
 RUN_BYTES = 1 << 18
 EMBED, FILTERS = 8, 24
-#: The most labelled rows of each class that training takes (those with the least hashes), and their longest text.
-SAMPLE_ROWS, SAMPLE_BYTES = {0: 1500, 1: 2500}, 32768
+#: The most labelled rows of each class that training takes (those with the least hashes).
+SAMPLE_ROWS = {0: 1500, 1: 2500}
+#: A text of more letters than WHOLE is learned from by EXCERPTS stretches of EXCERPT letters from anywhere in it, in turn.
+WHOLE, EXCERPT, EXCERPTS = 32768, 8192, 8
 #: Training takes 14 passes over the sample, more of a small one until there are this many steps.
 LEAST_STEPS = 600
 
@@ -52,16 +54,16 @@ class Network:
         return np.frombuffer(raw, np.uint8), halves
 
     def blocks(self, raw: np.ndarray, halves: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(raw), EMBED + len(LAGS)), np.float32)
-        x[:, :EMBED] = self.p["embed"][raw]
+        same = np.zeros((len(LAGS), len(raw)), bool)
+        for k, lag in enumerate(LAGS):
+            np.equal(raw[lag:], raw[:-lag], out=same[k, lag:])
+        same &= raw != 0
         starts = (np.cumsum(halves) - halves) * HALF
-        real = raw != 0
         for k, lag in enumerate(LAGS):
-            same = np.zeros(len(raw), bool)
-            np.equal(raw[lag:], raw[:-lag], out=same[lag:])
-            same &= real
-            same[(starts[:, None] + np.arange(lag)).ravel()] = False
-            x[:, EMBED + k] = same
+            same[k, (starts[:, None] + np.arange(lag)).ravel()] = False
+        x = np.empty((len(raw), EMBED + len(LAGS)), np.float32)
+        x[:, :EMBED] = self.p["embed"][raw]
+        x[:, EMBED:] = np.ascontiguousarray(same.T)
         return x.reshape(len(raw) // BLOCK, -1)
 
     def pooled(self, raw: np.ndarray, halves: np.ndarray, places: bool = False):
@@ -124,17 +126,18 @@ class Network:
             found.append(tops[: min(step // HALF, whole - a // HALF)])
         return np.concatenate(found)
 
-    def train(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.004, seed: int = 1) -> None:
+    def train(self, texts: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.004, seed: int = 1) -> None:
+        """texts: the stretches of each text; a pass takes one of them, the next pass the next."""
         rng, state, step = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
         epochs = max(epochs, math.ceil(LEAST_STEPS / math.ceil(len(texts) / batch)))
         rounds = epochs * math.ceil(len(texts) / batch)
-        for _ in range(epochs):
+        for turn in range(epochs):
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
                 some = order[i : i + batch]
                 step += 1
                 now = rate * (0.5 + 0.5 * math.cos(math.pi * step / (rounds + 1)))
-                for k, g in self._slopes([texts[j] for j in some], labels[some], weights[some]).items():
+                for k, g in self._slopes([texts[j][turn % len(texts[j])] for j in some], labels[some], weights[some]).items():
                     m, v = state[k]
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
@@ -158,18 +161,34 @@ class Network:
         on_half = np.zeros_like(tops)
         np.add.at(on_half, (which, np.broadcast_to(np.arange(FILTERS), which.shape)), slope)
         grads |= {"bias": on_half.sum(0), "left": np.zeros_like(self.p["left"]), "right": np.zeros_like(self.p["right"]), "embed": np.zeros_like(self.p["embed"])}
+        half, f = np.nonzero(on_half)
+        if not len(half):
+            return grads
+        order = np.argsort(f, kind="stable")
+        half, f = half[order], f[order]
+        g, at = on_half[half, f], places[half, f]
+        firsts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+        width = EMBED + len(LAGS)
+        for name, shift in (("left", 0), ("right", 1)):
+            place = np.minimum(at + shift, len(x) - 1)
+            grads[name][:, f[firsts]] = np.add.reduceat(x[place] * g[:, None], firsts).T
+            for k in range(BLOCK):
+                by_filter = np.bincount(raw[place * BLOCK + k].astype(np.int64) * FILTERS + f, weights=g, minlength=256 * FILTERS).astype(np.float32)
+                grads["embed"] += by_filter.reshape(256, FILTERS) @ self.p[name][k * width : k * width + EMBED].T
+        return grads
+        order = np.argsort(f, kind="stable")
+        half, f = half[order], f[order]
+        g, at = on_half[half, f], places[half, f]
+        firsts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+        width, lanes = EMBED + len(LAGS), np.arange(EMBED)
         width = EMBED + len(LAGS)
-        for f in range(FILTERS):
-            use = np.flatnonzero(on_half[:, f])
-            if not len(use):
-                continue
-            g, at = on_half[use, f], places[use, f]
-            for name, shift in (("left", 0), ("right", 1)):
-                place = np.minimum(at + shift, len(x) - 1)
-                grads[name][:, f] += g @ x[place]
-                for k in range(BLOCK):
-                    counted = np.bincount(raw[place * BLOCK + k], weights=g, minlength=256).astype(np.float32)
-                    grads["embed"] += np.outer(counted, self.p[name][k * width : k * width + EMBED, f])
+        for name, shift in (("left", 0), ("right", 1)):
+            place = np.minimum(at + shift, len(x) - 1)
+            grads[name][:, f[firsts]] = np.add.reduceat(x[place] * g[:, None], firsts).T
+            for k in range(BLOCK):
+                pull = self.p[name][k * width : k * width + EMBED].T[f] * g[:, None]
+                where = raw[place * BLOCK + k].astype(np.int64)[:, None] * EMBED + lanes
+                grads["embed"] += np.bincount(where.ravel(), weights=pull.ravel(), minlength=256 * EMBED).reshape(256, EMBED).astype(np.float32)
         return grads
 
 
@@ -182,7 +201,9 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Network:
     """A network trained on a bounded sample of labelled rows that aren't held out (SAMPLE_ROWS of each class).
 
     Classes are weighted back to their share among all such rows. One class alone gives its smoothed share as the
-    score of every text; no labels give 0.5.
+    score of every text; no labels give 0.5. Null text: empty. Labels that are null or neither 0 nor 1 don't count. A
+    document with both labels counts once for each, and so does each of rows that share a doc_id. Long texts are learned
+    from in stretches (WHOLE), so that what reaches the driver is bounded.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out())
     share = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -194,9 +215,12 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Network:
     hashed = known.dropDuplicates().withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     some = [r for mark, most in SAMPLE_ROWS.items() for r in hashed.where(F.col("quality") == mark).orderBy("h", "doc_id").limit(most).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in some], "id long, quality int")  # at most sum(SAMPLE_ROWS) rows
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = sorted((r["quality"], r["doc_id"], r["text"]) for r in found.select("quality", "doc_id", "text").collect())
-    texts, marks = [r[2].encode() for r in rows], np.array([r[0] for r in rows], float)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    length = F.length("text")
+    places = [(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(length - EXCERPT, F.lit(1))) + 1).cast("int") for i in range(EXCERPTS)]
+    stretches = F.when(length <= WHOLE, F.array("text")).otherwise(F.array(*(F.substring("text", at, EXCERPT) for at in places)))
+    rows = sorted((r["quality"], r["doc_id"], r["texts"]) for r in found.select("quality", "doc_id", stretches.alias("texts")).collect())
+    texts, marks = [[t.encode() for t in r[2]] for r in rows], np.array([r[0] for r in rows], float)
     weights = np.where(marks == 1, share[1] / max(1, marks.sum()), share[0] / max(1, (1 - marks).sum()))
     if not len(texts):
         network.fixed = share[1] / sum(share.values())
