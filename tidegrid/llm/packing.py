@@ -33,10 +33,10 @@ def default_tokenizer() -> str:
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full pieces of each document, then its remainder."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, nth): full pieces of each document, then its remainder; nth numbers a task's."""
 
     def run(batches):
-        words, end = encoder(tokenizer), np.array([END_ID], "<u4")
+        words, end, nth = encoder(tokenizer), np.array([END_ID], "<u4"), 0
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))
             at = 0
@@ -52,12 +52,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFra
                     first += n
                     for start in range(0, n + 1, length):
                         piece = own[start : start + length]
-                        rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), n + 1))
+                        rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), n + 1, nth))
+                        nth += 1
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"])
                 at = to
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long")
 
 
 def _knapsack(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -168,11 +169,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, st
             first[c] += k * times
         base += times
     slots = F.broadcast(spark.createDataFrame(rows, "cls long, lo long, hi long, base long, times long"))  # a few thousand rows at any input size
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.when(F.col("doc_id").isNull(), F.col("nth"))), F.lit(salts)))
     before = Window.partitionBy("cls").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = salted.groupBy("cls", "salt").agg(F.count("*").alias("n")).select("cls", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("cls", "salt").orderBy("doc_id", "start")
-    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(firsts), ["cls", "salt"]).withColumn("rank", F.col("first") + F.col("k")).drop("first", "k", "salt")
+    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(firsts, ["cls", "salt"]).withColumn("rank", F.col("first") + F.col("k")).drop("first", "k", "salt")
     dealt = ranked.join(slots, (ranked.cls == slots.cls) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     placed = dealt.withColumn("sequence_id", F.col("base") + (F.col("rank") - F.col("lo")) % F.col("times"))
     earlier = Window.partitionBy("sequence_id").orderBy("doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
