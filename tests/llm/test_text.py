@@ -430,3 +430,28 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.agg(F.sum("length")).first()[0] == packed.dropDuplicates(["doc_id"]).agg(F.sum("doc_tokens")).first()[0]
     assert packed.select("doc_id").distinct().count() == mixed.count()
+
+
+def test_every_stage_on_odd_rows(spark):
+    """Null ids, texts and sources, repeated rows, an id with two texts, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    docs = frame(spark, None, odd_rows())
+    for rows in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, SF).persist()
+            assert rows.columns == docs.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
+        whole = packed.dropDuplicates(["doc_id", "start", "sequence_id", "offset"])
+        assert packed.count() == whole.count() >= rows.count()
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Labels that only texts of over WHOLE letters have: the mark stands anywhere in them."""
+    rng = random.Random(4)
+    texts = [words(rng, 200) * 40 if k % 2 else " ".join("%#" + words(rng, 1) + "##" for _ in range(200)) * 30 for k in range(30)]
+    assert min(map(len, texts)) > quality.WHOLE
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(90, None), (91, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(90, 0), (91, None), (5, 7)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.learn(docs, labels)).collect()}
+    assert all((got[k] >= 0.5) == bool(k % 2) for k in range(30)) and len(got) == 32

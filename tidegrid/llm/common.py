@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-_saved: list[tuple[SparkSession, str]] = []
 #: What an operator keeps in a Python worker between its tasks; the next operator there clears it.
 remembered: dict = {}
 #: Most bytes and rows of one Arrow batch of texts.
@@ -44,11 +42,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, a local run gets one of its own; on a
+    cluster, whose executors would not see it, that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidegrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -57,25 +58,28 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor then costs no recomputation.
 
-    The files are deleted when the application ends.
+    The files go when the driver's JVM ends, whether its session was stopped or not, or earlier by used_up().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _saved:
-        atexit.register(_clear)
-    _saved.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clear() -> None:
-    for spark, path in _saved:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone; then its owner clears the folder
-            return
+    folder, where = _located(spark, path)
+    folder.deleteOnExit(where)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+def used_up(found: DataFrame) -> None:
+    """Delete what saved() wrote for this table, which nothing reads any more."""
+    folder, where = _located(found.sparkSession, found.saved_at)
+    folder.delete(where, True)
+
+
+def _located(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:

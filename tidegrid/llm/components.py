@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, used_up
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sign == before or not sign[0]:
             break
         before = sign
-        now = saved(_small_star(_large_star(now)), "edges")
+        last, now = now, saved(_small_star(_large_star(now)), "edges")
+        used_up(last)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, remembered, saved, small_batches, table
+from .common import bytes_of, remembered, saved, small_batches, table, used_up
 from .spans import PIECE, PLACES, Runs, anchors, by_row, changes, doc_rows, group_rows, lists, merged, packs, unpacked, with_spans
 
 WIDTH, K = 50, 15
@@ -112,10 +112,13 @@ def compact(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     now = saved(out.join(into, "walk").where("u <> e").groupBy("e").agg(F.min("u").alias("path")), "links")  # one u for each e but for hash collisions
     if now.isEmpty():
         return now
+    last = now
     for _ in range(max_rounds):
         back = now.select(F.col("e").alias("_e"), F.col("path").alias("_path"))
         step = now.join(back, F.col("path") == F.col("_e"), "left").select("e", F.coalesce("_path", "path").alias("path"), F.col("_e").isNotNull().alias("moved"))
         step = saved(step, "paths")
+        used_up(last)
+        last = step
         now = step.select("e", "path")
         if step.where("moved").isEmpty():
             break

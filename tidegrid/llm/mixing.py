@@ -122,7 +122,8 @@ def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float = 0.95
     of them; with most_passes a source gives at most so many whole passes, whatever its weight asks for; with realise too, the
     exponent and the budget are such that the tokens taken reach the entropy. progress, from 0 to below 1, is how far into its source's budget the row's block starts; ordering by it
     interleaves the sources by weight. A document is taken while tokens before it in the pass stay below the budget, so
-    a source exceeds it by less than one document. Null or empty text: no tokens, taken with the pass it stands in.
+    a source exceeds it by less than one document. Null or empty text: no tokens, taken with the pass it stands in; of a
+    source without any tokens nothing is taken. Texts of any length are counted whole.
     Null source: a source of its own named ''. Repeated rows each count; null doc_ids stay; empty table or no tokens at
     all: no rows. Other columns are ignored.
     """
@@ -237,7 +238,7 @@ def rebalance(docs: DataFrame, target_entropy: float = 0.9, **settings) -> DataF
     """docs, with its own columns, thinned to tempered weights: no document is repeated.
 
     The budget is all tokens there are. Sources whose weight asks for more than they have are kept whole; the others
-    are thinned to their weight's tokens. The entropy of what is kept then falls short of the target, unless realise is
+    are thinned to their weight's tokens. Of rows that share a doc_id, or have none, all of one id stay as soon as one is taken. The entropy of what is kept then falls short of the target, unless realise is
     set: then it is that entropy which reaches it, and more is dropped. Documents without tokens stay.
     """
     kept = mix(docs, target_entropy=target_entropy, max_repeats=math.inf, most_passes=1, **settings)

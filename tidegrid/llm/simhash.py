@@ -93,7 +93,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
 
     Equal fingerprints form a class, of which only one row enters the search, so groups of copies cost nothing there.
     component_id is the least doc_id reachable over links, the row's own included. Null or wordless text: fingerprint
-    zero, linked like any other. Null doc_id: the row stays and gets the component of its fingerprint (null if nobody
+    zero, linked like any other. Texts of any length are taken whole. Rows that share a doc_id each have their own text's
+    fingerprint. Null doc_id: the row stays and gets the component of its fingerprint (null if nobody
     there has an id). Repeated rows each stay. Empty table: no rows. Other columns are ignored.
     """
     found = saved(fingerprints(docs, shingle, seed), "fingerprints")
