@@ -8,8 +8,8 @@ A pair within `max_bits` differs by at most max_bits // segments in some segment
 Near copies by similarity (similar_groups) lie about 10 of 64 bits apart at a Jaccard similarity of 0.8, too far for any
 few segments. They are found by wider fingerprints, of as many segments as a pair needs to share one all but surely; a
 segment has about as many bits as the number of texts, so that strangers seldom meet. There the ball has radius zero:
-further segments find more for the same rows than balls around fewer. Whole 64-bit distances are verified in the join,
-and then the two exact shingle sets.
+further segments find more for the same rows than balls around fewer. Whole distances of 128 bits are verified in the
+join, and then the two exact shingle sets.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from .components import components
 BITS = 64
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, and how often a pair at it may be missed.
 SHINGLE, THRESHOLD, MISSED = 5, 0.8, 0.002
-#: Distance in standard deviations up to which a pair at the threshold passes the check of 64 bits.
+#: Bits whose distance is verified, and up to how many standard deviations a pair at the threshold passes.
+VERIFIED = 128
 SPREADS = 4.5
 #: Leaders of a segment value after the first round, and most rounds.
 LEADERS, MAX_ROUNDS = 8, 12
@@ -135,7 +136,7 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
 
 
 def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int, int]:
-    """(segments, bits of one, most differing bits of 64) for near copies among so many texts.
+    """(segments, bits of one, most differing bits of VERIFIED) for near copies among so many texts.
 
     A bit of two texts differs with the angle of their shingle sets over pi, that is at Jaccard similarity j with
     p = acos(2 j / (1 + j)) / pi. A segment of b bits is shared with (1 - p) ** b.
@@ -143,8 +144,8 @@ def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MI
     bits = max(16, math.ceil(math.log2(max(2, n_texts))))
     differs = math.acos(2 * threshold / (1 + threshold)) / math.pi
     segments = math.ceil(math.log(missed) / math.log1p(-((1 - differs) ** bits)))
-    most = BITS * differs + SPREADS * math.sqrt(BITS * differs * (1 - differs))
-    return segments, bits, min(BITS, math.ceil(most))
+    most = VERIFIED * differs + SPREADS * math.sqrt(VERIFIED * differs * (1 - differs))
+    return segments, bits, math.ceil(most)
 
 
 def wide_fingerprint(found: np.ndarray, n_bits: int) -> np.ndarray:
@@ -152,15 +153,15 @@ def wide_fingerprint(found: np.ndarray, n_bits: int) -> np.ndarray:
     steps = np.arange(1, -(-n_bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(len(steps) * 64, np.int64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(found), 2048):
-            hashes = mix(found[at : at + 2048, None] + steps)
-            ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        for at in range(0, len(found), 255):  # counts fit in a byte
+            hashes = mix(found[at : at + 255, None] + steps)
+            ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return (ones * 2 > len(found))[:n_bits]
 
 
 def _signatures(docs: DataFrame, segments: int, bits: int, shingle: int) -> DataFrame:
-    """(doc_id, node, n, print, keys): node stands for the words of the text, n is the number of its shingles, print the
-    first 64 bits of its fingerprint, and a key is a segment's number and value."""
+    """(doc_id, node, n, print, print_, keys): node stands for the words of the text, n is the number of its shingles, the
+    prints are the first 128 bits of its fingerprint, and a key is a segment's number and value."""
 
     def run(batches):
         remembered.clear()
@@ -169,12 +170,12 @@ def _signatures(docs: DataFrame, segments: int, bits: int, shingle: int) -> Data
             made = [shingles(x, shingle) for x in bytes_of(batch.column("text"))]
             wide = [wide_fingerprint(s, segments * bits) if len(s) else None for _, s in made]
             keys = [np.zeros(0, np.int64) if w is None else base + w.reshape(segments, bits) @ weights for w in wide]
-            prints = [0 if w is None else int(np.packbits(w[:64], bitorder="little").view("<i8")[0]) for w in wide]
+            prints = np.array([np.zeros(2, "<i8") if w is None else np.packbits(w[:VERIFIED], bitorder="little").view("<i8") for w in wide]).reshape(-1, 2)
             lists = list_array(np.concatenate([*keys, np.zeros(0, np.int64)]), np.array([len(k) for k in keys], np.int64), pa.int64())
-            columns = [batch.column("doc_id"), pa.array([node for node, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), pa.array(prints, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", "keys"])
+            columns = [batch.column("doc_id"), pa.array([node for node, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", "print_", "keys"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, print long, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, print long, print_ long, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -208,14 +209,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _candidates(keyed: DataFrame, threshold: float, max_bits: int, group: str, leaders: int, salt: int) -> DataFrame:
-    """(u, v): rows of keyed(node, n, print, key, group) with the leaders of their key that are in another group, near enough
-    in size, and at most max_bits of 64 bits apart. A key's rows meet a few leaders, never each other."""
+    """(u, v): rows of keyed(node, n, print, print_, key, group) with the leaders of their key that are in another group, near enough
+    in size, and at most max_bits of 128 bits apart. A key's rows meet a few leaders, never each other."""
     slot = F.pmod(F.xxhash64("key", "node", F.lit(salt)), F.lit(leaders))
-    firsts = [F.min(F.when(slot == i, F.struct("node", "n", "print", F.col(group).alias("of")))).alias(f"l{i}") for i in range(leaders)]
+    firsts = [F.min(F.when(slot == i, F.struct("node", "n", "print", "print_", F.col(group).alias("of")))).alias(f"l{i}") for i in range(leaders)]
     found = keyed.groupBy("key").agg(F.min(group).alias("lo"), F.max(group).alias("hi"), *firsts).where("lo < hi")
     found = found.select("key", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(leaders))))).alias("l"))
     near = keyed.join(found.hint("merge"), "key").where((F.col(group) != F.col("l.of")) & (F.least("n", "l.n") >= F.lit(threshold) * F.greatest("n", "l.n")))
-    near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("l.print"))) <= max_bits)
+    near = near.where(sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l.{c}"))) for c in ("print", "print_")) <= max_bits)
     return near.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
 
 
@@ -231,28 +232,33 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     segments, bits, max_bits = wide_segments(docs.count(), threshold)
     signed = saved(_signatures(docs, segments, bits, shingle), "signatures")
     classes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    keyed = signed.dropDuplicates(["node"]).select("node", "n", "print", F.explode("keys").alias("key"))
+    keyed = signed.dropDuplicates(["node"]).select("node", "n", "print", "print_", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    keyed = saved(keyed.join(shared.hint("merge"), "key").select("node", "n", "print", "key"), "segments")
+    keyed = saved(keyed.join(shared.hint("merge"), "key").select("node", "n", "print", "print_", "key"), "segments")
 
-    # texts move only for one document of each node that has a candidate
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    # texts move only for one document of each node that has a candidate, and that once
+    def sets_of(nodes: DataFrame, hint: str | None = None) -> DataFrame:
         ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint(hint) if hint else ids, "doc_id", "left_semi")
         return saved(_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
 
     pairs = saved(_candidates(keyed, threshold, max_bits, "node", 1, 0), "pairs")
-    links = saved(_verified(pairs, sets_of(pairs), threshold), "links")
+    nodes_of = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = sets_of(nodes_of(pairs), "merge")
+    links = saved(_verified(pairs, sets, threshold), "links")
     for salt in range(1, MAX_ROUNDS):
         roots = components(links)
-        grouped = keyed.join(roots, "node", "left").select("node", "n", "print", "key", F.coalesce("root", "node").alias("root"))
-        pairs = saved(_candidates(grouped, threshold, max_bits, "root", LEADERS, salt), "pairs")
-        if pairs.isEmpty():
+        grouped = keyed.join(roots, "node", "left").select("node", "n", "print", "print_", "key", F.coalesce("root", "node").alias("root"))
+        fresh_pairs = saved(_candidates(grouped, threshold, max_bits, "root", LEADERS, salt).join(pairs, ["u", "v"], "left_anti"), "pairs")
+        if fresh_pairs.isEmpty():
             break
-        more = saved(_verified(pairs, sets_of(pairs), threshold), "links")
+        lacking = saved(nodes_of(fresh_pairs).join(sets, "node", "left_anti"), "lacking")
+        if not lacking.isEmpty():
+            sets = sets.union(sets_of(lacking))  # few: Spark broadcasts them if their size allows
+        more = saved(_verified(fresh_pairs, sets, threshold), "links")
         if more.isEmpty():
             break
+        pairs = pairs.union(fresh_pairs)
         links = links.union(more)
     else:
         roots = components(links)
