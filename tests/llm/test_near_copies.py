@@ -51,6 +51,13 @@ def test_near_copies_are_the_brute_force_groups(spark):
         assert got == slow_groups(rows)
 
 
+def test_crowded_and_hot_segment_values_lose_nothing(spark):
+    rows = planted()
+    for hot in (0, 20):  # all values are hot; those of the large group are
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), hot=hot, sampled=1).collect()}
+        assert got == slow_groups(rows)
+
+
 def test_the_stage_drops_near_copies(spark):
     import corpus_pipeline
 

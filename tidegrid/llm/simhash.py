@@ -7,9 +7,10 @@ A pair within `max_bits` differs by at most max_bits // segments in some segment
 
 Near copies by similarity (similar_groups) lie about 10 of 64 bits apart at a Jaccard similarity of 0.8, too far for any
 few segments. They are found by wider fingerprints, of as many segments as a pair needs to share one all but surely; a
-segment has about as many bits as the number of texts, so that strangers seldom meet. There the ball has radius zero:
-further segments find more for the same rows than balls around fewer. Whole distances of 128 bits are verified in the
-join, and then the two exact shingle sets.
+segment value has about as many bits as the number of texts asks for, so that strangers seldom meet. There the ball has
+radius zero: further segments find more for the same rows than balls around fewer. The segment table crosses one shuffle;
+documents of a small segment value meet there by 64 bits of distance, larger and hot ones follow by leaders. Distances
+of 128 bits are verified for what meets, and then the two exact shingle sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, fresh, list_array, mix, remembered, saved, small_batches, table
@@ -29,9 +30,13 @@ from .components import components
 BITS = 64
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, and how often a pair at it may be missed.
 SHINGLE, THRESHOLD, MISSED = 5, 0.8, 0.002
-#: Bits whose distance is verified, and up to how many standard deviations a pair at the threshold passes.
-VERIFIED = 128
+#: Bits whose distance is verified at last and at first, and up to how many standard deviations a pair at the threshold passes.
+VERIFIED, MET = 128, 64
 SPREADS = 4.5
+#: Rows before it that a row of a segment value meets. A value with more rows than that and one goes by leaders.
+BACK = 3
+#: A segment value is hot, and kept from the sort, above HOT rows and this share of the texts; one of SAMPLED texts counts.
+HOT, HOT_SHARE, SAMPLED = 8192, 256, 64
 #: Leaders of a segment value after the first round, and most rounds.
 LEADERS, MAX_ROUNDS = 8, 12
 
@@ -135,8 +140,8 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
     return whole - (1 << 64) if whole >> 63 else whole, np.unique(np.array(found, np.uint64))
 
 
-def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int, int]:
-    """(segments, bits of one, most differing bits of VERIFIED) for near copies among so many texts.
+def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int, int, int]:
+    """(segments, bits of one, most differing bits of VERIFIED, those of MET) for near copies among so many texts.
 
     A bit of two texts differs with the angle of their shingle sets over pi, that is at Jaccard similarity j with
     p = acos(2 j / (1 + j)) / pi. A segment of b bits is shared with (1 - p) ** b.
@@ -144,8 +149,8 @@ def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MI
     bits = max(16, math.ceil(math.log2(max(2, n_texts))))
     differs = math.acos(2 * threshold / (1 + threshold)) / math.pi
     segments = math.ceil(math.log(missed) / math.log1p(-((1 - differs) ** bits)))
-    most = VERIFIED * differs + SPREADS * math.sqrt(VERIFIED * differs * (1 - differs))
-    return segments, bits, math.ceil(most)
+    most = (math.ceil(n * differs + SPREADS * math.sqrt(n * differs * (1 - differs))) for n in (VERIFIED, MET))
+    return segments, bits, *most
 
 
 def wide_fingerprint(found: np.ndarray, n_bits: int) -> np.ndarray:
@@ -208,19 +213,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return small_batches(both).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _candidates(keyed: DataFrame, threshold: float, max_bits: int, group: str, leaders: int, salt: int) -> DataFrame:
-    """(u, v): rows of keyed(node, n, print, print_, key, group) with the leaders of their key that are in another group, near enough
+def _hot_keys(nodes: DataFrame, n_texts: int, hot: int, sampled: int) -> DataFrame:
+    """(key): segment values that more than about `hot` texts and a 256th of them share, so at most 512 for each segment.
+
+    That bounds what is broadcast: 4 KB a segment. They are found in one of `sampled` texts. The choice only says how a value's rows are compared, not whether.
+    """
+    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(sampled)) == 0)
+    counts = some.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
+    return counts.where(F.col("rows") * sampled > max(hot, n_texts // HOT_SHARE)).select("key")
+
+
+def _meetings(keyed: DataFrame, most: int) -> DataFrame:
+    """(key, node, rows, m0, m1, ...): rows of keyed(key, node, print) that meet others at most `most` bits apart, m0 and so on, or
+    whose key has more than BACK + 1 rows. Such a key's rows meet its first here, all others meet each other."""
+    order, me = Window.partitionBy("key").orderBy("node"), F.struct("node", "print")
+    seen = keyed.select("key", "node", "print", F.count("*").over(Window.partitionBy("key")).alias("rows"), F.first(me).over(order).alias("l0"), *(F.lag(me, i).over(order).alias(f"l{i}") for i in range(1, BACK + 1)))
+    large = F.col("rows") > BACK + 1
+    near = lambda i: F.bit_count(F.col("print").bitwiseXOR(F.col(f"l{i}.print"))) <= most
+    met = [F.when(large & (F.col("node") != F.col("l0.node")) & near(0), F.col("l0.node")).alias("m0")]
+    met += [F.when(~large & near(i), F.col(f"l{i}.node")).alias(f"m{i}") for i in range(1, BACK + 1)]
+    found = seen.where("rows > 1").select("key", "node", "rows", *met)
+    return found.where((F.col("rows") > BACK + 1) | F.coalesce(*(f"m{i}" for i in range(BACK + 1))).isNotNull())
+
+
+def _near_enough(pairs: DataFrame, nodes: DataFrame, threshold: float, max_bits: int) -> DataFrame:
+    """Those of pairs(u, v) with sizes of which one is large enough a part of the other, at most max_bits of 128 bits apart."""
+    for end in "uv":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in ("n", "print", "print_"))), end)
+    far = sum(F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in ("print", "print_"))
+    return pairs.where((F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv")) & (far <= max_bits)).select("u", "v")
+
+
+def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) -> DataFrame:
+    """(u, v): rows of keyed(node, n, print, print_, key, root) with the leaders of their key that have another root, near enough
     in size, and at most max_bits of 128 bits apart. A key's rows meet a few leaders, never each other."""
-    slot = F.pmod(F.xxhash64("key", "node", F.lit(salt)), F.lit(leaders))
-    firsts = [F.min(F.when(slot == i, F.struct("node", "n", "print", "print_", F.col(group).alias("of")))).alias(f"l{i}") for i in range(leaders)]
-    found = keyed.groupBy("key").agg(F.min(group).alias("lo"), F.max(group).alias("hi"), *firsts).where("lo < hi")
-    found = found.select("key", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(leaders))))).alias("l"))
-    near = keyed.join(found.hint("merge"), "key").where((F.col(group) != F.col("l.of")) & (F.least("n", "l.n") >= F.lit(threshold) * F.greatest("n", "l.n")))
+    slot = F.pmod(F.xxhash64("key", "node", F.lit(salt)), F.lit(LEADERS))
+    firsts = [F.min(F.when(slot == i, F.struct("node", "n", "print", "print_", F.col("root").alias("of")))).alias(f"l{i}") for i in range(LEADERS)]
+    found = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *firsts).where("lo < hi")
+    # written down, so that a key of many rows can be split in the join
+    found = saved(found.select("key", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("l")), "leaders")
+    near = keyed.join(found.hint("merge"), "key").where((F.col("root") != F.col("l.of")) & (F.least("n", "l.n") >= F.lit(threshold) * F.greatest("n", "l.n")))
     near = near.where(sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l.{c}"))) for c in ("print", "print_")) <= max_bits)
     return near.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
 
 
-def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
     """(doc_id, component_id) for each row of docs(doc_id, text, ...) that has a doc_id.
 
     component_id is the least doc_id reachable over pairs whose sets of shingles have a Jaccard similarity of at least
@@ -229,12 +266,16 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     rows each stay. Empty table: no rows. Other columns are ignored.
     """
     docs = docs.where("doc_id is not null")
-    segments, bits, max_bits = wide_segments(docs.count(), threshold)
+    n_texts = docs.count()
+    segments, bits, max_bits, first_bits = wide_segments(n_texts, threshold)
     signed = saved(_signatures(docs, segments, bits, shingle), "signatures")
     classes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    keyed = signed.dropDuplicates(["node"]).select("node", "n", "print", "print_", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    keyed = saved(keyed.join(shared.hint("merge"), "key").select("node", "n", "print", "print_", "key"), "segments")
+    nodes = saved(signed.drop("doc_id").dropDuplicates(["node"]), "nodes")
+    hot_keys = saved(_hot_keys(nodes, n_texts, hot, sampled), "hot")
+    keyed = nodes.select("node", "print", F.explode("keys").alias("key"))
+    met = saved(_meetings(keyed.join(F.broadcast(hot_keys), "key", "left_anti"), first_bits), "met")
+    crowded = met.where(F.col("rows") > BACK + 1).select("key", "node").union(keyed.join(F.broadcast(hot_keys), "key", "left_semi").select("key", "node"))
+    keyed = saved(crowded.join(nodes.select("node", "n", "print", "print_"), "node"), "segments")
 
     # texts move only for one document of each node that has a candidate, and that once
     def sets_of(nodes: DataFrame, hint: str | None = None) -> DataFrame:
@@ -242,14 +283,16 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint(hint) if hint else ids, "doc_id", "left_semi")
         return saved(_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
 
-    pairs = saved(_candidates(keyed, threshold, max_bits, "node", 1, 0), "pairs")
+    pairs = met.select("node", F.explode(F.array(*(f"m{i}" for i in range(BACK + 1)))).alias("v")).where("v is not null")
+    pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+    pairs = saved(_near_enough(pairs, nodes, threshold, max_bits), "pairs")
     nodes_of = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     sets = sets_of(nodes_of(pairs), "merge")
     links = saved(_verified(pairs, sets, threshold), "links")
     for salt in range(1, MAX_ROUNDS):
         roots = components(links)
         grouped = keyed.join(roots, "node", "left").select("node", "n", "print", "print_", "key", F.coalesce("root", "node").alias("root"))
-        fresh_pairs = saved(_candidates(grouped, threshold, max_bits, "root", LEADERS, salt).join(pairs, ["u", "v"], "left_anti"), "pairs")
+        fresh_pairs = saved(_candidates(grouped, threshold, max_bits, salt).join(pairs, ["u", "v"], "left_anti"), "pairs")
         if fresh_pairs.isEmpty():
             break
         lacking = saved(nodes_of(fresh_pairs).join(sets, "node", "left_anti"), "lacking")
