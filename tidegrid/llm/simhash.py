@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, fresh, list_array, mix, remembered, saved, small_batches, table
@@ -245,16 +245,29 @@ def _near_enough(pairs: DataFrame, nodes: DataFrame, threshold: float, max_bits:
 
 
 def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) -> DataFrame:
-    """(u, v): rows of keyed(node, n, print, print_, key, root) with the leaders of their key that have another root, near enough
-    in size, and at most max_bits of 128 bits apart. A key's rows meet a few leaders, never each other."""
-    slot = F.pmod(F.xxhash64("key", "node", F.lit(salt)), F.lit(LEADERS))
-    firsts = [F.min(F.when(slot == i, F.struct("node", "n", "print", "print_", F.col("root").alias("of")))).alias(f"l{i}") for i in range(LEADERS)]
-    found = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *firsts).where("lo < hi")
-    # written down, so that a key of many rows can be split in the join
-    found = saved(found.select("key", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("l")), "leaders")
-    near = keyed.join(found.hint("merge"), "key").where((F.col("root") != F.col("l.of")) & (F.least("n", "l.n") >= F.lit(threshold) * F.greatest("n", "l.n")))
-    near = near.where(sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l.{c}"))) for c in ("print", "print_")) <= max_bits)
-    return near.select(F.greatest("node", "l.node").alias("u"), F.least("node", "l.node").alias("v")).distinct()
+    """(u, v): rows of keyed(key, node, n, print, print_, root) with the leaders of their key that have another root, near enough
+    in size, and at most max_bits of 128 bits apart. A key's rows meet a few leaders, never each other.
+
+    The leaders are the first of each slot in an order of all nodes that is another one in each round, so keys that a row
+    shares with a leader mostly agree on it; a row's leaders are gathered over its keys before they become pairs, each once.
+    """
+    slot, turn = (F.xxhash64("node", F.lit(salt), F.lit(what)) for what in ("slot", "turn"))
+    leader = F.struct(turn.alias("turn"), "node", "n", "print", "print_", F.col("root").alias("of"))
+    firsts = [F.min(F.when(F.pmod(slot, F.lit(LEADERS)) == i, leader)).alias(f"l{i}") for i in range(LEADERS)]
+    found = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *firsts).where("lo < hi").drop("lo", "hi")
+    # written down, so that a key of many rows can be split in the join, which makes one row of each at most
+    found = saved(found, "leaders")
+
+    def near(i: int) -> Column:
+        sizes = F.least("n", f"l{i}.n") >= F.lit(threshold) * F.greatest("n", f"l{i}.n")
+        bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{i}.{c}"))) for c in ("print", "print_"))
+        return F.when((F.col("root") != F.col(f"l{i}.of")) & sizes & (bits <= max_bits), F.col(f"l{i}.node"))
+
+    met = F.array_compact(F.array(*(near(i) for i in range(LEADERS))))
+    rows = keyed.join(found.hint("merge"), "key").select("node", met.alias("met")).where(F.size("met") > 0)
+    once = rows.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))
+    pairs = once.select("node", F.explode("met").alias("v"))
+    return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
 def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
