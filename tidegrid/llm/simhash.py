@@ -10,7 +10,7 @@ few segments. They are found by wider fingerprints, of as many segments as a pai
 segment value has about as many bits as the number of texts asks for, so that strangers seldom meet. There the ball has
 radius zero: further segments find more for the same rows than balls around fewer. The segment table crosses one shuffle;
 documents of a small segment value meet there by 64 bits of distance, larger and hot ones follow by leaders. Distances
-of 128 bits are verified for what meets, and then the two exact shingle sets.
+of 1,024 bits are verified for what meets, and then the two exact shingle sets.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ BITS = 64
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, and how often a pair at it may be missed.
 SHINGLE, THRESHOLD, MISSED = 5, 0.8, 0.002
 #: Bits whose distance is verified at last and at first, and up to how many standard deviations a pair at the threshold passes.
-VERIFIED, MET = 128, 64
+VERIFIED, MET = 1024, 64
+PRINTS = [f"print{i}" for i in range(VERIFIED // 64)]
 SPREADS = 4.5
 #: Rows before it that a row of a segment value meets. A value with more rows than that and one goes by leaders.
 BACK = 3
@@ -165,22 +166,22 @@ def wide_fingerprint(found: np.ndarray, n_bits: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, segments: int, bits: int, shingle: int) -> DataFrame:
-    """(doc_id, node, n, print, print_, keys): node stands for the words of the text, n is the number of its shingles, the
-    prints are the first 128 bits of its fingerprint, and a key is a segment's number and value."""
+    """(doc_id, node, n, print0, print1, ..., keys): node stands for the words of the text, n is the number of its shingles, the
+    prints are the first VERIFIED bits of its fingerprint, and a key is a segment's number and value."""
 
     def run(batches):
         remembered.clear()
         weights, base = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(segments, dtype=np.int64) << np.int64(bits)
         for batch in batches:
             made = [shingles(x, shingle) for x in bytes_of(batch.column("text"))]
-            wide = [wide_fingerprint(s, segments * bits) if len(s) else None for _, s in made]
-            keys = [np.zeros(0, np.int64) if w is None else base + w.reshape(segments, bits) @ weights for w in wide]
-            prints = np.array([np.zeros(2, "<i8") if w is None else np.packbits(w[:VERIFIED], bitorder="little").view("<i8") for w in wide]).reshape(-1, 2)
+            wide = [wide_fingerprint(s, max(segments * bits, VERIFIED)) if len(s) else None for _, s in made]
+            keys = [np.zeros(0, np.int64) if w is None else base + w[: segments * bits].reshape(segments, bits) @ weights for w in wide]
+            prints = np.array([np.zeros(len(PRINTS), "<i8") if w is None else np.packbits(w[:VERIFIED], bitorder="little").view("<i8") for w in wide]).reshape(-1, len(PRINTS))
             lists = list_array(np.concatenate([*keys, np.zeros(0, np.int64)]), np.array([len(k) for k in keys], np.int64), pa.int64())
-            columns = [batch.column("doc_id"), pa.array([node for node, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "print", "print_", "keys"])
+            columns = [batch.column("doc_id"), pa.array([node for node, _ in made], pa.int64()), pa.array([len(s) for _, s in made], pa.int64()), *(pa.array(np.ascontiguousarray(p)) for p in prints.T), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *PRINTS, "keys"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, print long, print_ long, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, node long, n long, {', '.join(f'{p} long' for p in PRINTS)}, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -224,12 +225,12 @@ def _hot_keys(nodes: DataFrame, n_texts: int, hot: int, sampled: int) -> DataFra
 
 
 def _meetings(keyed: DataFrame, most: int) -> DataFrame:
-    """(key, node, rows, m0, m1, ...): rows of keyed(key, node, print) that meet others at most `most` bits apart, m0 and so on, or
+    """(key, node, rows, m0, m1, ...): rows of keyed(key, node, print0) that meet others at most `most` bits apart, m0 and so on, or
     whose key has more than BACK + 1 rows. Such a key's rows meet its first here, all others meet each other."""
-    order, me = Window.partitionBy("key").orderBy("node"), F.struct("node", "print")
-    seen = keyed.select("key", "node", "print", F.count("*").over(Window.partitionBy("key")).alias("rows"), F.first(me).over(order).alias("l0"), *(F.lag(me, i).over(order).alias(f"l{i}") for i in range(1, BACK + 1)))
+    order, me = Window.partitionBy("key").orderBy("node"), F.struct("node", PRINTS[0])
+    seen = keyed.select("key", "node", PRINTS[0], F.count("*").over(Window.partitionBy("key")).alias("rows"), F.first(me).over(order).alias("l0"), *(F.lag(me, i).over(order).alias(f"l{i}") for i in range(1, BACK + 1)))
     large = F.col("rows") > BACK + 1
-    near = lambda i: F.bit_count(F.col("print").bitwiseXOR(F.col(f"l{i}.print"))) <= most
+    near = lambda i: F.bit_count(F.col(PRINTS[0]).bitwiseXOR(F.col(f"l{i}.{PRINTS[0]}"))) <= most
     met = [F.when(large & (F.col("node") != F.col("l0.node")) & near(0), F.col("l0.node")).alias("m0")]
     met += [F.when(~large & near(i), F.col(f"l{i}.node")).alias(f"m{i}") for i in range(1, BACK + 1)]
     found = seen.where("rows > 1").select("key", "node", "rows", *met)
@@ -237,22 +238,22 @@ def _meetings(keyed: DataFrame, most: int) -> DataFrame:
 
 
 def _near_enough(pairs: DataFrame, nodes: DataFrame, threshold: float, max_bits: int) -> DataFrame:
-    """Those of pairs(u, v) with sizes of which one is large enough a part of the other, at most max_bits of 128 bits apart."""
+    """Those of pairs(u, v) with sizes of which one is large enough a part of the other, at most max_bits of VERIFIED bits apart."""
     for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in ("n", "print", "print_"))), end)
-    far = sum(F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in ("print", "print_"))
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in ("n", *PRINTS))), end)
+    far = sum(F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in PRINTS)
     return pairs.where((F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv")) & (far <= max_bits)).select("u", "v")
 
 
 def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) -> DataFrame:
-    """(u, v): rows of keyed(key, node, n, print, print_, root) with the leaders of their key that have another root, near enough
-    in size, and at most max_bits of 128 bits apart. A key's rows meet a few leaders, never each other.
+    """(u, v): rows of keyed(key, node, n, print0, ..., root) with the leaders of their key that have another root, near enough
+    in size, and at most max_bits of VERIFIED bits apart. A key's rows meet a few leaders, never each other.
 
     The leaders are the first of each slot in an order of all nodes that is another one in each round, so keys that a row
     shares with a leader mostly agree on it; a row's leaders are gathered over its keys before they become pairs, each once.
     """
     slot, turn = (F.xxhash64("node", F.lit(salt), F.lit(what)) for what in ("slot", "turn"))
-    leader = F.struct(turn.alias("turn"), "node", "n", "print", "print_", F.col("root").alias("of"))
+    leader = F.struct(turn.alias("turn"), "node", "n", *PRINTS, F.col("root").alias("of"))
     firsts = [F.min(F.when(F.pmod(slot, F.lit(LEADERS)) == i, leader)).alias(f"l{i}") for i in range(LEADERS)]
     found = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *firsts).where("lo < hi").drop("lo", "hi")
     # written down, so that a key of many rows can be split in the join, which makes one row of each at most
@@ -260,7 +261,7 @@ def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) ->
 
     def near(i: int) -> Column:
         sizes = F.least("n", f"l{i}.n") >= F.lit(threshold) * F.greatest("n", f"l{i}.n")
-        bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{i}.{c}"))) for c in ("print", "print_"))
+        bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{i}.{c}"))) for c in PRINTS)
         return F.when((F.col("root") != F.col(f"l{i}.of")) & sizes & (bits <= max_bits), F.col(f"l{i}.node"))
 
     met = F.array_compact(F.array(*(near(i) for i in range(LEADERS))))
@@ -285,10 +286,10 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     classes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
     nodes = saved(signed.drop("doc_id").dropDuplicates(["node"]), "nodes")
     hot_keys = saved(_hot_keys(nodes, n_texts, hot, sampled), "hot")
-    keyed = nodes.select("node", "print", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", PRINTS[0], F.explode("keys").alias("key"))
     met = saved(_meetings(keyed.join(F.broadcast(hot_keys), "key", "left_anti"), first_bits), "met")
     crowded = met.where(F.col("rows") > BACK + 1).select("key", "node").union(keyed.join(F.broadcast(hot_keys), "key", "left_semi").select("key", "node"))
-    keyed = saved(crowded.join(nodes.select("node", "n", "print", "print_"), "node"), "segments")
+    keyed = saved(crowded.join(nodes.select("node", "n", *PRINTS), "node"), "segments")
 
     # texts move only for one document of each node that has a candidate, and that once
     def sets_of(nodes: DataFrame, hint: str | None = None) -> DataFrame:
@@ -304,7 +305,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     links = saved(_verified(pairs, sets, threshold), "links")
     for salt in range(1, MAX_ROUNDS):
         roots = components(links)
-        grouped = keyed.join(roots, "node", "left").select("node", "n", "print", "print_", "key", F.coalesce("root", "node").alias("root"))
+        grouped = keyed.join(roots, "node", "left").select("node", "n", *PRINTS, "key", F.coalesce("root", "node").alias("root"))
         fresh_pairs = saved(_candidates(grouped, threshold, max_bits, salt).join(pairs, ["u", "v"], "left_anti"), "pairs")
         if fresh_pairs.isEmpty():
             break
