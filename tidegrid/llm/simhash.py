@@ -246,28 +246,34 @@ def _near_enough(pairs: DataFrame, nodes: DataFrame, threshold: float, max_bits:
 
 
 def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) -> DataFrame:
-    """(u, v): rows of keyed(key, node, n, print0, ..., root) with the leaders of their key that have another root, near enough
+    """(u, v): rows of keyed(key, keys, node, n, print0, ..., root) with the leaders of their key that have another root, near enough
     in size, and at most max_bits of VERIFIED bits apart. A key's rows meet a few leaders, never each other.
 
     The leaders are the first of each slot in an order of all nodes that is another one in each round, so keys that a row
-    shares with a leader mostly agree on it; a row's leaders are gathered over its keys before they become pairs, each once.
+    shares with a leader mostly agree on it. A row meets a leader under the least of the keys that it has and the other leads.
     """
     slot, turn = (F.xxhash64("node", F.lit(salt), F.lit(what)) for what in ("slot", "turn"))
     leader = F.struct(turn.alias("turn"), "node", "n", *PRINTS, F.col("root").alias("of"))
     firsts = [F.min(F.when(F.pmod(slot, F.lit(LEADERS)) == i, leader)).alias(f"l{i}") for i in range(LEADERS)]
-    found = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *firsts).where("lo < hi").drop("lo", "hi")
+    found = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *firsts).where("lo < hi")
+    found = saved(found.select("key", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("l")), "led")
+    # a node has one key a segment at most, so these lists are short
+    led = found.groupBy(F.col("l.node").alias("leader")).agg(F.collect_list("key").alias("led"))
+    found = found.join(led, F.col("l.node") == F.col("leader")).select("key", F.col("l").withField("led", F.col("led")).alias("l"))
+    slot = F.pmod(F.xxhash64("l.node", F.lit(salt), F.lit("slot")), F.lit(LEADERS))
+    found = found.groupBy("key").agg(*(F.first(F.when(slot == i, F.col("l")), ignorenulls=True).alias(f"l{i}") for i in range(LEADERS)))
     # written down, so that a key of many rows can be split in the join, which makes one row of each at most
     found = saved(found, "leaders")
 
     def near(i: int) -> Column:
         sizes = F.least("n", f"l{i}.n") >= F.lit(threshold) * F.greatest("n", f"l{i}.n")
         bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{i}.{c}"))) for c in PRINTS)
-        return F.when((F.col("root") != F.col(f"l{i}.of")) & sizes & (bits <= max_bits), F.col(f"l{i}.node"))
+        least = F.array_min(F.array_intersect("keys", f"l{i}.led")) == F.col("key")
+        return F.when((F.col("root") != F.col(f"l{i}.of")) & sizes & (bits <= max_bits) & least, F.col(f"l{i}.node"))
 
     met = F.array_compact(F.array(*(near(i) for i in range(LEADERS))))
     rows = keyed.join(found.hint("merge"), "key").select("node", met.alias("met")).where(F.size("met") > 0)
-    once = rows.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))
-    pairs = once.select("node", F.explode("met").alias("v"))
+    pairs = rows.select("node", F.explode("met").alias("v"))
     return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
@@ -289,7 +295,8 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     keyed = nodes.select("node", PRINTS[0], F.explode("keys").alias("key"))
     met = saved(_meetings(keyed.join(F.broadcast(hot_keys), "key", "left_anti"), first_bits), "met")
     crowded = met.where(F.col("rows") > BACK + 1).select("key", "node").union(keyed.join(F.broadcast(hot_keys), "key", "left_semi").select("key", "node"))
-    keyed = saved(crowded.join(nodes.select("node", "n", *PRINTS), "node"), "segments")
+    listed = crowded.groupBy("node").agg(F.collect_list("key").alias("keys")).join(nodes.select("node", "n", *PRINTS), "node")
+    keyed = saved(listed.select("*", F.explode("keys").alias("key")), "segments")
 
     # texts move only for one document of each node that has a candidate, and that once
     def sets_of(nodes: DataFrame, hint: str | None = None) -> DataFrame:
@@ -305,7 +312,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     links = saved(_verified(pairs, sets, threshold), "links")
     for salt in range(1, MAX_ROUNDS):
         roots = components(links)
-        grouped = keyed.join(roots, "node", "left").select("node", "n", *PRINTS, "key", F.coalesce("root", "node").alias("root"))
+        grouped = keyed.join(roots, "node", "left").select("node", "n", *PRINTS, "key", "keys", F.coalesce("root", "node").alias("root"))
         fresh_pairs = saved(_candidates(grouped, threshold, max_bits, salt).join(pairs, ["u", "v"], "left_anti"), "pairs")
         if fresh_pairs.isEmpty():
             break
