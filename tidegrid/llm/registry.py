@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import debruijn, embedding_dedup, mixing, neighbours, packing, perspectives, quality, simhash, suffix_dedup, url_filter
+from . import debruijn, embedding_dedup, mixing, neighbours, packing, perspectives, prefix_trie, quality, simhash, suffix_dedup, top_k, url_filter, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,5 +15,15 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_neighbours": neighbours.op10_neighbours,
+    "op11_top_k": top_k.op11_top_k,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_whitening": whitening.op13_whitening,
+}
+ORACLES = {
+    "op4_perspectives": perspectives.OP4_SQL,
+    "op6_mixing": mixing.OP6_SQL,
+    "op7_embedding_dedup": embedding_dedup.OP7_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
+    "op11_top_k": top_k.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
-ORACLES = {"op4_perspectives": perspectives.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op7_embedding_dedup": embedding_dedup.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}

@@ -65,3 +65,35 @@ def sample(found: DataFrame, most: int, dim: int) -> np.ndarray:
     """At most `most` different unit vectors, those with the least hashes: the same for the same rows."""
     rows = found.where("key is not null").select("unit", F.xxhash64("key").alias("h")).distinct().orderBy("h", "unit").limit(most).collect()
     return matrix([bytes(r["unit"]) for r in rows], dim)
+
+
+def whole_rows(column: pa.Array, dim: int, scale: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each vector can take part, floor(scale * x) of those that can, as whole numbers from -most to most).
+
+    Left out: null, of another length than dim, with null or non-finite components. Zero vectors stay.
+    """
+    column = column.cast(pa.large_list(pa.float64()))
+    good = np.array(column.value_lengths().fill_null(-1), np.int64) == dim
+    rows = np.array(column.filter(pa.array(good)).flatten().fill_null(float("nan")), float).reshape(-1, dim) if good.any() else np.zeros((0, dim))
+    finite = np.isfinite(rows).all(1)
+    good[np.flatnonzero(good)[~finite]] = False
+    with np.errstate(over="ignore"):
+        return good, np.clip(np.floor(rows[finite] * scale), -float(most), float(most)).astype(np.int64)
+
+
+def whole(table: DataFrame, dim: int, scale: int, most: int, column: str = "embedding") -> DataFrame:
+    """(vec_id, x, key) of the vectors that whole_rows() keeps: x their numbers in binary, eight bytes each, key a digest of x."""
+    ship(table.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            good, rows = whole_rows(batch.column("embedding"), dim, scale, most)
+            made = [r.tobytes() for r in rows]
+            keys = [hashlib.blake2b(b, digest_size=16).digest() for b in made]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(good)), pa.array(made, pa.binary()), pa.array(keys, pa.binary())], ["vec_id", "x", "key"])
+
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).alias("embedding")).mapInArrow(run, "vec_id long, x binary, key binary")
+
+
+def whole_matrix(raws, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raws), np.int64).reshape(-1, dim)
