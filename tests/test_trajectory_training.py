@@ -1,22 +1,39 @@
-"""The trajectory query trains on anchors of every hour and is judged at midnight."""
+"""The trajectory query trains on anchors of every hour, with 151 features and leaves of 24 values, and is judged at midnight."""
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import models
+from tidegrid.operators import features
 from tidegrid.plans import forecasting
+from tidegrid.sources import event_panel
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_every_hour_trains_and_midnight_is_judged(spark, monkeypatch):
-    seen = {"train": [], "test": []}
+    seen = []
+
+    class Model:
+        def __init__(self, train, known, targets, leaf):
+            seen.append(({r[0] for r in train.select(F.hour("ts")).distinct().collect()}, len(known), len(targets), leaf))
+            assert train.where("ts + interval 23 hours >= split").isEmpty()
+
+        def predict(self, rows, names):
+            assert {r[0] for r in rows.select(F.hour("ts")).distinct().collect()} == {0}
+            return rows.withColumns({n: F.lit(0.0) for n in names})
 
-    def fit(train, *_, **__):
-        seen["train"].append({r[0] for r in train.select(F.hour("anchor")).distinct().collect()})
+    monkeypatch.setattr(forecasting, "fit_random_splits", Model)
+    rows = forecasting.trajectory_forecast(spark, SF).collect()
+    assert seen == [(set(range(24)), 151, 24, 8)] * 2
+    assert sorted(r["horizon"] for r in rows) == list(range(1, 25)) and all(r["mae"] == r["mae_week"] for r in rows)  # no residual: the week before
 
-    def predict(_, rows, name, onto):
-        seen["test"].append({r[0] for r in rows.select(F.hour("anchor")).distinct().collect()})
-        return rows.withColumn(name, F.col(onto))
 
-    monkeypatch.setattr(models, "fit_forest", fit)
-    monkeypatch.setattr(models, "predict", predict)
-    forecasting.trajectory_forecast(spark, "/root/testdata/sf0.001")
-    assert seen == {"train": [set(range(24))] * 2, "test": [{0}] * 2}
+def test_trajectory_features_read_nothing_from_their_hour_on(spark):
+    panel = event_panel(spark, SF).where("ts < timestamp_ntz '2024-01-20 00:00:00'").persist()
+    known = ["series_id", *features.GROUPS["combined"], *features.PROFILES]
+    cut = F.lit("2024-01-15 06:00:00").cast("timestamp_ntz")
+    later = panel.withColumns({c: F.when(F.col("ts") < cut, F.col(c)).otherwise(F.lit(99999.0)) for c in ("q15", "q30", "q45", "q60", "avg_power", "production")})
+    mine, other = (features.trajectory_features(p).where(F.col("ts") == cut).select(*known).collect() for p in (panel, later))
+    assert mine and sorted(mine) == sorted(other)
+    last = features.trajectory_features(panel).agg(F.max("ts")).first()[0]
+    assert str(last) == "2024-01-19 00:00:00"  # its day ends with the panel
+    assert str(features.trajectory_features(panel, need_target=False).agg(F.max("ts")).first()[0]) == "2024-01-19 23:00:00"

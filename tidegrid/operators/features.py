@@ -187,3 +187,22 @@ def trajectories(clean: DataFrame, hours: tuple[int, ...] = (0,)) -> DataFrame:
     values = [F.col(c) for c in renamed.columns[3:]]
     whole = F.count_if(complete(*values)).over(Window.partitionBy("series_id", "anchor"))
     return renamed.withColumn("_n", whole).where("_n = 24").drop("_n")
+
+
+#: Both reference profiles of the 24 hours ahead, by kind, reference and hour.
+PROFILES = [f"profile_{kind}_{name}_{h}" for kind in ("mean", "peak") for name in ("day", "week") for h in range(24)]
+AHEAD = [f"{kind}_{h}" for kind in ("mean", "peak") for h in range(24)]
+
+
+def trajectory_features(clean: DataFrame, need_target: bool = True) -> DataFrame:
+    """(series_id, ts, GROUPS["combined"], PROFILES, AHEAD): a row for each hour ts from which a day can be forecast: what is
+    known before it, the 24 hours of the day and of the week before, and, as targets, the mean and the quarter peak of the
+    24 hours from ts on. Hours without a complete history, or without their targets where these are needed, are left out.
+    """
+    top = strict_max(*(F.col(q) for q in QUARTERS))
+    dense = densify(clean).select("series_id", "ts", "avg_power", top.alias("top"))
+    sides = {"mean": "avg_power", "peak": "top"}
+    past = [_lag(c, back - h).alias(f"profile_{kind}_{name}_{h}") for kind, c in sides.items() for name, back in (("day", 24), ("week", 168)) for h in range(24)]
+    ahead = [F.lead(c, h).over(by_time()).alias(f"{kind}_{h}") for kind, c in sides.items() for h in range(24)]
+    wide = dense.select("series_id", "ts", *past, *ahead).na.drop(subset=PROFILES + (AHEAD if need_target else []))
+    return features(clean, "combined", need_target=need_target).drop("target").join(wide, ["series_id", "ts"])

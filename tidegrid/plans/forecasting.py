@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import flag
 from ..operators import evaluation as ev
 from ..operators import features, grid, models, plan, requests
+from ..operators.boosting import Boosted, fit_boosted
+from ..operators.forest import fit_random_splits
 from ..sources import QUARTERS
 from .common import cutoffs, event_panel, rounded, with_split
 
-#: The features that the light models of the queries use.
+RICH = features.GROUPS["combined"]
+#: The features of the ridge queries.
 LIGHT = ["load_lag_1", "load_lag_24", "load_lag_168", "output_lag_1", "load_mean_6", "load_mean_24", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "was_active", "active_share_6"]
 REQUEST = ["lead", "persistence", "previous_day", "previous_week", "peak_previous_day", "peak_previous_week", "origin_output", "output_sum_24", "load_mean_24"] + [f"target_{c}_{f}" for c in ("hour", "weekday", "month") for f in ("sin", "cos")]
 
@@ -22,7 +25,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Feature rows before and from the split on, with the quarter peak as a second target."""
     panel = event_panel(spark, sf_dir)
     tops = panel.select("series_id", "ts", F.greatest(*QUARTERS).alias("peak"), flag(F.col("production") > 0).alias("active"))
-    rows = with_split(features.features(panel).join(tops, ["series_id", "ts"]), panel).persist()
+    rows = with_split(features.features(panel, "combined").join(tops, ["series_id", "ts"]), panel).persist()
     return rows.where("ts < split").drop("split"), rows.where("ts >= split").drop("split")
 
 
@@ -43,33 +46,41 @@ def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted pair of two leaf sizes, a forest, and their blends."""
+    """Boosted pair of two leaf sizes, a forest with random split points, and their blends."""
     train, test = _parts(spark, sf_dir)
-    test = models.ensemble([models.fit_boosted(train, LIGHT, leaf=leaf, rounds=10) for leaf in (20, 50)], test, "boosted")
-    test = models.predict(models.fit_forest(train, LIGHT, trees=20), test, "forest")
+    test = models.ensemble(fit_boosted(train, RICH, [Boosted("target", leaf=leaf) for leaf in (20, 50)]), test, "boosted")
+    test = models.predict(fit_random_splits(train, RICH, ["target"]), test, "forest")
     test = models.blends(test, "boosted", "forest")
     return _scores(test, boosted="boosted", forest="forest", **{f"blend_{w:03d}": f"blend_{w:03d}" for w in (25, 50, 75)})
 
 
+#: A request's residual: absolute loss, whose leaves are medians.
+RESIDUAL = Boosted("residual", "absolute", rounds=120, leaf=50)
+
+
 def residual_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests answered with the previous week plus a boosted residual, by lead; training targets end before the split."""
     panel = event_panel(spark, sf_dir)
     rows = with_split(requests.request_rows(panel), panel).withColumn("residual", F.col("actual") - F.col("previous_week")).persist()
     train, test = rows.where("ts < split"), rows.where("origin >= split")
-    test = models.predict(models.fit_boosted(train, REQUEST, "residual", rounds=10, leaf=50, absolute=True), test, onto="previous_week")
+    test = models.predict(fit_boosted(train, REQUEST, [RESIDUAL])[0], test, onto="previous_week")
     return rounded(test.groupBy("lead").agg(*ev.regression(), F.avg(ev.error("previous_week")).alias("mae_week")))
 
 
 def trajectory_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day-ahead profiles: one pooled residual forest with the horizon as a feature; the peak is at least the mean."""
+    """Day-ahead profiles: a forest for the 24 means and one for the 24 quarter peaks, whose leaves hold a whole day of
+    residuals from the previous week; a peak is at least the mean."""
     panel = event_panel(spark, sf_dir)
-    rows = with_split(features.trajectories(panel, tuple(range(24))), panel).withColumn("residual", F.col("target") - F.col("mean_week")).withColumn("residual_peak", F.col("peak") - F.col("peak_week")).persist()
-    known = ["horizon", "mean_day", "peak_day", "mean_week", "peak_week"]
+    known, ahead = RICH + features.PROFILES, range(24)
+    rows = with_split(features.trajectory_features(panel), panel).withColumns({f"rest_{kind}_{h}": F.col(f"{kind}_{h}") - F.col(f"profile_{kind}_week_{h}") for kind in ("mean", "peak") for h in ahead}).persist()
     # every hour is an anchor to train on, if its whole day ends before the split; days are forecast from midnight
-    train, test = rows.where(F.col("anchor") + F.expr("interval 23 hours") < F.col("split")), rows.where("anchor >= split and hour(anchor) = 0")
-    test = models.predict(models.fit_forest(train, known, "residual", trees=15), test, "mean_forecast", onto="mean_week")
-    test = models.predict(models.fit_forest(train, known, "residual_peak", trees=15), test, "peak_raw", onto="peak_week").withColumn("peak_forecast", F.greatest("peak_raw", "mean_forecast"))
-    return rounded(test.groupBy("horizon").agg(*ev.regression("mean_forecast", "target"), F.avg(F.abs(F.col("peak_forecast") - F.col("peak"))).alias("peak_mae")))
+    train, test = rows.where(F.col("ts") + F.expr("interval 23 hours") < F.col("split")), rows.where("ts >= split and hour(ts) = 0")
+    for kind in ("mean", "peak"):
+        test = fit_random_splits(train, known, [f"rest_{kind}_{h}" for h in ahead], leaf=8).predict(test, [f"told_{kind}_{h}" for h in ahead])
+    forecast = lambda kind, h: F.greatest(F.col(f"told_{kind}_{h}") + F.col(f"profile_{kind}_week_{h}"), F.lit(0.0))
+    hours = [F.struct(F.lit(h + 1).alias("horizon"), F.col(f"mean_{h}").alias("actual"), forecast("mean", h).alias("prediction"), F.abs(F.greatest(forecast("mean", h), forecast("peak", h)) - F.col(f"peak_{h}")).alias("peak_error"), F.abs(F.col(f"rest_mean_{h}")).alias("week_error")) for h in ahead]
+    long = test.select(F.explode(F.array(*hours)).alias("h")).select("h.*")
+    return rounded(long.groupBy("horizon").agg(*ev.regression(), F.avg("peak_error").alias("peak_mae"), F.avg("week_error").alias("mae_week")))
 
 
 def peak_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +88,8 @@ def peak_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _parts(spark, sf_dir)
     cut = train.agg(F.expr("percentile(peak, 0.9)")).first()[0]
     marked = [x.withColumn("event", flag(F.col("peak") >= cut)) for x in (train, test)]
-    model = models.fit_risk(marked[0], LIGHT, "event", rounds=10)
-    train, test = (models.predict_risk(model, x) for x in marked)
+    pair = fit_boosted(marked[0], RICH, [Boosted("event", "logistic", leaf=leaf, balanced=True) for leaf in (20, 50)])
+    train, test = (models.predict_risk(pair, x) for x in marked)
     threshold = ev.threshold_for_recall(train.withColumn("is_event", F.col("event") == 1), "risk", "is_event", 0.85)
     precision = ev.average_precision(test.withColumn("is_event", F.col("event") == 1), "risk", "is_event")
     counts = test.crossJoin(F.broadcast(threshold)).groupBy("threshold").agg(*ev.confusion(F.col("event") == 1, F.col("risk") >= F.col("threshold")))  # one row
@@ -88,12 +99,10 @@ def peak_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transition_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six candidates from a base model, a state classifier and one expert for each state."""
     train, test = _parts(spark, sf_dir)
-    train = train.withColumn("active", F.col("active").cast("double"))
-    base = models.fit_forest(train, LIGHT, trees=15)
-    test = models.predict(base, test, "raw")
-    test = models.predict_risk(models.fit_risk(train, LIGHT, "active", rounds=8), test, "active_score")
+    test = models.predict(fit_random_splits(train, RICH, ["target"]), test, "raw")
+    test = models.predict_risk(fit_boosted(train, RICH, [Boosted("active", "logistic")]), test, "active_score")
     for name, state in (("off", 0), ("on", 1)):
-        test = models.predict(models.fit_forest(train.where(F.col("active") == state), LIGHT, trees=10), test, name)
+        test = models.predict(fit_random_splits(train.where(F.col("active") == state), RICH, ["target"]), test, name)
     # six measured hours without output, and a last load within the cap
     panel = event_panel(spark, sf_dir)
     test = test.join(features.idle_signal(panel, 6), ["series_id", "ts"]).crossJoin(F.broadcast(cutoffs(panel).select("cap")))  # one row
@@ -154,7 +163,7 @@ def answer_request(panel: DataFrame, origin: datetime, start: datetime, end: dat
     train = requests.request_rows(known).withColumn("residual", F.col("actual") - F.col("previous_week"))
     asked = requests.request_rows(known, tuple(range(24)), need_actual=False, every_lead=False).where(F.col("origin") == F.lit(origin).cast("timestamp_ntz"))
     asked = asked.where(F.col("ts").between(F.lit(hours[0]).cast("timestamp_ntz"), F.lit(hours[-1]).cast("timestamp_ntz")))
-    found = models.predict(models.fit_boosted(train, REQUEST, "residual", rounds=10, leaf=50, absolute=True), asked, onto="previous_week")
+    found = models.predict(fit_boosted(train, REQUEST, [RESIDUAL])[0], asked, onto="previous_week")
     return found.select("series_id", "ts", "lead", "previous_week", "prediction", F.greatest("peak_previous_week", "prediction").alias("peak"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import truncated
 from ..operators import features, grid, profiles, requests
-from .common import PANEL, cutoffs, event_panel, gapped_panel, rounded, sql, with_split
+from .common import PANEL, cutoffs, event_panel, gapped_panel, rounded, sql, whole, with_split
 
 
 
@@ -67,7 +67,7 @@ VALIDATION_FAULTS = sql(PANEL, "select * from (values ('duplicate_hour'), ('inco
 
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of expanding and trailing training windows before each week, and anchors whose day ends before it."""
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     week = truncated("week", F.col("ts"))
     late = F.col("ts") >= week + F.expr("interval 145 hours")  # its day ends in the next week
     counts = panel.groupBy("series_id", week.alias("before")).agg(F.count("*").alias("n"), F.count_if(late).alias("late"))
@@ -164,13 +164,13 @@ def _feature_sql(group: str) -> str:
 
 def _features(group: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(features.features(gapped_panel(spark, sf_dir), group))
+        return rounded(features.features(event_panel(spark, sf_dir), group))
 
     return run
 
 
 def known_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     high = cutoffs(panel).first()["high"]
     return features.known_conditions(panel, high)
 
@@ -191,7 +191,7 @@ from lagged, cut where top is not null and six is not null""",
 
 
 def observed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.observed_states(gapped_panel(spark, sf_dir))
+    return features.observed_states(event_panel(spark, sf_dir))
 
 
 OBSERVED_STATES = sql(
@@ -202,7 +202,7 @@ from s where production is not null""",
 
 
 def origin_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.origin_signals(gapped_panel(spark, sf_dir)))
+    return rounded(features.origin_signals(event_panel(spark, sf_dir)))
 
 
 SIGNALS = (
@@ -218,7 +218,7 @@ ORIGIN_SIGNALS = sql(SIGNALS, "select * from signals")
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.trajectories(gapped_panel(spark, sf_dir))
+    return features.trajectories(event_panel(spark, sf_dir))
 
 
 TRAJECTORIES_CTE = (
@@ -238,8 +238,24 @@ TRAJECTORIES_CTE = (
 TRAJECTORIES = sql(TRAJECTORIES_CTE, "select * from trajectories")
 
 
+def trajectory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.trajectory_features(event_panel(spark, sf_dir)))
+
+
+def _trajectory_sql() -> str:
+    sides = {"mean": "avg_power", "peak": "top"}
+    past = [f"lag({c}, {back - h}) over w as profile_{kind}_{name}_{h}" for kind, c in sides.items() for name, back in (("day", 24), ("week", 168)) for h in range(24)]
+    ahead = [f"lead({c}, {h}) over w as {kind}_{h}" for kind, c in sides.items() for h in range(24)]
+    needed = " and ".join(f"{c} is not null" for c in features.PROFILES + features.AHEAD)
+    wide = f"select series_id, ts, {', '.join(past + ahead)} from (select *, greatest(q15, q30, q45, q60) as top from dense) window w as (partition by series_id order by ts)"
+    return f"with {PANEL.strip()}, wide as ({wide})\nselect f.* exclude (target), w.* exclude (series_id, ts) from ({_feature_sql('combined')}) f join wide w on w.series_id = f.series_id and w.ts = f.ts where {needed}"
+
+
+TRAJECTORY_FEATURES = _trajectory_sql()
+
+
 def interval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(requests.request_rows(gapped_panel(spark, sf_dir)))
+    return rounded(requests.request_rows(event_panel(spark, sf_dir)))
 
 
 REQUESTS_CTE = (
@@ -283,7 +299,7 @@ EXACT_LAG_LOOKUP = sql(PANEL, "select p.series_id, p.ts, p.avg_power, b.avg_powe
 
 
 def nearest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     days = with_split(profiles.daily_profiles(panel), panel)
     return rounded(profiles.nearest_profiles(days, F.col("split")))
 
@@ -301,7 +317,7 @@ gaps as (
 
 
 def profile_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.redundancy(gapped_panel(spark, sf_dir))
+    return profiles.redundancy(event_panel(spark, sf_dir))
 
 
 PROFILE_REDUNDANCY = sql(
@@ -314,7 +330,7 @@ from days d group by d.series_id""",
 
 
 def derived_column_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profiles.derived_gap(gapped_panel(spark, sf_dir)))
+    return rounded(profiles.derived_gap(event_panel(spark, sf_dir)))
 
 
 DERIVED_COLUMN_GAP = sql(
@@ -327,7 +343,7 @@ _KINDS = {"series_id": "bigint", "ts": "timestamp_ntz"} | dict.fromkeys([*source
 
 
 def source_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.dictionary(grid.densify(gapped_panel(spark, sf_dir)), _ROLES)
+    return profiles.dictionary(grid.densify(event_panel(spark, sf_dir)), _ROLES)
 
 
 SOURCE_DICTIONARY = sql(
@@ -337,7 +353,7 @@ SOURCE_DICTIONARY = sql(
 
 
 def daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     day = truncated("day", F.col("ts")).alias("day")
     return rounded(panel.groupBy("series_id", day).agg(F.avg("avg_power").alias("mean"), F.min("avg_power").alias("low"), F.max("avg_power").alias("high"), F.expr("percentile(avg_power, 0.5)").alias("middle"), F.stddev_pop("avg_power").alias("spread")))
 
@@ -351,7 +367,7 @@ select series_id, date_trunc('day', ts)::timestamp as day, round(avg(avg_power),
 
 
 def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = gapped_panel(spark, sf_dir)
+    panel = event_panel(spark, sf_dir)
     keyed = panel.select("series_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), (F.round(F.col("avg_power") * 10000)).cast("long").alias("load"))
     return sources.table_digest(keyed, "series_id", "hour", "load")
 
@@ -391,6 +407,7 @@ QUERIES = {
     "observed_states": observed_states,
     "origin_signals": origin_signals,
     "trajectories": trajectories,
+    "trajectory_features": trajectory_features,
     "interval_requests": interval_requests,
     "exact_lag_lookup": exact_lag_lookup,
     "nearest_profile": nearest_profile,
@@ -401,4 +418,7 @@ QUERIES = {
     "table_digests": table_digests,
     "monthly_order_panel": monthly_order_panel,
 } | {f"features_{g}": _features(g) for g in features.GROUPS}
+#: Queries that are about gaps, and whose SQL keeps them.
+GAPPED = ("as_of_cleaning", "cleaning_diagnostics", "dense_grid", "exact_lag_lookup")
 ORACLES = {name: globals()[name.upper()] for name in QUERIES if not name.startswith("features_")} | {f"features_{g}": _feature_sql(g) for g in features.GROUPS}
+ORACLES = {name: text if name in GAPPED else whole(text) for name, text in ORACLES.items()}
