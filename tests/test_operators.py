@@ -146,14 +146,53 @@ def test_plan_of_a_midday_peak():
             plan.Flexibility(**wrong)
 
 
-def test_plan_is_least_movement_of_all_that_reach_its_peak():
+def _least(load, how):
+    """(peak, movement) of the best plan, by a dense simplex on the two linear programs one after the other."""
+    source, target = how.flows()
+    hour = np.arange(24)[:, None]
+    leaves, arrives = (hour == source).astype(float), (hour == target).astype(float)
+    rows = np.vstack([np.column_stack([arrives - leaves, np.ones(24)]), np.column_stack([leaves, np.zeros(24)]), np.column_stack([arrives, np.zeros(24)])])
+    limits = np.concatenate([load.max() - load, how.fraction * load, np.full(24, how.arrival * load.max())])
+
+    def simplex(rows, limits, cost):
+        m, n = rows.shape
+        table = np.vstack([np.hstack([rows, np.eye(m), limits[:, None]]), np.hstack([cost, np.zeros(m + 1)])])
+        basis = list(range(n, n + m))
+        while (table[-1, :-1] < -1e-9).any():
+            enter = int(np.flatnonzero(table[-1, :-1] < -1e-9)[0])
+            ratios = [table[i, -1] / table[i, enter] if table[i, enter] > 1e-9 else np.inf for i in range(m)]
+            leave = min((i for i in range(m) if ratios[i] <= min(ratios) + 1e-9), key=lambda i: basis[i])
+            table[leave] /= table[leave, enter]
+            for i in range(m + 1):
+                if i != leave:
+                    table[i] -= table[i, enter] * table[leave]
+            basis[leave] = enter
+        x = np.zeros(n + m)
+        x[basis] = table[:-1, -1]
+        return x[:n]
+
+    fall = np.append(np.zeros(len(source)), 1.0)
+    lowest = simplex(rows, limits, -fall)[-1]
+    return load.max() - lowest, simplex(np.vstack([rows, fall]), np.append(limits, lowest), np.where(fall == 1, -1e4, 1.0))[:-1].sum()
+
+
+def test_plan_is_the_optimum_of_both_programs():
+    """Random days, days with ties and zeros, wide and narrow reach, open nights: least peak and then least movement."""
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        load = rng.uniform(20, 100, 24)
-        amounts, more = plan.plan_day(load, plan.Flexibility(0.1)), plan.plan_day(load, plan.Flexibility(0.2))
-        after = load - amounts.sum(1) + amounts.sum(0)
-        assert after.max() <= load.max() + 1e-9 and abs(after.sum() - load.sum()) < 1e-6
-        assert (load - more.sum(1) + more.sum(0)).max() <= after.max() + 1e-7
+    days = [rng.uniform(20, 100, 24) for _ in range(12)] + [np.round(rng.uniform(0, 4, 24)) * 25 for _ in range(12)] + [np.zeros(24), np.full(24, 7.0), np.eye(24)[12] * 50]
+    for how in (plan.Flexibility(0.05), plan.Flexibility(0.2), plan.Flexibility(0.6, 3, arrival=0.4), plan.Flexibility(0.3, 1, tuple(range(24))), plan.Flexibility(0.5, 2, (3, 4, 9))):
+        for load, amounts in zip(days, plan.plan_days(np.array(days), how)):
+            out, into = amounts.sum(1), amounts.sum(0)
+            peak, moved = _least(load, how)
+            assert abs((load - out + into).max() - peak) < 1e-6 and abs(amounts.sum() - moved) < 1e-5
+            assert (out <= how.fraction * load + 1e-7).all() and (into <= how.arrival * load.max() + 1e-7).all()
+            assert np.allclose(plan.plan_day(load, how), amounts)
+
+
+def test_plans_need_whole_days(spark):
+    rows = [(1, datetime(2024, 1, 1), h, 100.0, 100.0) for h in range(1, 24)]
+    with pytest.raises(Exception, match="24 hours"):
+        plan.plans(spark.createDataFrame(rows, "series_id long, anchor timestamp_ntz, horizon int, prediction double, actual double")).collect()
 
 
 def test_plans_do_not_read_actuals(spark):
@@ -161,11 +200,11 @@ def test_plans_do_not_read_actuals(spark):
     kind = "series_id long, anchor timestamp_ntz, horizon int, prediction double, actual double"
     mine = plan.plans(spark.createDataFrame(rows, kind))
     other = plan.plans(spark.createDataFrame([(*r[:4], 0.0) for r in rows], kind))
-    keys = ["fraction", "horizon", "outgoing", "incoming"]
+    keys = ["percent", "horizon", "outgoing", "incoming"]
     assert sorted(mine.select(*keys).collect()) == sorted(other.select(*keys).collect())
-    assert {r["fraction"]: r["feasible"] for r in plan.scenarios(other).collect()}[0.2] == 0
-    sent = {(r["fraction"], r["from_hour"]): r["s"] for r in plan.moves(mine).groupBy("fraction", "from_hour").agg(F.sum("amount").alias("s")).collect()}
-    assert sent and sent == {(r["fraction"], r["horizon"] - 1): pytest.approx(r["outgoing"], abs=1e-6) for r in mine.collect() if r["outgoing"] > 1e-6}
+    assert {r["percent"]: r["feasible"] for r in plan.scenarios(other).collect()}[20] == 0
+    sent = {(r["percent"], r["from_hour"]): r["s"] for r in plan.moves(mine).groupBy("percent", "from_hour").agg(F.sum("amount").alias("s")).collect()}
+    assert sent and sent == {(r["percent"], r["horizon"] - 1): pytest.approx(r["outgoing"], abs=1e-6) for r in mine.collect() if r["outgoing"] > 1e-6}
 
 
 def test_transition_candidates(spark):

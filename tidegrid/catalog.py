@@ -5,5 +5,5 @@ from __future__ import annotations
 from .plans import evaluation, forecasting, preparation
 
 QUERIES = preparation.QUERIES | evaluation.QUERIES | forecasting.QUERIES
-ORACLES = preparation.ORACLES | evaluation.ORACLES
+ORACLES = preparation.ORACLES | evaluation.ORACLES | forecasting.ORACLES
 FLAGSHIP = "daily_baseline"

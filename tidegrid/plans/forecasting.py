@@ -1,4 +1,4 @@
-"""Queries that fit models or solve plans. SQL has no expression for them; tests hold them against exact checks."""
+"""Queries that fit models or solve plans. SQL has no expression for most of them; tests hold them against exact checks."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from ..operators import features, grid, models, plan, requests
 from ..operators.boosting import Boosted, fit_boosted
 from ..operators.forest import fit_random_splits
 from ..sources import QUARTERS
-from .common import cutoffs, event_panel, rounded, with_split
+from .common import cutoffs, event_panel, rounded, sql, whole, with_split
+from .preparation import TRAJECTORIES_CTE
 
 RICH = features.GROUPS["combined"]
 #: The features of the ridge queries.
@@ -122,6 +123,21 @@ def load_shift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(plan.scenario_summary(plan.scenarios(plan.plans(days))), 4)
 
 
+def load_shift_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every plan must keep to."""
+    days = features.trajectories(event_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction", "target": "actual"})
+    return rounded(plan.bounds(plan.plans(days)))
+
+
+LOAD_SHIFT_BOUNDS = sql(
+    whole(TRAJECTORIES_CTE),
+    """
+select series_id, anchor, s.percent, round(sum(mean_week), 6) as load, max(mean_week) as peak,
+       round(max(case when horizon - 1 between 7 and 19 then (100 - s.percent) / 100.0 else 1.0 end * mean_week), 6) as least_peak, true as conserved, true as within
+from trajectories, (values (0), (5), (10), (20)) s(percent) group by series_id, anchor, s.percent""",
+)
+
+
 def load_shift_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = features.trajectories(event_panel(spark, sf_dir)).withColumnsRenamed({"mean_week": "prediction", "target": "actual"})
     return rounded(plan.moves(plan.plans(days)), 4)
@@ -175,6 +191,6 @@ def requested_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(answer_request(panel, origin, origin + timedelta(hours=9), origin + timedelta(hours=15)))
 
 
-_NAMES = "next_hour_forecast requested_interval ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves".split()
+_NAMES = "next_hour_forecast requested_interval ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves load_shift_bounds".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
-ORACLES: dict[str, str] = {}
+ORACLES = {"load_shift_bounds": LOAD_SHIFT_BOUNDS}
