@@ -176,3 +176,25 @@ def guarded_choice(rows: DataFrame, candidates: list[str], baseline: str, period
     )
     eligible = flag((F.col("score") <= whole * F.col("_mean")) & (F.col("_each") == 1))
     return scores.withColumn("eligible", eligible).drop("_each", "_mean")
+
+
+def adopted_choice(rows: DataFrame, candidates: list[str], baseline: str, period: Column, changing: Column, decide: Column, whole: float = 1.01, better: float = 0.95) -> DataFrame:
+    """(candidate, ordinal, score, changing_score, eligible, selected, accepted, adopted, later_mae): a choice in three steps that
+    never looks ahead. Periods before `decide` select: of the eligible candidates (see guarded_choice) the one with the least error
+    in changing hours, the first on ties. The period `decide` accepts it if its error is at most `whole` times the baseline's and, in changing
+    hours, at most `better` times; else the baseline is adopted. later_mae is what each then has in the periods after.
+    """
+    timed = rows.withColumn("_when", period).withColumn("_changing", changing).withColumn("_decide", decide)
+    scores = guarded_choice(timed.where("_when < _decide"), candidates, baseline, F.col("_when"), F.col("_changing"), whole)
+    scores = scores.withColumn("_rank", F.coalesce(F.round("changing_score", 9), F.lit(float("inf"))))
+    selected = best(scores.where("eligible = 1"), score="_rank").select(F.col("candidate").alias("_selected"))
+    long = long_errors(timed.where("_when >= _decide"), candidates, F.col("_when"))
+    deciding = F.col("_when") == F.col("_decide")
+    after = long.groupBy("candidate").agg(F.avg(F.when(deciding, F.col("err"))).alias("_all"), F.avg(F.when(deciding & F.col("_changing"), F.col("err"))).alias("_change"), F.avg(F.when(~deciding, F.col("err"))).alias("later_mae"))
+    base = after.where(F.col("candidate") == baseline).select(F.col("_all").alias("_base_all"), F.col("_change").alias("_base_change"))
+    joined = scores.join(after, "candidate", "left").crossJoin(F.broadcast(selected)).crossJoin(F.broadcast(base))  # one row each
+    passes = is_true((F.col("_all") <= whole * F.col("_base_all")) & (F.col("_change") <= better * F.col("_base_change")))
+    chosen = F.col("candidate") == F.col("_selected")
+    accepted = F.max(flag(chosen & passes)).over(Window.partitionBy(F.lit(0)))  # a row a candidate
+    adopted = F.when(accepted == 1, F.col("_selected")).otherwise(F.lit(baseline))
+    return joined.select("candidate", "ordinal", "score", "changing_score", "eligible", flag(chosen).alias("selected"), flag(chosen & passes).alias("accepted"), flag(F.col("candidate") == adopted).alias("adopted"), "later_mae")

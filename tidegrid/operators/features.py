@@ -206,3 +206,27 @@ def trajectory_features(clean: DataFrame, need_target: bool = True) -> DataFrame
     ahead = [F.lead(c, h).over(by_time()).alias(f"{kind}_{h}") for kind, c in sides.items() for h in range(24)]
     wide = dense.select("series_id", "ts", *past, *ahead).na.drop(subset=PROFILES + (AHEAD if need_target else []))
     return features(clean, "combined", need_target=need_target).drop("target").join(wide, ["series_id", "ts"])
+
+
+DAILY_LAGS = (1, 2, 3, 7, 14, 28)
+DAILY = [f"lag_{k}" for k in DAILY_LAGS] + ["mean_7", "mean_28", "orders_lag_1", "weekday_sin", "weekday_cos", "month_sin", "month_cos"]
+
+
+def daily_features(days: DataFrame) -> DataFrame:
+    """(series_id, day, period, target, DAILY) from days(series_id, day, load, n) without gaps; the first 28 days of a series are
+    history only. period counts months."""
+    w = Window.partitionBy("series_id").orderBy("day")
+    before = lambda n: F.avg("load").over(w.rowsBetween(-n, -1))
+    wide = days.select(
+        "series_id",
+        "day",
+        (F.year("day") * 12 + F.month("day")).cast("long").alias("period"),
+        F.col("load").alias("target"),
+        *(F.lag("load", k).over(w).alias(f"lag_{k}") for k in DAILY_LAGS),
+        before(7).alias("mean_7"),
+        before(28).alias("mean_28"),
+        F.lag("n", 1).over(w).cast("double").alias("orders_lag_1"),
+        *cyclic(weekday(F.col("day")), 7, "weekday"),
+        *cyclic(F.month("day"), 12, "month"),
+    )
+    return wide.where("lag_28 is not null")

@@ -459,6 +459,33 @@ def permutation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parts)
 
 
+def adopted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks select, the last but one accepts, and the last shows what each candidate then did."""
+    rows = predictions(spark, sf_dir)
+    rows = rows.crossJoin(F.broadcast(rows.agg((F.max(period()) - F.expr("interval 7 days")).alias("decide"))))  # one row
+    return rounded(ev.adopted_choice(rows, ["previous_week", "gated", "blend", "previous_day", "persistence"], "previous_week", period(), F.col("state").isin("startup", "shutdown"), F.col("decide")))
+
+
+ADOPTED_CANDIDATES = sql(
+    LONG
+    + """, d as (select max(period) - interval 7 day as decide from long
+), m as (
+  select candidate, case candidate when 'previous_week' then 0 when 'gated' then 1 when 'blend' then 2 when 'previous_day' then 3 else 4 end as ordinal, period, avg(err) as mae,
+         avg(err) filter (where state in ('startup', 'shutdown')) as changing from long, d where period < decide group by all
+), b as (select period, mae as base from m where candidate = 'previous_week'
+), s as (
+  select candidate, ordinal, avg(mae) as score, avg(changing) as changing_score, case when avg(mae) <= 1.01 * avg(base) and bool_and(mae <= 1.05 * base) then 1 else 0 end as eligible from m join b using (period) group by all
+), c as (select candidate as chosen from s where eligible = 1 order by round(changing_score, 9) nulls last, ordinal limit 1
+), a as (
+  select candidate, avg(err) filter (where period = decide) as whole, avg(err) filter (where period = decide and state in ('startup', 'shutdown')) as change, avg(err) filter (where period > decide) as later
+  from long, d where period >= decide group by candidate
+), p as (select coalesce(x.whole <= 1.01 * y.whole and x.change <= 0.95 * y.change, false) as passes from c join a x on x.candidate = c.chosen join a y on y.candidate = 'previous_week')""",
+    """select s.candidate, s.ordinal, round(s.score, 6) as score, round(s.changing_score, 6) as changing_score, s.eligible, case when s.candidate = chosen then 1 else 0 end as selected,
+       case when s.candidate = chosen and passes then 1 else 0 end as accepted, case when s.candidate = case when passes then chosen else 'previous_week' end then 1 else 0 end as adopted, round(a.later, 6) as later_mae
+from s join a on a.candidate = s.candidate, c, p""",
+)
+
+
 def consecutive_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of state and hours between them."""
     w = Window.partitionBy("series_id").orderBy("ts")
@@ -521,7 +548,7 @@ union all select 'previous_day+previous_week', repeat, round(avg(abs((other_day
 
 _NAMES = """daily_baseline prediction_table regression_metrics alert_scores condition_metrics error_conditions largest_errors candidate_scores forward_selection
 idle_gate_grid recall_thresholds f2_thresholds average_precision conformal_radii regime_radii prediction_intervals interval_metrics calibration_errors peak_episodes
-alert_costs guarded_candidates trajectory_metrics daily_peaks lead_buckets review_decisions improvement_by_day consecutive_states
+alert_costs guarded_candidates adopted_candidates trajectory_metrics daily_peaks lead_buckets review_decisions improvement_by_day consecutive_states
 bootstrap_interval day_cluster_difference permutation_sensitivity""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 ORACLES = {name: globals()[name.upper()] for name in _NAMES}

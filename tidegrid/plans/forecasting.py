@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import flag
 from ..operators import evaluation as ev
-from ..operators import features, grid, models, plan, requests
+from ..operators import features, grid, models, plan, requests, walk_forward
 from ..operators.boosting import Boosted, fit_boosted
 from ..operators.forest import fit_random_splits
-from ..sources import QUARTERS
+from ..sources import QUARTERS, daily_orders
 from .common import cutoffs, event_panel, rounded, sql, whole, with_split
 from .preparation import TRAJECTORIES_CTE
 
@@ -191,6 +191,54 @@ def requested_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(answer_request(panel, origin, origin + timedelta(hours=9), origin + timedelta(hours=15)))
 
 
-_NAMES = "next_hour_forecast requested_interval ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves load_shift_bounds".split()
+#: Training windows in months, and penalties.
+SPANS, ALPHAS = {"all": None, "year": 12, "quarter": 3}, (1.0, 100.0)
+#: The month from which a choice is final: January 1999.
+LOCK = 1999 * 12 + 1
+
+
+def gram_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of products over each month's training windows, from which every fit is made."""
+    days = features.daily_features(daily_orders(spark, sf_dir))
+    return rounded(walk_forward.windows(walk_forward.grams(days, features.DAILY, "target"), SPANS))
+
+
+_DAYS_SQL = """
+with found as (
+  select o_orderpriority as series_id, date_trunc('day', o_orderdate)::timestamp as day, round(sum(o_totalprice), 2) as total, count(*) as n from orders group by 1, 2
+), days as (
+  select s.series_id, d.day, round(coalesce(f.total, 0) / 1e6, 8) as load, coalesce(f.n, 0) as n
+  from (select distinct series_id from found) s cross join (select unnest(generate_series(min(day), max(day), interval 1 day)) as day from found) d left join found f on f.series_id = s.series_id and f.day = d.day
+), wide as (
+  select series_id, year(day) * 12 + month(day) as period, load as target, {lags}, avg(load) over (partition by series_id order by day rows between 7 preceding and 1 preceding) as mean_7,
+         avg(load) over (partition by series_id order by day rows between 28 preceding and 1 preceding) as mean_28, lag(n, 1) over w as orders_lag_1,
+         sin(2 * pi() * (isodow(day) - 1) / 7) as weekday_sin, cos(2 * pi() * (isodow(day) - 1) / 7) as weekday_cos, sin(2 * pi() * month(day) / 12) as month_sin, cos(2 * pi() * month(day) / 12) as month_cos
+  from days window w as (partition by series_id order by day)
+)""".format(lags=", ".join(f"lag(load, {k}) over w as lag_{k}" for k in features.DAILY_LAGS))
+
+GRAM_WINDOWS = (
+    _DAYS_SQL
+    + f""", vectors as (
+  select period, [1.0::double, {', '.join(f'{c}::double' for c in features.DAILY)}, target] as z from wide where lag_28 is not null
+), products as (
+  select period, i, j, sum(z[i + 1] * z[j + 1]) as value from vectors, range(0, {len(features.DAILY) + 2}) a(i), range(0, {len(features.DAILY) + 2}) b(j) where i <= j group by period, i, j
+), spans(name, months) as (values ('all', 100000), ('year', 12), ('quarter', 3))
+select p.period::bigint as period, s.name as "window", b.i::int as i, b.j::int as j, round(sum(b.value) + 1e-9, 6) as value
+from (select distinct period from products) p, spans s, products b where b.period < p.period and b.period >= p.period - s.months group by all"""
+)
+
+
+def walk_forward_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and penalties, each refitted every month on what came before it, and the one that is chosen before the lock."""
+    days = features.daily_features(daily_orders(spark, sf_dir)).persist()
+    sums = walk_forward.windows(walk_forward.grams(days, features.DAILY, "target"), SPANS)
+    told = walk_forward.forecasts(days, features.DAILY, walk_forward.fits(sums, ALPHAS))
+    names = [(w, a) for w in SPANS for a in ALPHAS]
+    ordinal = F.expr(" ".join(["case", *(f"when `window` = '{w}' and alpha = {a} then {i}" for i, (w, a) in enumerate(names)), "end"]))
+    long = told.select("period", F.concat_ws("_", "window", F.col("alpha").cast("int").cast("string")).alias("candidate"), ordinal.alias("ordinal"), ev.error("prediction", "target").alias("err"))
+    return rounded(walk_forward.locked_choice(long, LOCK))
+
+
+_NAMES = "gram_windows walk_forward_ridge next_hour_forecast requested_interval ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves load_shift_bounds".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
-ORACLES = {"load_shift_bounds": LOAD_SHIFT_BOUNDS}
+ORACLES = {"load_shift_bounds": LOAD_SHIFT_BOUNDS, "gram_windows": GRAM_WINDOWS}

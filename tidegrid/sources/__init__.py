@@ -127,3 +127,12 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     day = truncated("day", F.col("o_orderdate"))
     return orders.groupBy(F.col("o_orderpriority").alias("series_id"), day.alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n"))
+
+
+def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, day, load, n): order value in millions and number of orders by priority, for every day; none: 0."""
+    found = order_panel(spark, sf_dir)
+    span = found.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    days = found.select("series_id").distinct().crossJoin(F.broadcast(span)).select("series_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("day"))  # one row
+    joined = days.join(found, ["series_id", "day"], "left")
+    return joined.select("series_id", "day", F.round(F.coalesce("total", F.lit(0.0)) / 1e6, 8).alias("load"), F.coalesce("n", F.lit(0)).alias("n"))
