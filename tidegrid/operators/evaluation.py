@@ -59,9 +59,11 @@ def mean_of_periods(long: DataFrame) -> DataFrame:
 
 
 def best(scores: DataFrame, *by: str, score: str = "score", ordinal: str = "ordinal", least: bool = True) -> DataFrame:
-    """The row with the best score for each key; of equal ones the first in order."""
+    """The row with the best score for each key; of equal ones the first in order. Without keys each task keeps one row."""
     order = F.asc(score) if least else F.desc(score)
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order, ordinal)
+    if not by:
+        return scores.orderBy(order, ordinal).limit(1)
+    w = Window.partitionBy(*by).orderBy(order, ordinal)
     return scores.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
@@ -73,12 +75,39 @@ def forward_selection(long: DataFrame) -> DataFrame:
     return best(known, "period", score="earlier").select("period", "candidate", "earlier", "mae", "n")
 
 
+#: Different values of one range of a running sum without keys, and most ranges.
+RANGE, RANGES = 1_000_000, 10_000
+
+
+def _running(counted: DataFrame, value: str, sums: dict[str, str], *by: str, down: bool = False) -> DataFrame:
+    """counted(keys, value, ...), a row a value, with a running sum over values, from the lowest (down: highest), for each of
+    sums (name: column), and its total (name_total).
+
+    Without keys values are cut into ranges at approximate quantiles; sums of whole ranges, a row each, are carried forward,
+    and only a range is in one task.
+    """
+    order = F.desc(value) if down else F.asc(value)
+    if by:
+        w, whole = Window.partitionBy(*by), [F.sum(c).over(Window.partitionBy(*by)).alias(f"{name}_total") for name, c in sums.items()]
+        w = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return counted.select("*", *(F.sum(c).over(w).alias(name) for name, c in sums.items()), *whole)
+    ranges = min(RANGES, -(-counted.count() // RANGE))
+    edges = counted.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
+    placed = counted.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0))
+    whole = placed.groupBy("_range").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    one = Window.partitionBy(F.lit(0))  # a row a range
+    before = one.orderBy(F.desc("_range") if down else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.select("_range", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums), *(F.sum(f"_{n}").over(one).alias(f"{n}_total") for n in sums))
+    w = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.select("*", *(F.sum(c).over(w).alias(f"_in_{n}") for n, c in sums.items()))
+    joined = inside.join(F.broadcast(carried), "_range")  # RANGES rows
+    return joined.select(*counted.columns, *((F.col(f"_in_{n}") + F.col(f"_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums))
+
+
 def _scan(rows: DataFrame, score: str, event: str, *by: str) -> DataFrame:
     """Distinct scores from the highest down, with alerts and hits at or above each."""
-    down = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
     counted = rows.groupBy(*by, score).agg(F.count("*").alias("_n"), F.sum(flag(F.col(event))).alias("_p"))
-    return counted.withColumns({"alerts": F.sum("_n").over(down), "tp": F.sum("_p").over(down), "positives": F.sum("_p").over(whole)})
+    return _running(counted, score, {"alerts": "_n", "tp": "_p"}, *by, down=True).withColumnRenamed("tp_total", "positives").drop("alerts_total")
 
 
 def threshold_for_recall(rows: DataFrame, score: str, event: str, recall: float, *by: str) -> DataFrame:
@@ -106,10 +135,10 @@ def conformal_radius(errors: DataFrame, err: str, coverage: float, *by: str) ->
     """(keys, n, radius): the ceil((n + 1) * coverage)-th smallest error; infinite if there are fewer."""
     if not 0 < coverage < 1:
         raise ValueError("coverage must be in (0, 1)")
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = errors.select(*by, F.row_number().over(w.orderBy(err)).alias("_k"), F.count("*").over(w).alias("n"), F.col(err).alias("_e"))
-    rank = F.ceil((F.col("n") + 1) * F.lit(coverage))
-    return ranked.groupBy(*by, "n").agg(F.coalesce(F.max(F.when(F.col("_k") == rank, F.col("_e"))), F.lit(float("inf"))).alias("radius"))
+    counted = errors.where(F.col(err).isNotNull()).groupBy(*by, F.col(err).alias("_e")).agg(F.count("*").alias("_n"))
+    ranked = _running(counted, "_e", {"_k": "_n"}, *by).withColumnRenamed("_k_total", "n")
+    reaches = F.col("_k") >= F.ceil((F.col("n") + 1) * F.lit(coverage))
+    return ranked.groupBy(*by, "n").agg(F.coalesce(F.min(F.when(reaches, F.col("_e"))), F.lit(float("inf"))).alias("radius"))
 
 
 def regime_radii(rows: DataFrame, coverage: float, least: int = 30) -> DataFrame:

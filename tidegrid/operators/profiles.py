@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flag
@@ -16,13 +16,46 @@ def daily_profiles(clean: DataFrame) -> DataFrame:
     return clean.groupBy("series_id", day).agg(pairs.alias("p")).where(F.size("p") == 24).select("series_id", "day", F.transform("p", lambda x: x["v"]).alias("profile"))
 
 
+def _distance(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, x: acc + x) / 24
+
+
+def _block(at: int) -> Column:
+    """The sum of six hours of a profile."""
+    return F.aggregate(F.slice("profile", 6 * at + 1, 6), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def close_pairs(profiles: DataFrame, split: Column) -> DataFrame:
+    """(series_id, day, profile, other): each day from the split on with the days before it that can be the nearest.
+
+    Sums of hours are no further apart than the hours are, so they bound a distance from below. The two past days next to a
+    day by its sum bound the least distance from above; a past day can be nearer only if its sum is in that band, which a join on
+    bands of sums finds, and if the sums of its four quarters are.
+    """
+    days = profiles.select("series_id", "day", "profile", (F.col("day") < split).alias("_past"), F.array(*map(_block, range(4))).alias("_parts"))
+    days = days.withColumn("_sum", F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + x))
+    by_sum = Window.partitionBy("series_id").orderBy("_sum", "day")
+    known = F.when(F.col("_past"), F.col("profile"))
+    below = F.last(known, ignorenulls=True).over(by_sum.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(known, ignorenulls=True).over(by_sum.rowsBetween(0, Window.unboundedFollowing))
+    series = Window.partitionBy("series_id")
+    width = F.greatest((F.max("_sum").over(series) - F.min("_sum").over(series)) / F.sqrt(F.count("*").over(series)), F.lit(1e-9))
+    placed = days.select("*", below.alias("_below"), above.alias("_above"), width.alias("_width"))
+    past = placed.where("_past").select("series_id", F.floor(F.col("_sum") / F.col("_width")).alias("_band"), F.col("_sum").alias("_other_sum"), F.col("_parts").alias("_other_parts"), F.col("profile").alias("other"))
+    # a little more than the bound, for sums are rounded
+    near = F.least(_distance("profile", "_below"), _distance("profile", "_above")) * 24 * (1 + 1e-9) + 1e-6
+    later = placed.where("not _past").withColumn("_near", near).where("_near is not null")
+    bands = F.sequence(F.floor((F.col("_sum") - F.col("_near")) / F.col("_width")), F.floor((F.col("_sum") + F.col("_near")) / F.col("_width")))
+    later = later.withColumn("_band", F.explode(bands))
+    joined = later.join(past, ["series_id", "_band"]).where(F.abs(F.col("_sum") - F.col("_other_sum")) <= F.col("_near"))
+    return joined.where(_distance("_parts", "_other_parts") * 24 <= F.col("_near")).select("series_id", "day", "profile", "other")
+
+
 def nearest_profiles(profiles: DataFrame, split: Column) -> DataFrame:
     """(series_id, day, nearest, seen): for each day from the split on, the least mean distance to an earlier day of the
     series before it, and whether an equal one is among those."""
-    past, later = profiles.where(F.col("day") < split), profiles.where(F.col("day") >= split)
-    other = past.select("series_id", F.col("profile").alias("_other"))
-    gap = F.aggregate(F.zip_with("profile", "_other", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, x: acc + x) / 24
-    return later.join(other, "series_id").groupBy("series_id", "day").agg(F.min(gap).alias("nearest"), F.max(flag(F.col("profile") == F.col("_other"))).alias("seen"))
+    pairs = close_pairs(profiles, split)
+    return pairs.groupBy("series_id", "day").agg(F.min(_distance("profile", "other")).alias("nearest"), F.max(flag(F.col("profile") == F.col("other"))).alias("seen"))
 
 
 def redundancy(clean: DataFrame) -> DataFrame:
