@@ -227,3 +227,17 @@ def adopted_choice(rows: DataFrame, candidates: list[str], baseline: str, period
     accepted = F.max(flag(chosen & passes)).over(Window.partitionBy(F.lit(0)))  # a row a candidate
     adopted = F.when(accepted == 1, F.col("_selected")).otherwise(F.lit(baseline))
     return joined.select("candidate", "ordinal", "score", "changing_score", "eligible", flag(chosen).alias("selected"), flag(chosen & passes).alias("accepted"), flag(F.col("candidate") == adopted).alias("adopted"), "later_mae")
+
+
+def locked_policy(long: DataFrame, lock: int, recall: float = 0.85) -> DataFrame:
+    """(candidate, ordinal, mean_precision, chosen, threshold, tp, fp, fn): from long(period, candidate, ordinal, score, hit), the mean over
+    periods before the lock of each candidate's average precision, the candidate with the greatest (of equal ones the first), the
+    score that catches so much of the events before the lock, and what it then does from the lock on.
+    """
+    early = long.where(F.col("period") < lock)
+    precision = average_precision(early, "score", "hit", "candidate", "ordinal", "period").groupBy("candidate", "ordinal").agg(F.round(F.avg("average_precision"), 9).alias("mean_precision"))
+    chosen = best(precision, score="mean_precision", least=False).select("candidate", F.lit(True).alias("_chosen"))
+    found = precision.join(threshold_for_recall(early, "score", "hit", recall, "candidate"), "candidate", "left").join(F.broadcast(chosen), "candidate", "left")  # one row
+    later = long.where(F.col("period") >= lock).join(F.broadcast(found.select("candidate", "threshold")), "candidate")  # a row a candidate
+    counts = later.groupBy("candidate").agg(*confusion(F.col("hit"), F.col("score") >= F.col("threshold")))
+    return found.join(counts, "candidate", "left").select("candidate", "ordinal", "mean_precision", F.coalesce("_chosen", F.lit(False)).alias("chosen"), "threshold", "tp", "fp", "fn")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import flag
 from ..operators import evaluation as ev
-from ..operators import features, grid, models, plan, requests, walk_forward
+from ..operators import features, grid, models, plan, requests, resampling, walk_forward
 from ..operators.boosting import Boosted, fit_boosted
 from ..operators.forest import fit_random_splits
 from ..sources import QUARTERS, daily_orders
@@ -97,6 +97,64 @@ def peak_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.rates(counts).crossJoin(F.broadcast(precision)))
 
 
+def _week(ts: str) -> F.Column:
+    """Weeks from Monday to Sunday, counted."""
+    return F.expr(f"cast(datediff({ts}, date'1970-01-05') div 7 as long)")
+
+
+def peak_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways to rank hours by the risk of a peak, refitted every week on what came before it: which one is chosen before the last
+    week, at which score, and what it does then."""
+    train, test = _parts(spark, sf_dir)
+    rows = train.unionByName(test).withColumn("week", _week("ts")).persist()
+    weeks = [r[0] for r in rows.select("week").distinct().orderBy("week").collect()]  # a row a week
+    cut = rows.where(F.col("week") == weeks[0]).agg(F.expr("percentile(peak, 0.9)")).first()[0]
+    rows = rows.withColumn("event", flag(F.col("peak") >= cut))
+    names, long = ("quarter_peak", "classifier_pair", "random_splits"), None
+    for week in weeks[1:]:
+        known, now = rows.where(F.col("week") < week), rows.where(F.col("week") == week)
+        quarter, *pair = fit_boosted(known, RICH, [Boosted("peak"), *(Boosted("event", "logistic", leaf=leaf, balanced=True) for leaf in (20, 50))])
+        told = models.predict_risk(pair, models.predict(quarter, now, "quarter_peak"), "classifier_pair")
+        told = fit_random_splits(known, RICH, ["event"]).predict(told, ["random_splits"])
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("candidate"), F.lit(i).alias("ordinal"), F.col(c).alias("score")) for i, c in enumerate(names))))
+        part = told.select(F.col("week").alias("period"), (F.col("event") == 1).alias("hit"), each.alias("c")).select("period", "hit", "c.*")
+        long = part if long is None else long.unionByName(part)
+    return rounded(ev.locked_policy(long.persist(), weeks[-1]))
+
+
+def request_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered with the residual model, refitted every week on targets before it, or with a reference: the choice
+    before the last week, and what each does then."""
+    rows = requests.request_rows(event_panel(spark, sf_dir)).withColumns({"residual": F.col("actual") - F.col("previous_week"), "week": _week("origin")}).persist()
+    weeks = [r[0] for r in rows.select("week").distinct().orderBy("week").collect()]  # a row a week
+    told = None
+    for week in weeks[1:]:
+        model = fit_boosted(rows.where(_week("ts") < week), REQUEST, [RESIDUAL])[0]
+        part = models.predict(model, rows.where(F.col("week") == week), "residual_model", onto="previous_week")
+        told = part if told is None else told.unionByName(part)
+    long = ev.long_errors(told, ["persistence", "previous_day", "previous_week", "residual_model"], F.col("week")).select("period", "candidate", "ordinal", "err")
+    return rounded(walk_forward.locked_choice(long, weeks[-1]))
+
+
+#: Features of a request that are permuted together.
+GROUPS = {
+    "past_profile": ["persistence", "previous_day", "previous_week", "peak_previous_day", "peak_previous_week"],
+    "origin": ["origin_output", "output_sum_24", "load_mean_24"],
+    "calendar_and_lead": ["lead", *(f"target_{c}_{f}" for c in ("hour", "weekday", "month") for f in ("sin", "cos"))],
+}
+
+
+def request_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the residual model's error grows when a group of its features is taken from other requests of the site."""
+    panel = event_panel(spark, sf_dir)
+    rows = with_split(requests.request_rows(panel), panel).withColumn("residual", F.col("actual") - F.col("previous_week")).persist()
+    model = fit_boosted(rows.where("ts < split"), REQUEST, [RESIDUAL])[0]
+    mixed = resampling.permuted_groups(rows.where("origin >= split").drop("split"), GROUPS, ["origin", "lead"])
+    errors = models.predict(model, mixed, onto="previous_week").groupBy("group", "repeat").agg(F.avg(ev.error()).alias("mae"))
+    base = F.max(F.when(F.col("group") == "none", F.col("mae"))).over(Window.partitionBy("repeat"))
+    return rounded(errors.withColumn("change", F.col("mae") - base))
+
+
 def transition_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six candidates from a base model, a state classifier and one expert for each state."""
     train, test = _parts(spark, sf_dir)
@@ -239,6 +297,6 @@ def walk_forward_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(walk_forward.locked_choice(long, LOCK))
 
 
-_NAMES = "gram_windows walk_forward_ridge next_hour_forecast requested_interval ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves load_shift_bounds".split()
+_NAMES = "peak_policy request_choice request_sensitivity gram_windows walk_forward_ridge next_hour_forecast requested_interval ridge_forecast tree_forecast residual_requests trajectory_forecast peak_risk transition_mixture load_shift_scenarios load_shift_summary load_shift_moves load_shift_bounds".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 ORACLES = {"load_shift_bounds": LOAD_SHIFT_BOUNDS, "gram_windows": GRAM_WINDOWS}
