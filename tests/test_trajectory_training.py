@@ -1,5 +1,6 @@
 """The trajectory query trains on anchors of every hour, with 151 features and leaves of 24 values, and is judged at midnight."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import features
@@ -37,3 +38,13 @@ def test_trajectory_features_read_nothing_from_their_hour_on(spark):
     last = features.trajectory_features(panel).agg(F.max("ts")).first()[0]
     assert str(last) == "2024-01-19 00:00:00"  # its day ends with the panel
     assert str(features.trajectory_features(panel, need_target=False).agg(F.max("ts")).first()[0]) == "2024-01-19 23:00:00"
+
+
+def test_groups_that_add_nulls_are_an_error(spark):
+    """A quarter that is missing where the base features are complete can't pass unseen."""
+    panel = event_panel(spark, SF)
+    assert features.features(panel, "combined").count() == features.features(panel).count()
+    gap = panel.withColumn("q30", F.when(F.col("ts") != F.lit("2024-01-20 05:00:00").cast("timestamp_ntz"), F.col("q30")))
+    assert features.features(gap).count() > 0
+    with pytest.raises(Exception, match="where the base is complete"):
+        features.features(gap, "quarter").collect()

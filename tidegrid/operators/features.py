@@ -117,7 +117,7 @@ def idle_runs(dense: DataFrame) -> DataFrame:
 def features(clean: DataFrame, group: str = "base", need_target: bool = True) -> DataFrame:
     """(series_id, ts, target, then GROUPS[group]) for hours whose base features, and target, are complete.
 
-    Groups beyond the base must not cost rows: a null among theirs is an error of the caller's data, and stays visible.
+    Groups beyond the base must not cost rows: a null among theirs, where the base is complete, is an error of the caller's data.
     """
     if group not in GROUPS:
         raise ValueError(f"no feature group {group}")
@@ -126,7 +126,11 @@ def features(clean: DataFrame, group: str = "base", need_target: bool = True) ->
     if group in ("regime", "combined"):
         wide = idle_runs(wide)
     needed = BASE + (["target"] if need_target else [])
-    return wide.na.drop(subset=needed).select("series_id", "ts", "target", *GROUPS[group])
+    known = wide.na.drop(subset=needed)
+    if extra := GROUPS[group][len(BASE) :]:
+        wrong = F.raise_error(F.lit(f"features of group {group} are missing where the base is complete")).cast("double")
+        known = known.withColumn(extra[0], F.when(complete(*map(F.col, extra)), F.col(extra[0])).otherwise(wrong))
+    return known.select("series_id", "ts", "target", *GROUPS[group])
 
 
 def idle_signal(clean: DataFrame, hours: int) -> DataFrame:

@@ -37,13 +37,22 @@ def cleaning_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLEANING_DIAGNOSTICS = sql(
-    PANEL,
+    PANEL
+    + """, raw as (
+  select *, extract(hour from ts) + case when extract(day from ts) in (13, 15) and extract(hour from ts) >= 20 then 24 else 0 end as hour, date_trunc('day', ts) as day from full_panel
+), dates as (
+  select series_id, day, count(*) filter (where hour not between 0 and 23) as bad from raw group by series_id, day
+), counts as (
+  select series_id, sum(bad)::bigint as bad_hours, count(*) filter (where bad > 0) as removed_dates from dates group by series_id
+), clean as (
+  select r.* from raw r join dates d on d.series_id = r.series_id and d.day = r.day where d.bad = 0
+)""",
     """
-select p.series_id, (select count(*) from full_panel f where f.series_id = p.series_id) as raw_rows, 8::bigint as bad_hours, 2::bigint as removed_dates,
+select p.series_id, (select count(*) from raw f where f.series_id = p.series_id) as raw_rows, any_value(c.bad_hours) as bad_hours, any_value(c.removed_dates) as removed_dates,
        count(*) as rows, min(ts) as first_ts, max(ts) as last_ts, round(max(abs(avg_power - (q15 + q30 + q45 + q60) / 4)), 6) as mean_gap,
        count(*) filter (where q15 is null) as null_q15, count(*) filter (where q30 is null) as null_q30, count(*) filter (where q45 is null) as null_q45,
        count(*) filter (where q60 is null) as null_q60, count(*) filter (where avg_power is null) as null_avg_power, count(*) filter (where production is null) as null_production
-from panel p group by p.series_id""",
+from clean p join counts c on c.series_id = p.series_id group by p.series_id""",
 )
 
 
@@ -62,7 +71,20 @@ def validation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.faults(short.unionByName(twice).withColumn("avg_power", F.when((F.dayofmonth("ts") == 11) & (F.hour("ts") == 3), F.lit(-1.0)).otherwise(F.col("avg_power"))))
 
 
-VALIDATION_FAULTS = sql(PANEL, "select * from (values ('duplicate_hour'), ('incomplete_day'), ('bad_value')) t(fault), (select count(distinct series_id) as n from panel)")
+VALIDATION_FAULTS = sql(
+    PANEL
+    + """, short as (
+  select * replace (case when extract(day from ts) = 11 and extract(hour from ts) = 3 then -1.0 else avg_power end as avg_power) from full_panel where not (extract(day from ts) = 7 and extract(hour from ts) > 20)
+), broken as (
+  select * from short union all select * from short where extract(day from ts) = 9 and extract(hour from ts) = 4
+), kinds as (
+  select 'duplicate_hour' as fault, count(*) as n from (select 1 from broken group by series_id, ts having count(*) > 1)
+  union all select 'incomplete_day', count(*) from (select 1 from broken group by series_id, date_trunc('day', ts) having count(distinct extract(hour from ts)) <> 24)
+  union all select 'bad_value', count(*) from broken
+  where q15 is null or q30 is null or q45 is null or q60 is null or avg_power is null or production is null or least(q15, q30, q45, q60, avg_power, production) < 0
+)""",
+    "select * from kinds where n > 0",
+)
 
 
 def training_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
