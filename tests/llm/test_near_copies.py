@@ -71,3 +71,21 @@ def test_near_copies_on_odd_rows(spark):
     assert simhash.similar_groups(frame(spark, [])).isEmpty()
     kept = simhash.keep_dissimilar(frame(spark, None, odd_rows()))
     assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 100001").count() == 1
+
+
+def of_one_template(n, changes, pairs, seed=3, size=200):
+    """n texts that differ from one template in `changes` words of their own, below the threshold of each other, and near copies of some."""
+    rng = random.Random(seed)
+    base = words(rng, size)
+    texts = [edited(rng, base, changes) for _ in range(n)]
+    texts += [edited(rng, texts[i], 2) for i in range(pairs)]
+    return [(i, t, "s") for i, t in enumerate(texts)]
+
+
+def test_pairs_inside_one_template_are_all_found(spark):
+    rows = of_one_template(300, 8, 30)
+    expected = slow_groups(rows)
+    assert len(set(expected.values())) == 300  # the template itself links nothing
+    for hot in (0, simhash.HOT):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), hot=hot, sampled=1).collect()}
+        assert got == expected

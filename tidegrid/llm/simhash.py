@@ -9,8 +9,9 @@ Near copies by similarity (similar_groups) lie about 10 of 64 bits apart at a Ja
 few segments. They are found by wider fingerprints, of as many segments as a pair needs to share one all but surely; a
 segment value has about as many bits as the number of texts asks for, so that strangers seldom meet. There the ball has
 radius zero: further segments find more for the same rows than balls around fewer. The segment table crosses one shuffle;
-documents of a small segment value meet there by 64 bits of distance, larger and hot ones follow by leaders. Distances
-of 1,024 bits are verified for what meets, and then the two exact shingle sets.
+documents of a small segment value meet there by 64 bits of distance, larger and hot ones follow by leaders, and what stays
+apart in those is searched by a prefix filter over shingles. Distances of 1,024 bits are verified for what meets, and then the
+two exact shingle sets.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ SPREADS = 4.5
 BACK = 3
 #: A segment value is hot, and kept from the sort, above HOT rows and this share of the texts; one of SAMPLED texts counts.
 HOT, HOT_SHARE, SAMPLED = 8192, 256, 64
-#: Leaders of a segment value after the first round, and most rounds.
-LEADERS, MAX_ROUNDS = 8, 12
+#: Leaders of a segment value after the first round, and rounds of leaders before the exact search of what is still apart.
+LEADERS, ROUNDS = 8, 2
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -277,11 +278,39 @@ def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) ->
     return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, max_bits: int) -> DataFrame:
+    """(u, v): all pairs of apart(node, n, print0, ..., root) with different roots that may be similar enough, by a prefix filter.
+
+    Shingles are ordered by the number of nodes that have them, rarest first. Of a set of n, all but ceil(2 t n / (1 + t)) - 1 are its
+    own prefix and all but ceil(t n) - 1 the one it probes with: of two sets at similarity t, the smaller one's own prefix and the
+    larger one's probe share a shingle (Xiao, Wang, Lin and Yu, 2008). In texts of one template these are the shingles of their own
+    edits, so texts below the threshold do not meet. The join holds its conditions itself: only pairs within max_bits come out.
+    """
+    items = sets.join(apart.select("node"), "node", "left_semi").select("node", F.explode("items").alias("item"))
+    counts = items.groupBy("item").agg(F.count("*").alias("has"))
+    ranked = items.join(counts, "item").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("has", "item")))
+    # a little below the bound, for rounding: a longer prefix only costs work
+    past = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
+    probe, own = past(threshold), past(2 * threshold / (1 + threshold))
+    # a shingle nobody else has links nothing, nor does one that only a single root's nodes look by
+    rows = ranked.where("has > 1").join(apart, "node").where(F.col("at") <= probe).withColumn("own", F.col("at") <= own)
+    rows = saved(rows.select("item", "own", "node", "n", "root", *PRINTS), "postings")
+    torn = rows.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any")).where("lo < hi and any")
+    rows = saved(rows.join(torn.select("item"), "item", "left_semi"), "postings")
+    a, b = rows.where("own").alias("a"), rows.alias("b")
+    after = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
+    sizes = F.col("a.n") >= F.lit(threshold) * F.col("b.n")
+    far = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in PRINTS)
+    met = a.join(b.hint("merge"), (F.col("a.item") == F.col("b.item")) & (F.col("a.root") != F.col("b.root")) & after & sizes & (far <= max_bits))
+    return met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+
+
 def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
     """(doc_id, component_id) for each row of docs(doc_id, text, ...) that has a doc_id.
 
     component_id is the least doc_id reachable over pairs whose sets of shingles have a Jaccard similarity of at least
-    `threshold`; a pair at it is missed with probability MISSED, and more similar ones less often. Texts with the same
+    `threshold`; a pair at it shares no segment value with probability MISSED, more similar ones less often. Pairs that share one
+    meet there, or, where it has many rows, at its leaders or in an exact search of all rows of such values. Texts with the same
     words are one node of the search, and so are null and wordless ones. Texts of any length are taken whole. Repeated
     rows each stay. Empty table: no rows. Other columns are ignored.
     """
@@ -304,28 +333,43 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint(hint) if hint else ids, "doc_id", "left_semi")
         return saved(_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
 
+    def with_sets_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+        lacking = saved(wanted.join(sets, "node", "left_anti"), "lacking")
+        return sets if lacking.isEmpty() else sets.union(sets_of(lacking))
+
+    def with_roots() -> tuple[DataFrame, DataFrame]:
+        roots = components(links)
+        return roots, keyed.join(roots, "node", "left").select("node", "n", *PRINTS, "key", "keys", F.coalesce("root", "node").alias("root"))
+
     pairs = met.select("node", F.explode(F.array(*(f"m{i}" for i in range(BACK + 1)))).alias("v")).where("v is not null")
     pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
     pairs = saved(_near_enough(pairs, nodes, threshold, max_bits), "pairs")
     nodes_of = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     sets = sets_of(nodes_of(pairs), "merge")
     links = saved(_verified(pairs, sets, threshold), "links")
-    for salt in range(1, MAX_ROUNDS):
-        roots = components(links)
-        grouped = keyed.join(roots, "node", "left").select("node", "n", *PRINTS, "key", "keys", F.coalesce("root", "node").alias("root"))
+    roots, grouped = with_roots()
+    # leaders join what is large; that only spares the exact search work
+    for salt in range(1, ROUNDS + 1):
         fresh_pairs = saved(_candidates(grouped, threshold, max_bits, salt).join(pairs, ["u", "v"], "left_anti"), "pairs")
         if fresh_pairs.isEmpty():
             break
-        lacking = saved(nodes_of(fresh_pairs).join(sets, "node", "left_anti"), "lacking")
-        if not lacking.isEmpty():
-            sets = sets.union(sets_of(lacking))  # few: Spark broadcasts them if their size allows
+        sets = with_sets_of(nodes_of(fresh_pairs), sets)
         more = saved(_verified(fresh_pairs, sets, threshold), "links")
+        pairs = pairs.union(fresh_pairs)
         if more.isEmpty():
             break
-        pairs = pairs.union(fresh_pairs)
         links = links.union(more)
-    else:
-        roots = components(links)
+        roots, grouped = with_roots()
+    # what crowded values still hold apart, exactly
+    torn = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    apart = saved(grouped.join(torn, "key", "left_semi").select("node", "n", *PRINTS, "root").dropDuplicates(["node"]), "apart")
+    if not apart.isEmpty():
+        sets = with_sets_of(apart.select("node"), sets)
+        rest = saved(_prefix_pairs(apart, sets, threshold, max_bits).join(pairs, ["u", "v"], "left_anti"), "pairs")
+        more = saved(_verified(rest, sets, threshold), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
 
     linked = roots.join(classes, "node").select("node", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
