@@ -164,32 +164,6 @@ class Network:
         half, f = np.nonzero(on_half)
         if not len(half):
             return grads
-        order = np.argsort(f, kind="stable")
-        half, f = half[order], f[order]
-        g, at = on_half[half, f], places[half, f]
-        firsts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        width = EMBED + len(LAGS)
-        for name, shift in (("left", 0), ("right", 1)):
-            place = np.minimum(at + shift, len(x) - 1)
-            grads[name][:, f[firsts]] = np.add.reduceat(x[place] * g[:, None], firsts).T
-            for k in range(BLOCK):
-                by_filter = np.bincount(raw[place * BLOCK + k].astype(np.int64) * FILTERS + f, weights=g, minlength=256 * FILTERS).astype(np.float32)
-                grads["embed"] += by_filter.reshape(256, FILTERS) @ self.p[name][k * width : k * width + EMBED].T
-        return grads
-        order = np.argsort(f, kind="stable")
-        half, f = half[order], f[order]
-        g, at = on_half[half, f], places[half, f]
-        firsts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        width, lanes = EMBED + len(LAGS), np.arange(EMBED)
-        width = EMBED + len(LAGS)
-        for name, shift in (("left", 0), ("right", 1)):
-            place = np.minimum(at + shift, len(x) - 1)
-            grads[name][:, f[firsts]] = np.add.reduceat(x[place] * g[:, None], firsts).T
-            for k in range(BLOCK):
-                pull = self.p[name][k * width : k * width + EMBED].T[f] * g[:, None]
-                where = raw[place * BLOCK + k].astype(np.int64)[:, None] * EMBED + lanes
-                grads["embed"] += np.bincount(where.ravel(), weights=pull.ravel(), minlength=256 * EMBED).reshape(256, EMBED).astype(np.float32)
-        return grads
 
 
 def held_out() -> F.Column:
