@@ -10,7 +10,7 @@ few segments. They are found by wider fingerprints, of as many segments as a pai
 segment value has about as many bits as the number of texts asks for, so that strangers seldom meet. There the ball has
 radius zero: further segments find more for the same rows than balls around fewer. The segment table crosses one shuffle;
 documents of a small segment value meet there by 64 bits of distance, larger and hot ones follow by leaders, and what stays
-apart in those is searched by a prefix filter over shingles. Distances of 1,024 bits are verified for what meets, and then the
+apart in those is searched by a prefix filter over shingles. Distances of 2,048 bits are verified for what meets, and then the
 two exact shingle sets.
 """
 
@@ -31,16 +31,18 @@ from .components import components
 BITS = 64
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, and how often a pair at it may be missed.
 SHINGLE, THRESHOLD, MISSED = 5, 0.8, 0.002
-#: Bits whose distance is verified at last and at first, and up to how many standard deviations a pair at the threshold passes.
-VERIFIED, MET = 1024, 64
+#: Bits whose distance is verified at last and at first, and up to how many standard deviations a pair at the threshold passes each.
+VERIFIED, MET = 2048, 64
 PRINTS = [f"print{i}" for i in range(VERIFIED // 64)]
-SPREADS = 4.5
+SPREADS = {VERIFIED: 3.5, MET: 4.5}
+#: Bits of sets of n shingles differ a little more often than their angle says, by less than TIES / n (ties of small even sets).
+TIES = 0.3
 #: Rows before it that a row of a segment value meets. A value with more rows than that and one goes by leaders.
 BACK = 3
 #: A segment value is hot, and kept from the sort, above HOT rows and this share of the texts; one of SAMPLED texts counts.
 HOT, HOT_SHARE, SAMPLED = 8192, 256, 64
 #: Leaders of a segment value after the first round, and rounds of leaders before the exact search of what is still apart.
-LEADERS, ROUNDS = 8, 2
+LEADERS, ROUNDS = 8, 1
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -151,7 +153,7 @@ def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MI
     bits = max(16, math.ceil(math.log2(max(2, n_texts))))
     differs = math.acos(2 * threshold / (1 + threshold)) / math.pi
     segments = math.ceil(math.log(missed) / math.log1p(-((1 - differs) ** bits)))
-    most = (math.ceil(n * differs + SPREADS * math.sqrt(n * differs * (1 - differs))) for n in (VERIFIED, MET))
+    most = (math.ceil(n * differs + spread * math.sqrt(n * differs * (1 - differs))) for n, spread in SPREADS.items())
     return segments, bits, *most
 
 
@@ -238,12 +240,17 @@ def _meetings(keyed: DataFrame, most: int) -> DataFrame:
     return found.where((F.col("rows") > BACK + 1) | F.coalesce(*(f"m{i}" for i in range(BACK + 1))).isNotNull())
 
 
+def _few_bits(a: str, b: str, max_bits: int) -> Column:
+    """Whether the prints of columns a + print0, ... and b + print0, ... differ in at most max_bits bits, and what ties of the smaller n allow."""
+    far = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in PRINTS)
+    return far <= max_bits + VERIFIED * TIES / F.least(f"{a}n", f"{b}n")
+
+
 def _near_enough(pairs: DataFrame, nodes: DataFrame, threshold: float, max_bits: int) -> DataFrame:
     """Those of pairs(u, v) with sizes of which one is large enough a part of the other, at most max_bits of VERIFIED bits apart."""
     for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in ("n", *PRINTS))), end)
-    far = sum(F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in PRINTS)
-    return pairs.where((F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv")) & (far <= max_bits)).select("u", "v")
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("n", *PRINTS))), end)
+    return pairs.where((F.least("u_n", "v_n") >= F.lit(threshold) * F.greatest("u_n", "v_n")) & _few_bits("u_", "v_", max_bits)).select("u", "v")
 
 
 def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) -> DataFrame:
@@ -268,9 +275,8 @@ def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) ->
 
     def near(i: int) -> Column:
         sizes = F.least("n", f"l{i}.n") >= F.lit(threshold) * F.greatest("n", f"l{i}.n")
-        bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"l{i}.{c}"))) for c in PRINTS)
         least = F.array_min(F.array_intersect("keys", f"l{i}.led")) == F.col("key")
-        return F.when((F.col("root") != F.col(f"l{i}.of")) & sizes & (bits <= max_bits) & least, F.col(f"l{i}.node"))
+        return F.when((F.col("root") != F.col(f"l{i}.of")) & sizes & _few_bits("", f"l{i}.", max_bits) & least, F.col(f"l{i}.node"))
 
     met = F.array_compact(F.array(*(near(i) for i in range(LEADERS))))
     rows = keyed.join(found.hint("merge"), "key").select("node", met.alias("met")).where(F.size("met") > 0)
@@ -300,8 +306,7 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, max_bits:
     a, b = rows.where("own").alias("a"), rows.alias("b")
     after = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     sizes = F.col("a.n") >= F.lit(threshold) * F.col("b.n")
-    far = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in PRINTS)
-    met = a.join(b.hint("merge"), (F.col("a.item") == F.col("b.item")) & (F.col("a.root") != F.col("b.root")) & after & sizes & (far <= max_bits))
+    met = a.join(b.hint("merge"), (F.col("a.item") == F.col("b.item")) & (F.col("a.root") != F.col("b.root")) & after & sizes & _few_bits("a.", "b.", max_bits))
     return met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
