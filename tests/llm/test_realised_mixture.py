@@ -43,3 +43,17 @@ def test_budget_falls_where_equal_weights_fall_short(spark):
     rows = hot(0.9, 12)
     kept = mixing.rebalance(frame(spark, rows), 0.8, realise=True).collect()
     assert abs(entropy(kept) - 0.8) < 0.02
+
+
+def test_measures_are_the_same_with_and_without_the_driver(spark, monkeypatch):
+    """Above MAX_SOURCES sources each step is an aggregation; its numbers are those of the totals on the driver."""
+    sizes = [1, 7, 7, 40, 900, 12_345, 0]
+    totals = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, total long")
+    whole, budget = float(sum(sizes)), 5_000.0
+    few = mixing._measures(totals, whole, budget), mixing._realised(totals, whole, budget, 2)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    many = mixing._measures(totals, whole, budget), mixing._realised(totals, whole, budget, 2)
+    for exponent in (0.0, 0.3, 1.0):
+        assert many[0](exponent) == pytest.approx(few[0](exponent))
+        for share in (0.2, 1.0):
+            assert many[1](exponent, share) == pytest.approx(few[1](exponent, share))
