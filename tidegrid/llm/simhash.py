@@ -9,9 +9,9 @@ Near copies by similarity (similar_groups) lie about 10 of 64 bits apart at a Ja
 few segments. They are found by wider fingerprints, of as many segments as a pair needs to share one all but surely; a
 segment value has about as many bits as the number of texts asks for, so that strangers seldom meet. There the ball has
 radius zero: further segments find more for the same rows than balls around fewer. The segment table crosses one shuffle;
-documents of a small segment value meet there by 64 bits of distance, larger and hot ones follow by leaders, and what stays
-apart in those is searched by a prefix filter over shingles. Distances of 2,048 bits are verified for what meets, and then the
-two exact shingle sets.
+documents of a small segment value meet there by 64 bits of distance, large and hot ones follow by leaders, rows of values
+in between meet if still apart, and what stays apart in large ones is searched by a prefix filter over shingles. Distances
+of 2,048 bits are verified for what meets, and then the two exact shingle sets.
 """
 
 from __future__ import annotations
@@ -37,8 +37,11 @@ PRINTS = [f"print{i}" for i in range(VERIFIED // 64)]
 SPREADS = {VERIFIED: 3.5, MET: 4.5}
 #: Bits of sets of n shingles differ a little more often than their angle says, by less than TIES / n (ties of small even sets).
 TIES = 0.3
-#: Rows before it that a row of a segment value meets. A value with more rows than that and one goes by leaders.
+#: Rows before it that a row of a segment value meets at first. Of a value with more rows than that and one each meets the first.
 BACK = 3
+#: Up to so many rows of a value meet each other next, where their groups still differ: chance fills values that far, at any number
+#: of texts. A value with more rows goes by leaders and by the exact search.
+MANY = 32
 #: A segment value is hot, and kept from the sort, above HOT rows and this share of the texts; one of SAMPLED texts counts.
 HOT, HOT_SHARE, SAMPLED = 8192, 256, 64
 #: Leaders of a segment value after the first round, and rounds of leaders before the exact search of what is still apart.
@@ -240,6 +243,15 @@ def _meetings(keyed: DataFrame, most: int) -> DataFrame:
     return found.where((F.col("rows") > BACK + 1) | F.coalesce(*(f"m{i}" for i in range(BACK + 1))).isNotNull())
 
 
+def _late_meetings(rows: DataFrame, most: int) -> DataFrame:
+    """(u, v): rows(key, node, print0, root) of one key, MANY at most, that have different roots and are at most `most` bits apart."""
+    before = Window.partitionBy("key").orderBy("node").rowsBetween(1 - MANY, -1)
+    seen = rows.withColumn("earlier", F.collect_list(F.struct("node", PRINTS[0], "root")).over(before))
+    near = lambda x: (x["root"] != F.col("root")) & (F.bit_count(x[PRINTS[0]].bitwiseXOR(F.col(PRINTS[0]))) <= most)
+    pairs = seen.select("node", F.explode(F.filter("earlier", near)["node"]).alias("v"))
+    return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+
+
 def _few_bits(a: str, b: str, max_bits: int) -> Column:
     """Whether the prints of columns a + print0, ... and b + print0, ... differ in at most max_bits bits, and what ties of the smaller n allow."""
     far = sum(F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in PRINTS)
@@ -315,7 +327,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
 
     component_id is the least doc_id reachable over pairs whose sets of shingles have a Jaccard similarity of at least
     `threshold`; a pair at it shares no segment value with probability MISSED, more similar ones less often. Pairs that share one
-    meet there, or, where it has many rows, at its leaders or in an exact search of all rows of such values. Texts with the same
+    meet there, or, where it has over MANY rows, at its leaders or in an exact search of all rows of such values. Texts with the same
     words are one node of the search, and so are null and wordless ones. Texts of any length are taken whole. Repeated
     rows each stay. Empty table: no rows. Other columns are ignored.
     """
@@ -328,14 +340,15 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     hot_keys = saved(_hot_keys(nodes, n_texts, hot, sampled), "hot")
     keyed = nodes.select("node", PRINTS[0], F.explode("keys").alias("key"))
     met = saved(_meetings(keyed.join(F.broadcast(hot_keys), "key", "left_anti"), first_bits), "met")
-    crowded = met.where(F.col("rows") > BACK + 1).select("key", "node").union(keyed.join(F.broadcast(hot_keys), "key", "left_semi").select("key", "node"))
+    crowded = met.where(F.col("rows") > MANY).select("key", "node").union(keyed.join(F.broadcast(hot_keys), "key", "left_semi").select("key", "node"))
     listed = crowded.groupBy("node").agg(F.collect_list("key").alias("keys")).join(nodes.select("node", "n", *PRINTS), "node")
     keyed = saved(listed.select("*", F.explode("keys").alias("key")), "segments")
 
     # texts move only for one document of each node that has a candidate, and that once
-    def sets_of(nodes: DataFrame, hint: str | None = None) -> DataFrame:
-        ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint(hint) if hint else ids, "doc_id", "left_semi")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        # written down, so that Spark knows the size before it decides whether texts must be shuffled
+        ids = saved(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
         return saved(_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
 
     def with_sets_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -350,7 +363,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
     pairs = saved(_near_enough(pairs, nodes, threshold, max_bits), "pairs")
     nodes_of = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = sets_of(nodes_of(pairs), "merge")
+    sets = sets_of(nodes_of(pairs))
     links = saved(_verified(pairs, sets, threshold), "links")
     roots, grouped = with_roots()
     # leaders join what is large; that only spares the exact search work
@@ -365,6 +378,18 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
             break
         links = links.union(more)
         roots, grouped = with_roots()
+    # what values of a few rows more still hold apart
+    between = met.where((F.col("rows") > BACK + 1) & (F.col("rows") <= MANY)).select("key", "node")
+    between = between.join(nodes.select("node", PRINTS[0]), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    late = _late_meetings(between, first_bits).join(pairs, ["u", "v"], "left_anti")
+    late = saved(_near_enough(late, nodes, threshold, max_bits), "pairs")
+    if not late.isEmpty():
+        sets = with_sets_of(nodes_of(late), sets)
+        more = saved(_verified(late, sets, threshold), "links")
+        pairs = pairs.union(late)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots, grouped = with_roots()
     # what crowded values still hold apart, exactly
     torn = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     apart = saved(grouped.join(torn, "key", "left_semi").select("node", "n", *PRINTS, "root").dropDuplicates(["node"]), "apart")
