@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, fresh, list_array, mix, remembered, saved, small_batches, table
+from .common import bytes_of, fresh, list_array, mix, remembered, saved, small_batches, table, used_up
 from .components import components
 
 BITS = 64
@@ -335,8 +335,10 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     n_texts = docs.count()
     segments, bits, max_bits, first_bits = wide_segments(n_texts, threshold)
     signed = saved(_signatures(docs, segments, bits, shingle), "signatures")
-    classes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
     nodes = saved(signed.drop("doc_id").dropDuplicates(["node"]), "nodes")
+    ids = saved(signed.select("doc_id", "node"), "ids")
+    used_up(signed)
+    classes = ids.groupBy("node").agg(F.min("doc_id").alias("rep"))
     hot_keys = saved(_hot_keys(nodes, n_texts, hot, sampled), "hot")
     keyed = nodes.select("node", PRINTS[0], F.explode("keys").alias("key"))
     met = saved(_meetings(keyed.join(F.broadcast(hot_keys), "key", "left_anti"), first_bits), "met")
@@ -347,8 +349,8 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     # texts move only for one document of each node that has a candidate, and that once
     def sets_of(nodes: DataFrame) -> DataFrame:
         # written down, so that Spark knows the size before it decides whether texts must be shuffled
-        ids = saved(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+        wanted = saved(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
         return saved(_sets(texts, shingle).dropDuplicates(["node"]), "shingles")
 
     def with_sets_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -405,7 +407,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     moved = linked.join(least, "root").select("node", "least")
     groups = saved(classes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "groups")
-    return signed.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
+    return ids.join(groups, "node").select("doc_id", "component_id")
 
 
 def keep_dissimilar(docs: DataFrame, **settings) -> DataFrame:
