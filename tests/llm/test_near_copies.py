@@ -89,3 +89,11 @@ def test_pairs_inside_one_template_are_all_found(spark):
     for hot in (0, simhash.HOT):
         got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), hot=hot, sampled=1).collect()}
         assert got == expected
+
+
+def test_values_of_a_few_rows_more_meet_each_other(spark):
+    """Too many rows for the first meeting, too few for leaders and the exact search: pairs of one template meet late."""
+    rows = of_one_template(20, 8, 6, seed=5)
+    expected = slow_groups(rows)
+    assert len(rows) <= simhash.MANY and len(set(expected.values())) == 20
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == expected
