@@ -1,6 +1,7 @@
 """Operators on vectors, urls and dialogues against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import Union
 
@@ -59,6 +60,20 @@ def test_embedding_groups(spark, monkeypatch, cell, move, block):
     assert got == linked(rows) and max(n for n, *_ in got.values()) > 60
 
 
+def test_vectors_that_visit_many_cells_leave_in_small_batches():
+    """Without clusters a batch of vectors leaves as a hundred times as many rows."""
+    x = np.random.default_rng(0).normal(size=(2000, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    cells = x[:200]
+    batch = pa.RecordBatch.from_arrays([pa.array(["1"] * 2000), pa.array(range(2000)), pa.array([1] * 2000), pa.array([v.tobytes() for v in x])], ["label", "cls", "copies", "unit"])
+    spans = embedding_dedup._spans(cells)
+    sent = list(embedding_dedup.placed_rows(batch, cells, spans, 0.4, 16))
+    home, visits = embedding_dedup.near_cells(x, cells, spans, 0.4)
+    expected = [(i, int(c), int(home[i])) for i in range(2000) for c in [home[i], *np.flatnonzero(visits[i])]]
+    assert max(b.num_rows for b in sent) <= 4096 < len(expected)
+    assert sorted((r["cls"], r["cell"], r["home"]) for b in sent for r in b.to_pylist()) == sorted(expected)
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
 def test_embedding_query_has_several_cells(spark, monkeypatch, sf):
     chosen, choose = [], embedding_dedup.choose_cells

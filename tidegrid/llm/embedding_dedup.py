@@ -26,6 +26,8 @@ CELL = 32
 #: What moving a vector into a cell costs, in products of vector pairs.
 MOVE = 200.0
 BLOCK = 2048
+#: Vectors placed at once, and rows of a batch that leave for their cells: one vector may visit many.
+PLACED, SENT = 512, 4096
 
 
 def fit_cells(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -56,6 +58,20 @@ def near_cells(x: np.ndarray, centres: np.ndarray, spans: np.ndarray, reach: flo
     return home, visits
 
 
+def placed_rows(batch: pa.RecordBatch, centres: np.ndarray, spans: np.ndarray, reach: float, dim: int):
+    """Batches of SENT rows at most: each vector of batch(label, cls, copies, unit) with its home cell, and with each cell it visits."""
+    names = ["label", "cls", "copies", "unit"]
+    for start in range(0, batch.num_rows, PLACED):
+        some = batch.slice(start, PLACED)
+        x = matrix(some.column("unit").to_pylist(), dim)
+        home, visits = near_cells(x, centres, spans, reach)
+        row, cell = np.nonzero(visits)
+        at, to = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell]).astype(np.int32)
+        for k in range(0, len(at), SENT):
+            rows = at[k : k + SENT]
+            yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(rows)) for c in names), pa.array(to[k : k + SENT]), pa.array(home[rows].astype(np.int32))], [*names, "cell", "home"])
+
+
 def choose_cells(x: np.ndarray, n: float, reach: float) -> np.ndarray:
     """Centres, fitted to the sample x, for n vectors a label: of 2, 4, 8 and so on that number whose work is least.
 
@@ -146,12 +162,7 @@ def _counts(classes: DataFrame, centres: np.ndarray, dim: int, threshold: float,
     def place(batches):
         cells, spans = shared.value
         for batch in batches:
-            x = matrix(batch.column("unit").to_pylist(), dim)
-            home, visits = near_cells(x, cells, spans, reach)
-            row, cell = np.nonzero(visits)
-            at = np.concatenate([np.arange(len(x)), row])
-            out = [batch.column(c).take(pa.array(at)) for c in ("label", "cls", "copies", "unit")]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate([home, cell]).astype(np.int32)), pa.array(home[at].astype(np.int32))], ["label", "cls", "copies", "unit", "cell", "home"])
+            yield from placed_rows(batch, cells, spans, reach, dim)
 
     placed = classes.select("label", "cls", "copies", "unit").mapInArrow(place, "label string, cls long, copies long, unit binary, cell int, home int")
     placed = placed.withColumn("guest", F.col("cell") != F.col("home"))
