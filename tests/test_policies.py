@@ -50,3 +50,18 @@ def test_groups_are_permuted_together(spark):
     assert sorted(got) == sorted(resampling.permuted_groups(rows.repartition(4), groups, ["origin", "lead"]).collect())
     with pytest.raises(ValueError):
         resampling.permuted_groups(rows, {"none": ["a"]}, ["origin"])
+
+
+def test_weeks_are_fitted_side_by_side(spark):
+    """Fits that wait for each other all end, in the order of their weeks, and two that boost at once give what each alone gives."""
+    from threading import Barrier
+
+    from tidegrid.operators.boosting import Boosted, fit_boosted
+    from tidegrid.plans.forecasting import side_by_side
+
+    both = Barrier(2, timeout=30)
+    assert side_by_side(spark, lambda week: (week, both.wait() >= 0), [3, 1]) == [(3, True), (1, True)]
+    rows = spark.range(400).selectExpr("cast(id % 37 as double) as x", "cast(id % 37 * 2 + id % 5 as double) as y", "id % 2 as week").persist()
+    fit = lambda week: fit_boosted(rows.where(f"week <= {week}"), ["x"], [Boosted("y", "absolute", rounds=12)])[0].value
+    alone = [fit(week) for week in (0, 1)]
+    assert all((a == b).all() for a, b in zip(alone, side_by_side(spark, fit, [0, 1])))
