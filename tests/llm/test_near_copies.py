@@ -97,3 +97,10 @@ def test_values_of_a_few_rows_more_meet_each_other(spark):
     expected = slow_groups(rows)
     assert len(rows) <= simhash.MANY and len(set(expected.values())) == 20
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == expected
+
+
+def test_a_row_of_a_large_group_meets_few_firsts(spark):
+    """As many values of more rows as there may be: a row meets two firsts of them, and all that small values bring."""
+    met = [(key, 500, 9, 100 + key, None, None, None) for key in range(40)] + [(90, 501, 3, None, 7, 8, None), (91, 501, 2, None, 7, None, None)]
+    frame_ = spark.createDataFrame(met, "key long, node long, rows long, m0 long, m1 long, m2 long, m3 long")
+    assert sorted(map(tuple, simhash._first_pairs(frame_).collect())) == [(500, 100), (500, 101), (501, 7), (501, 8)]

@@ -31,14 +31,16 @@ from .components import components
 BITS = 64
 #: Near copies by similarity: words of a shingle, least Jaccard similarity, and how often a pair at it may be missed.
 SHINGLE, THRESHOLD, MISSED = 5, 0.8, 0.002
-#: Bits whose distance is verified at last and at first, and up to how many standard deviations a pair at the threshold passes each.
-VERIFIED, MET = 2048, 64
+#: Bits whose distance is verified at last, at first and in late meetings, and up to how many standard deviations a pair at the threshold passes each.
+VERIFIED, MET, LATE = 2048, 64, 1024
 PRINTS = [f"print{i}" for i in range(VERIFIED // 64)]
-SPREADS = {VERIFIED: 3.5, MET: 4.5}
+SPREADS = {VERIFIED: 3.5, MET: 4.5, LATE: 3.5}
 #: Bits of sets of n shingles differ a little more often than their angle says, by less than TIES / n (ties of small even sets).
 TIES = 0.3
 #: Rows before it that a row of a segment value meets at first. Of a value with more rows than that and one each meets the first.
 BACK = 3
+#: First rows of larger values that a row meets, at most, whatever the number of such values it has.
+FIRSTS = 2
 #: Up to so many rows of a value meet each other next, where their groups still differ: chance fills values that far, at any number
 #: of texts. A value with more rows goes by leaders and by the exact search.
 MANY = 32
@@ -147,8 +149,8 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
     return whole - (1 << 64) if whole >> 63 else whole, np.unique(np.array(found, np.uint64))
 
 
-def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int, int, int]:
-    """(segments, bits of one, most differing bits of VERIFIED, those of MET) for near copies among so many texts.
+def wide_segments(n_texts: int, threshold: float = THRESHOLD, missed: float = MISSED) -> tuple[int, int, int, int, int]:
+    """(segments, bits of one, most differing bits of VERIFIED, those of MET and of LATE) for near copies among so many texts.
 
     A bit of two texts differs with the angle of their shingle sets over pi, that is at Jaccard similarity j with
     p = acos(2 j / (1 + j)) / pi. A segment of b bits is shared with (1 - p) ** b.
@@ -243,11 +245,24 @@ def _meetings(keyed: DataFrame, most: int) -> DataFrame:
     return found.where((F.col("rows") > BACK + 1) | F.coalesce(*(f"m{i}" for i in range(BACK + 1))).isNotNull())
 
 
+def _first_pairs(met: DataFrame) -> DataFrame:
+    """(u, v): who meets whom in small keys, and of the firsts of the larger keys that a row has the FIRSTS least.
+
+    A row of a large group has nearly as many firsts as keys. Where those left out would have linked it, it is still apart and
+    meets others late, by leaders or in the exact search, as every key of more than BACK + 1 rows goes there.
+    """
+    small = met.select("node", F.explode(F.array(*(f"m{i}" for i in range(1, BACK + 1)))).alias("v"))
+    large = met.where("m0 is not null").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("m0")), 1, FIRSTS).alias("m")).select("node", F.explode("m").alias("v"))
+    both = small.where("v is not null").union(large)
+    return both.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+
+
 def _late_meetings(rows: DataFrame, most: int) -> DataFrame:
-    """(u, v): rows(key, node, print0, root) of one key, MANY at most, that have different roots and are at most `most` bits apart."""
-    before = Window.partitionBy("key").orderBy("node").rowsBetween(1 - MANY, -1)
-    seen = rows.withColumn("earlier", F.collect_list(F.struct("node", PRINTS[0], "root")).over(before))
-    near = lambda x: (x["root"] != F.col("root")) & (F.bit_count(x[PRINTS[0]].bitwiseXOR(F.col(PRINTS[0]))) <= most)
+    """(u, v): rows(key, node, n, print0, ..., root) of one key, MANY at most, that have different roots and are at most `most` of LATE bits apart."""
+    before, prints = Window.partitionBy("key").orderBy("node").rowsBetween(1 - MANY, -1), PRINTS[: LATE // 64]
+    seen = rows.withColumn("earlier", F.collect_list(F.struct("node", "n", "root", *prints)).over(before))
+    far = lambda x: sum(F.bit_count(x[c].bitwiseXOR(F.col(c))) for c in prints)
+    near = lambda x: (x["root"] != F.col("root")) & (far(x) <= most + LATE * TIES / F.least(x["n"], F.col("n")))
     pairs = seen.select("node", F.explode(F.filter("earlier", near)["node"]).alias("v"))
     return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
@@ -333,7 +348,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     """
     docs = docs.where("doc_id is not null")
     n_texts = docs.count()
-    segments, bits, max_bits, first_bits = wide_segments(n_texts, threshold)
+    segments, bits, max_bits, first_bits, late_bits = wide_segments(n_texts, threshold)
     signed = saved(_signatures(docs, segments, bits, shingle), "signatures")
     nodes = saved(signed.drop("doc_id").dropDuplicates(["node"]), "nodes")
     ids = saved(signed.select("doc_id", "node"), "ids")
@@ -361,9 +376,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
         roots = components(links)
         return roots, keyed.join(roots, "node", "left").select("node", "n", *PRINTS, "key", "keys", F.coalesce("root", "node").alias("root"))
 
-    pairs = met.select("node", F.explode(F.array(*(f"m{i}" for i in range(BACK + 1)))).alias("v")).where("v is not null")
-    pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-    pairs = saved(_near_enough(pairs, nodes, threshold, max_bits), "pairs")
+    pairs = saved(_near_enough(_first_pairs(met), nodes, threshold, max_bits), "pairs")
     nodes_of = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     sets = sets_of(nodes_of(pairs))
     links = saved(_verified(pairs, sets, threshold), "links")
@@ -382,8 +395,8 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
         roots, grouped = with_roots()
     # what values of a few rows more still hold apart
     between = met.where((F.col("rows") > BACK + 1) & (F.col("rows") <= MANY)).select("key", "node")
-    between = between.join(nodes.select("node", PRINTS[0]), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    late = _late_meetings(between, first_bits).join(pairs, ["u", "v"], "left_anti")
+    between = between.join(nodes.select("node", "n", *PRINTS[: LATE // 64]), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    late = _late_meetings(between, late_bits).join(pairs, ["u", "v"], "left_anti")
     late = saved(_near_enough(late, nodes, threshold, max_bits), "pairs")
     if not late.isEmpty():
         sets = with_sets_of(nodes_of(late), sets)
