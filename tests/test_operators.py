@@ -299,3 +299,13 @@ def test_next_hour_has_a_row_for_each_series(panel):
     assert len(rows) == panel.select("series_id").distinct().count() and all(r["lower"] <= r["prediction"] <= r["upper"] for r in rows)
     last = panel.agg(F.max("ts")).first()[0]
     assert {r["ts"] for r in rows} == {last + timedelta(hours=1)}
+
+
+def test_hours_of_a_day_are_counted_without_a_row_of_each(spark):
+    from tidegrid.operators import grid
+
+    values = ", ".join(f"1.0d as {c}" for c in grid.VALUES)
+    hours = spark.range(70).selectExpr("id div 24 as series_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id % 24 as int)) as ts", *values.split(", "))
+    found = grid.faults(hours.union(hours.where("series_id = 0 and hour(ts) < 2")))
+    assert sorted(map(tuple, found.collect())) == [("duplicate_hour", 2), ("incomplete_day", 1)]
+    assert "distinct" not in found._jdf.queryExecution().analyzed().toString().lower()
