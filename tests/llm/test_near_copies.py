@@ -104,3 +104,20 @@ def test_a_row_of_a_large_group_meets_few_firsts(spark):
     met = [(key, 500, 9, 100 + key, None, None, None) for key in range(40)] + [(90, 501, 3, None, 7, 8, None), (91, 501, 2, None, 7, None, None)]
     frame_ = spark.createDataFrame(met, "key long, node long, rows long, m0 long, m1 long, m2 long, m3 long")
     assert sorted(map(tuple, simhash._first_pairs(frame_).collect())) == [(500, 100), (500, 101), (501, 7), (501, 8)]
+
+
+def test_rows_of_crowded_values_are_one_a_text(spark, monkeypatch):
+    """What roots are joined to grows with the texts, not with the values that they share."""
+    seen, save = [], simhash.saved
+
+    def spied(df, name):
+        found = save(df, name)
+        if name == "segments":
+            seen.append((found.count(), found.select("node").distinct().count()))
+        return found
+
+    monkeypatch.setattr(simhash, "saved", spied)
+    rows = [r for r in planted() if r[0] >= 212]  # the group of many near copies
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), hot=20, sampled=1).collect()}
+    assert got == slow_groups(rows)
+    assert seen and all(n == nodes > 0 for n, nodes in seen)

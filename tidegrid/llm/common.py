@@ -71,9 +71,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def used_up(found: DataFrame) -> None:
-    """Delete what saved() wrote for this table, which nothing reads any more."""
+    """Delete what saved() wrote for this table, which nothing reads any more, and let go of what its making left behind."""
     folder, where = _located(found.sparkSession, found.saved_at)
     folder.delete(where, True)
+    tidy(found.sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Spark drops shuffle files and broadcasts of finished plans once the driver's garbage is collected, which by itself may be
+    late: its heap then stands at the most it may have."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _located(spark: SparkSession, path: str):

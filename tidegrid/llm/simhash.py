@@ -359,7 +359,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     met = saved(_meetings(keyed.join(F.broadcast(hot_keys), "key", "left_anti"), first_bits), "met")
     crowded = met.where(F.col("rows") > MANY).select("key", "node").union(keyed.join(F.broadcast(hot_keys), "key", "left_semi").select("key", "node"))
     listed = crowded.groupBy("node").agg(F.collect_list("key").alias("keys")).join(nodes.select("node", "n", *PRINTS), "node")
-    keyed = saved(listed.select("*", F.explode("keys").alias("key")), "segments")
+    listed = saved(listed, "segments")
 
     # texts move only for one document of each node that has a candidate, and that once
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -374,7 +374,9 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
 
     def with_roots() -> tuple[DataFrame, DataFrame]:
         roots = components(links)
-        return roots, keyed.join(roots, "node", "left").select("node", "n", *PRINTS, "key", "keys", F.coalesce("root", "node").alias("root"))
+        # a row a node: its keys come apart after the join
+        here = listed.join(roots, "node", "left").select("node", "n", *PRINTS, "keys", F.coalesce("root", "node").alias("root"))
+        return roots, here.select("*", F.explode("keys").alias("key"))
 
     pairs = saved(_near_enough(_first_pairs(met), nodes, threshold, max_bits), "pairs")
     nodes_of = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
