@@ -3,6 +3,7 @@
 import random
 
 from fixtures import Union, corpus, frame, odd_rows, words
+from pyspark.sql import functions as F
 
 from tidegrid.llm import simhash
 
@@ -121,3 +122,36 @@ def test_rows_of_crowded_values_are_one_a_text(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows), hot=20, sampled=1).collect()}
     assert got == slow_groups(rows)
     assert seen and all(n == nodes > 0 for n, nodes in seen)
+
+
+def with_zero_prints(spark, sets):
+    rows = spark.createDataFrame([(node, node, len(items)) for node, items in sets.items()], "node long, root long, n long")
+    return rows.select("*", *(F.lit(0).cast("long").alias(p) for p in simhash.PRINTS)), spark.createDataFrame([(n, sorted(i)) for n, i in sets.items()], "node long, items array<long>")
+
+
+def test_shared_shingles_come_in_one_row_a_text_rarest_first(spark, monkeypatch):
+    sets = {1: [5, -7, 9], 2: [5, -7, 11], 3: [5, 12], 4: [], 5: [13]}
+    for items in (1, 1 << 19):
+        monkeypatch.setattr(simhash, "BUCKET_ITEMS", items)
+        found = {r["node"]: r["items"] for r in simhash._shared(with_zero_prints(spark, sets)[1]).collect()}
+        assert found == {1: [-7, 5], 2: [-7, 5], 3: [5]}
+    assert simhash._shared(with_zero_prints(spark, {1: []})[1]).isEmpty()
+
+
+def test_prefix_search_keeps_similar_pairs_and_leaves_out_what_cannot_be_similar(spark, monkeypatch):
+    rng = random.Random(11)
+    template, own = list(range(200)), iter(range(10_000, 1_000_000))
+    sets = {}
+    for node in range(1, 61):
+        sets[node] = set(rng.sample(template, 200 - (changed := rng.randint(0, 40)))) | {next(own) for _ in range(changed)}
+    # these look each other up by a rare shingle, but from there on too little is left to be common
+    sets[90] = set(template[:179]) | {5000} | {next(own) for _ in range(20)}
+    sets[91] = set(template[:163]) | {5000} | {next(own) for _ in range(36)}
+    similar = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(similar) > 50
+    for head in (1, 64):
+        monkeypatch.setattr(simhash, "HEAD", head)
+        apart, lists = with_zero_prints(spark, sets)
+        got = [tuple(r) for r in simhash._prefix_pairs(apart, lists, 0.8, 0).collect()]
+        assert len(got) == len(set(got)) and similar <= set(got)
+    assert (91, 90) not in got

@@ -48,6 +48,8 @@ MANY = 32
 HOT, HOT_SHARE, SAMPLED = 8192, 256, 64
 #: Leaders of a segment value after the first round, and rounds of leaders before the exact search of what is still apart.
 LEADERS, ROUNDS = 8, 1
+#: Shingles of a bucket in which they are counted, on average, least buckets, and how many of its rarest shared shingles a text shows in the exact search.
+BUCKET_ITEMS, LEAST_BUCKETS, HEAD = 1 << 19, 16, 64
 
 
 def fingerprint(text: bytes, shingle: int, seed: int) -> int:
@@ -311,29 +313,71 @@ def _candidates(keyed: DataFrame, threshold: float, max_bits: int, salt: int) ->
     return pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """(node, items): of sets(node, items) with different nodes the shingles that several nodes have, by their number, rarest first.
+
+    Shingles are counted in buckets of their hashes, to which those of a node go in one row each.
+    """
+    total = sets.agg(F.sum(F.size("items"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ITEMS))
+
+    def deal(batches):
+        for batch in batches:
+            column = batch.column("items")
+            items, owner = column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+            bucket = (mix(items.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((bucket, owner))
+            items, owner, bucket = items[order], owner[order], bucket[order]
+            starts = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(bucket, prepend=-1))
+            lists = list_array(items, np.diff(np.append(starts, len(items))), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), batch.column("node").take(pa.array(owner[starts])), lists], ["bucket", "node", "items"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        column = rows.column("items").combine_chunks()
+        items, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+        _, at, counts = np.unique(items, return_inverse=True, return_counts=True)
+        has = counts[at]
+        left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[has > 1], minlength=len(sizes))
+        lists = (list_array(x[has > 1], left, pa.int64()) for x in (has, items))
+        return pa.Table.from_arrays([rows.column("node"), *lists], ["node", "has", "items"]).filter(pa.array(left > 0))
+
+    dealt = small_batches(sets.select("node", "items")).mapInArrow(deal, "bucket long, node long, items array<long>")
+    counted = dealt.groupBy("bucket").applyInArrow(count, "node long, has array<long>, items array<long>")
+    ordered = counted.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("has", "items")))).alias("order"))
+    return ordered.select("node", F.col("order.items").alias("items"))
+
+
 def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, max_bits: int) -> DataFrame:
     """(u, v): all pairs of apart(node, n, print0, ..., root) with different roots that may be similar enough, by a prefix filter.
 
     Shingles are ordered by the number of nodes that have them, rarest first. Of a set of n, all but ceil(2 t n / (1 + t)) - 1 are its
     own prefix and all but ceil(t n) - 1 the one it probes with: of two sets at similarity t, the smaller one's own prefix and the
     larger one's probe share a shingle (Xiao, Wang, Lin and Yu, 2008). In texts of one template these are the shingles of their own
-    edits, so texts below the threshold do not meet. The join holds its conditions itself: only pairs within max_bits come out.
+    edits, so texts below the threshold do not meet. The join holds its conditions itself: a pair comes out once, at the first shingle
+    that both look by (again only past HEAD of them), if enough may be common from there on and it is within max_bits.
     """
-    items = sets.join(apart.select("node"), "node", "left_semi").select("node", F.explode("items").alias("item"))
-    counts = items.groupBy("item").agg(F.count("*").alias("has"))
-    ranked = items.join(counts, "item").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("has", "item")))
     # a little below the bound, for rounding: a longer prefix only costs work
     past = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
     probe, own = past(threshold), past(2 * threshold / (1 + threshold))
-    # a shingle nobody else has links nothing, nor does one that only a single root's nodes look by
-    rows = ranked.where("has > 1").join(apart, "node").where(F.col("at") <= probe).withColumn("own", F.col("at") <= own)
-    rows = saved(rows.select("item", "own", "node", "n", "root", *PRINTS), "postings")
+    ranked = _shared(sets.join(apart.select("node"), "node", "left_semi")).join(apart, "node")
+    # shingles of nobody else come first in the order and link nothing
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("items")).withColumn("items", F.slice("items", 1, F.greatest(probe - F.col("alone"), F.lit(0)).cast("int")))
+    rows = ranked.withColumn("head", F.slice("items", 1, HEAD)).select("*", F.posexplode("items").alias("pos", "item"))
+    rows = rows.withColumn("at", F.col("alone") + F.col("pos") + 1).withColumn("before", F.slice("head", 1, F.least("pos", F.lit(HEAD))))
+    rows = saved(rows.select("item", (F.col("at") <= own).alias("own"), "pos", "at", "before", "node", "n", "root", *PRINTS), "postings")
+    # nor does one that only a single root's nodes look by
     torn = rows.groupBy("item").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any")).where("lo < hi and any")
     rows = saved(rows.join(torn.select("item"), "item", "left_semi"), "postings")
     a, b = rows.where("own").alias("a"), rows.alias("b")
     after = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     sizes = F.col("a.n") >= F.lit(threshold) * F.col("b.n")
-    met = a.join(b.hint("merge"), (F.col("a.item") == F.col("b.item")) & (F.col("a.root") != F.col("b.root")) & after & sizes & _few_bits("a.", "b.", max_bits))
+    # a pair meets at the first shingle that both have; what may be common is then that one and what follows, and before it what lies past the heads
+    first = ~F.arrays_overlap("a.before", "b.before")
+    past_heads = sum(F.greatest(F.col(f"{x}.pos") - HEAD, F.lit(0)) for x in "ab")
+    common = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) + past_heads
+    enough = common >= F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    here = (F.col("a.item") == F.col("b.item")) & (F.col("a.root") != F.col("b.root")) & after & sizes & enough & first
+    met = a.join(b.hint("merge"), here & _few_bits("a.", "b.", max_bits))
     return met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
@@ -409,7 +453,8 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
             roots, grouped = with_roots()
     # what crowded values still hold apart, exactly
     torn = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    apart = saved(grouped.join(torn, "key", "left_semi").select("node", "n", *PRINTS, "root").dropDuplicates(["node"]), "apart")
+    here = grouped.select("node", "root", "key").join(torn, "key", "left_semi").select("node", "root").distinct()
+    apart = saved(here.join(nodes.select("node", "n", *PRINTS), "node"), "apart")
     if not apart.isEmpty():
         sets = with_sets_of(apart.select("node"), sets)
         rest = saved(_prefix_pairs(apart, sets, threshold, max_bits).join(pairs, ["u", "v"], "left_anti"), "pairs")
