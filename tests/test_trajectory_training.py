@@ -48,3 +48,13 @@ def test_groups_that_add_nulls_are_an_error(spark):
     assert features.features(gap).count() > 0
     with pytest.raises(Exception, match="where the base is complete"):
         features.features(gap, "quarter").collect()
+
+
+def test_profiles_of_rounded_hours_are_the_rounded_profiles(spark):
+    from tidegrid.plans.common import rounded
+
+    rows = [(1, i, 0.1234565 * i, 1.0000005 * i, 2.5, 0.3333333 * i, 7.7777777, 1.0) for i in range(220)]
+    hours = spark.createDataFrame(rows, "series_id long, i int, q15 double, q30 double, q45 double, q60 double, avg_power double, production double")
+    panel = hours.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, i)")).drop("i")
+    before, after = (sorted(x.collect()) for x in (features.profiles(rounded(panel)), rounded(features.profiles(panel))))
+    assert before == after and len(before) == 220 - 168 - 23
