@@ -5,7 +5,7 @@ import random
 from fixtures import Union, corpus, frame, odd_rows, words
 from pyspark.sql import functions as F
 
-from tidegrid.llm import simhash
+from tidegrid.llm import common, simhash
 
 
 def slow_set(text):
@@ -155,3 +155,15 @@ def test_prefix_search_keeps_similar_pairs_and_leaves_out_what_cannot_be_similar
         got = [tuple(r) for r in simhash._prefix_pairs(apart, lists, 0.8, 0).collect()]
         assert len(got) == len(set(got)) and similar <= set(got)
     assert (91, 90) not in got
+
+
+def test_texts_are_read_few_at_a_time(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        for rows, found in ((4096, common.READ_ROWS), (64, 64)):
+            spark.conf.set(key, str(rows))
+            assert simhash._signatures(frame(spark, [(1, words(random.Random(1), 30), "a")]), 4, 16, 5).count() == 1
+            assert int(spark.conf.get(key)) == found
+    finally:
+        spark.conf.set(key, before)

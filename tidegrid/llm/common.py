@@ -13,8 +13,8 @@ from ..shipping import ship
 
 #: What an operator keeps in a Python worker between its tasks; the next operator there clears it.
 remembered: dict = {}
-#: Most bytes and rows of one Arrow batch of texts.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+#: Most bytes and rows of one Arrow batch of texts, and rows that Spark's Parquet reader holds at once: it keeps their texts in one array.
+BATCH_BYTES, BATCH_ROWS, READ_ROWS = 4 << 20, 2000, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on hands texts to Python in small batches: both sides hold several copies of one."""
+    """df, whose session from now on reads texts and hands them to Python in small batches: both sides hold several copies of one."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         key = f"spark.sql.execution.arrow.{key}"
         now = int(str(conf.get(key)).rstrip("b"))

@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Network:
     hashed = known.dropDuplicates().withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     some = [r for mark, most in SAMPLE_ROWS.items() for r in hashed.where(F.col("quality") == mark).orderBy("h", "doc_id").limit(most).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in some], "id long, quality int")  # at most sum(SAMPLE_ROWS) rows
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    found = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
     length = F.length("text")
     places = [(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(length - EXCERPT, F.lit(1))) + 1).cast("int") for i in range(EXCERPTS)]
     stretches = F.when(length <= WHOLE, F.array("text")).otherwise(F.array(*(F.substring("text", at, EXCERPT) for at in places)))
