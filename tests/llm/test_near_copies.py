@@ -74,6 +74,19 @@ def test_near_copies_on_odd_rows(spark):
     assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 100001").count() == 1
 
 
+def test_rows_that_share_an_id_are_kept_or_dropped_by_their_own_text(spark):
+    """A second text of an id went with the first, or stayed with it though it is a near copy."""
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 120) for _ in range(4))
+    rows = [(1, a, "s"), (1, b, "s"), (2, edited(rng, a, 1), "s"), (0, c, "s"), (3, edited(rng, c, 1), "s"), (3, d, "s"), (3, d, "s"), (4, edited(rng, b, 1), "s"), (5, a, "s")]
+    kept = simhash.keep_dissimilar(frame(spark, rows))
+    assert kept.columns == frame(spark).columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(0, c), (1, a), (1, b), (3, d)])
+    # near copies under one id: one of them
+    rows = [(7, a, "s"), (7, edited(rng, a, 1), "s"), (8, edited(rng, a, 1), "s")]
+    assert [r["doc_id"] for r in simhash.keep_dissimilar(frame(spark, rows)).collect()] == [7]
+
+
 def of_one_template(n, changes, pairs, seed=3, size=200):
     """n texts that differ from one template in `changes` words of their own, below the threshold of each other, and near copies of some."""
     rng = random.Random(seed)

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bytes_of, fresh, list_array, mix, remembered, saved, small_batches, table, used_up
 from .components import components
@@ -381,7 +382,7 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, max_bits:
     return met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
 
-def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
+def similar_groups(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, component_id) for each row of docs(doc_id, text, ...) that has a doc_id.
 
     component_id is the least doc_id reachable over pairs whose sets of shingles have a Jaccard similarity of at least
@@ -390,6 +391,12 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     words are one node of the search, and so are null and wordless ones. Texts of any length are taken whole. Repeated
     rows each stay. Empty table: no rows. Other columns are ignored.
     """
+    ids, groups = _similar(docs, **settings)
+    return ids.join(groups, "node").select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT, sampled: int = SAMPLED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each row that has a doc_id, and (node, root, component_id) of each node; rows of one group have one root."""
     docs = docs.where("doc_id is not null")
     n_texts = docs.count()
     segments, bits, max_bits, first_bits, late_bits = wide_segments(n_texts, threshold)
@@ -465,17 +472,42 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
 
     linked = roots.join(classes, "node").select("node", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    moved = linked.join(least, "root").select("node", "least")
-    groups = saved(classes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "groups")
-    return ids.join(groups, "node").select("doc_id", "component_id")
+    moved = linked.join(least, "root").select("node", "root", "least")
+    groups = classes.join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("component_id"))
+    return ids, saved(groups, "groups")
 
 
 def keep_dissimilar(docs: DataFrame, **settings) -> DataFrame:
     """docs without near copies: the row with the least doc_id of each group of similar_groups stays, of repeated rows one.
 
-    Rows without a doc_id can't be told apart and stay as they are.
+    Rows that share a doc_id are told apart by their words, so that each is kept or dropped with its own group. Rows without a
+    doc_id can't be told apart and stay as they are.
     """
-    return keep_least(docs, similar_groups(docs, **settings))
+    ids, groups = _similar(docs, **settings)
+    # one text a group: of those that share the least doc_id the one with the least node
+    found = ids.join(groups, "node").where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node"))
+    kept, node, other = (fresh(docs, name) for name in ("kept", "node", "kept_node"))
+    stay = saved(found.select(F.col("doc_id").alias(kept), F.col("node").alias(node)), "kept")
+    shared = saved(ids.groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias("rows")).where("rows > 1").select(kept), "shared")
+    own = F.col("doc_id") == F.col(kept)
+    unnamed = docs.where("doc_id is null")
+    # the same plan at every size: the list of ids to keep grows with the input
+    if shared.isEmpty():
+        return docs.join(stay.select(kept).hint("merge"), own).drop(kept).union(unnamed)
+    once = docs.join(stay.join(shared, kept, "left_anti").select(kept).hint("merge"), own).drop(kept)
+    told = _with_node(docs.join(shared, own, "left_semi"), node).join(stay.withColumnRenamed(node, other), own & (F.col(node) == F.col(other)))
+    return once.union(told.dropDuplicates(["doc_id", node]).select(*docs.columns)).union(unnamed)
+
+
+def _with_node(docs: DataFrame, name: str) -> DataFrame:
+    """docs and the node that each row's text stands for."""
+
+    def run(batches):
+        for batch in batches:
+            made = pa.array([shingles(x)[0] for x in bytes_of(batch.column("text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
